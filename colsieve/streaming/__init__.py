@@ -1,0 +1 @@
+"""Reserved: the surveyed feature set has no streaming operators, so none are invented here."""
