@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colsieve.llm.exact_dedup import exact_dedup
+from colsieve.llm.lengths import length_histogram
 from colsieve.llm.mixing import schedule
+from colsieve.llm.packing import pack
 from colsieve.llm.sharding import interleaved_shards
 from colsieve.sources.scratch import read_table
 
@@ -39,14 +42,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: CRC-32 (polynomial 0xEDB88320, reflected) of the blob ``b`` in DuckDB, which has no function for it.
-CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n))"
+CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN (c & 1) = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n))"
 
 
 def crc32_sql(blob: str) -> str:
     """``crc32`` of a blob expression; the query has a one-row CTE ``crc(t)`` with CRC_TABLE."""
     digits = f"hex({blob})"
     each = f"list_transform(range(octet_length({blob})), lambda i: ('0x' || {digits}[2 * i + 1 : 2 * i + 2])::BIGINT)"
-    return f"xor(4294967295, list_reduce({each}, lambda c, x: xor(c >> 8, t[xor(c, x) & 255 + 1]), 4294967295::BIGINT))"
+    return f"xor(4294967295, list_reduce({each}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT))"
 
 
 ORACLES["op2_sharding"] = f"""
@@ -72,3 +75,13 @@ FROM places
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row once at least, no source more than twice."""
     return schedule(read_table(spark, sf_dir, "documents"), max_epochs=2.0)
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
