@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from colsieve.llm.exact_dedup import exact_dedup
 from colsieve.llm.lengths import length_histogram
 from colsieve.llm.mixing import schedule
+from colsieve.llm.near_dedup import near_duplicates
 from colsieve.llm.packing import pack
 from colsieve.llm.sharding import interleaved_shards
 from colsieve.sources.scratch import read_table
@@ -71,6 +72,36 @@ FROM places
 """
 
 
+@query
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
+
+
+#: Pairs are counted by their shared shingles: exact, and quadratic in common ones, which the small table bears.
+ORACLES["op3_minhash_near_dedup"] = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS MATERIALIZED (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)) AS s
+  FROM words),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM words
+  UNION
+  SELECT links.a, reach.r FROM reach JOIN links ON links.b = reach.doc_id),
+least AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT least.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, least.doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)
+"""
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row once at least, no source more than twice."""

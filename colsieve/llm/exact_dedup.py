@@ -16,22 +16,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colsieve.llm.ranks import SLICES
+from colsieve.llm.skew import attach, maybe_in
 from colsieve.sources.scratch import written
 
-#: log2 of the bits of the hit filter. 2**23 bits are 256 bitmaps of 4 KB: 1 MB to broadcast, however large the input.
-FILTER_BITS = 23
-
-
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def _slot(digest: str) -> Column:
-    """The bit of a digest in the filter."""
-    return F.pmod(F.xxhash64(digest), F.lit(1 << FILTER_BITS))
-
-
 def flush_runs(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """One sorted run with its filter for each scan task; ids and digests only."""
     rows = docs.select(F.col(id_col).alias("_id"), digest(F.coalesce(F.col(text_col), F.lit(""))).alias("_digest"))
@@ -44,18 +35,6 @@ def compact(runs: DataFrame, keep: str) -> DataFrame:
     return written(runs.groupBy("_digest").agg(best("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")), "lsm-level")
 
 
-def hit_filter(hits: DataFrame) -> DataFrame:
-    """``(bucket, bits)``: at most 2**(FILTER_BITS - 15) rows of 4 KB."""
-    slots = hits.select(_slot("_digest").alias("_slot"))
-    return slots.groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
-
-
-def _bit_set() -> Column:
-    at = F.bitmap_bit_position("_slot")
-    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row for each row of ``docs``: ``id_col, keep_id, group_size, kept, digest``.
 
@@ -74,9 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Byte verification of the hits. Copies are merged in the task that has read them.
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     texts = texts.withColumn("_digest", digest(F.col("_text")))
-    maybe = texts.withColumn("_slot", _slot("_digest")).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
-    maybe = maybe.join(F.broadcast(hit_filter(hits)), "_bucket").where(_bit_set())
-    groups = maybe.groupBy("_digest", "_text").agg(best("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
+    groups = maybe_in(texts, hits, "_digest").groupBy("_digest", "_text").agg(best("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     groups = written(groups.select("_digest", "_keep", "_n"), "lsm-verified")
     several = groups.groupBy("_digest").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("_digest")
     one, plain, apart = groups.where("_n > 1"), runs, None
@@ -86,18 +63,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         apart = mixed.join(classes, ["_digest", "_text"]).select("_id", "_digest", "_keep", "_n")
         one, plain = one.join(several, "_digest", "left_anti"), runs.join(several, "_digest", "left_anti")
 
-    # Digests with over 1/SLICES of all rows number fewer than SLICES: those are broadcast, all others joined.
-    total = level.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
-    sized = one.crossJoin(F.broadcast(total))
-    hot = sized.where(F.col("_n") * SLICES > F.col("_total")).select("_digest", F.struct("_keep", "_n").alias("_hot"))
-    rest = sized.where(F.col("_n") * SLICES <= F.col("_total")).select("_digest", F.struct("_keep", "_n").alias("_rest"))
-    marked = plain.join(F.broadcast(hot), "_digest", "left")
-    # rows of a hot digest are done; a key of their own ids spreads them, and matches nothing
-    key = F.when(F.col("_hot").isNull(), F.col("_digest"))
-    marked = marked.withColumn("_key", F.coalesce(key, F.concat(F.lit("-"), F.xxhash64("_id").cast("string"))))
-    found = marked.join(rest.withColumnRenamed("_digest", "_key"), "_key", "left")
-    group = F.coalesce("_hot", "_rest")
-    found = found.select("_id", "_digest", F.when(group.isNull(), F.col("_id")).otherwise(group["_keep"]).alias("_keep"), F.coalesce(group["_n"], F.lit(1)).cast("long").alias("_n"))
+    found = attach(plain, one.withColumn("_size", F.col("_n")), "_digest", "_n", "_id")
+    found = found.select("_id", "_digest", F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("_keep"), F.coalesce("_size", F.lit(1)).alias("_n"))
     both = found.unionByName(apart) if apart is not None else found
     return both.select(
         F.col("_id").alias(id_col),
