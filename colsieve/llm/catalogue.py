@@ -11,6 +11,7 @@ from colsieve.llm.lengths import length_histogram
 from colsieve.llm.mixing import schedule
 from colsieve.llm.near_dedup import near_duplicates
 from colsieve.llm.packing import pack
+from colsieve.llm.quality import N_GRADES, grades_of, scored, train
 from colsieve.llm.sharding import interleaved_shards
 from colsieve.sources.scratch import read_table
 
@@ -102,6 +103,15 @@ FROM least LEFT JOIN sizes USING (doc_id)
 """
 
 
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept where a good grade is at least as likely as not; the model is fitted on 16,384 rated documents at most."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = train(docs, grades_of(read_table(spark, sf_dir, "labels")), N_GRADES)
+    rows = scored(docs, model, carry=["doc_id"])
+    return rows.select("doc_id", "score", "expected_grade", F.col("tail")[0].alias("p_not_toxic"), F.col("tail")[1].alias("p_good"), (F.col("tail")[1] >= 0.5).alias("kept"))
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row once at least, no source more than twice."""
@@ -116,3 +126,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

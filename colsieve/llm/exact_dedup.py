@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colsieve.llm.skew import attach, maybe_in
+from colsieve.llm.skew import attach, maybe_in, split
 from colsieve.sources.scratch import written
 
 def sha256(text: Column) -> Column:
@@ -73,3 +73,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.col("_id") == F.col("_keep"), F.lit(False)).alias("kept"),
         F.col("_digest").alias("digest"),
     )
+
+
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+    """The rows of ``docs`` with all their columns, one for each text: the one with the largest (or smallest) id.
+
+    Of rows with that id too, and where all ids are null, the row whose other columns sort last stays. Texts are
+    compared byte by byte, null as empty. Rows that the filter rules out as copies are not shuffled.
+    """
+    names = docs.columns
+    level = compact(flush_runs(docs, id_col, text_col, sha256), keep)
+    aside = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    maybe, alone = split(aside.withColumn("_digest", sha256(F.col("_text"))), level.where("_n > 1"), "_digest")
+    if keep == "max":
+        order = F.struct(F.col("_id"), F.col("_row"))
+        best = maybe.groupBy("_text").agg(F.max(order).alias("_o"))
+    else:
+        order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))
+        best = maybe.groupBy("_text").agg(F.min(order).alias("_o"))
+    rows = alone.select("_row").unionByName(best.select(F.col("_o._row").alias("_row")))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in names])

@@ -35,13 +35,30 @@ def _slot(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
 
 
-def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The ``rows`` whose ``key`` may be one of ``keys``: all that are, and a share of the others that grows with
-    the number of keys. Keys go into a bitmap of fixed size, so that its broadcast is bounded."""
+def _marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_maybe``, true where ``key`` may be one of ``keys`` and never null."""
     slots = keys.select(_slot(key).alias("_slot"))
     bits = slots.groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
     marked = rows.withColumn("_slot", _slot(key)).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
     at = F.bitmap_bit_position("_slot")
     byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = marked.join(F.broadcast(bits), "_bucket").where(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1)
-    return found.select(*rows.columns)
+    found = marked.join(F.broadcast(bits), "_bucket", "left")
+    return found.select(*rows.columns, F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False)).alias("_maybe"))
+
+
+def split(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` may be one of ``keys`` and those whose isn't. The first has all that are, and a share of
+    the others that grows with the number of keys: they go into a bitmap of fixed size, so its broadcast is bounded."""
+    marked = _marked(rows, keys, key)
+    return marked.where("_maybe").drop("_maybe"), marked.where("NOT _maybe").drop("_maybe")
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The first part of :func:`split`."""
+    return split(rows, keys, key)[0]
+
+
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` but those whose ``key`` is one of ``keys``; null keys stay. Only rows that may go are shuffled."""
+    maybe, others = split(rows, keys, key)
+    return others.unionByName(maybe.join(keys.select(key).distinct(), key, "left_anti").select(*rows.columns))
