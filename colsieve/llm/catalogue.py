@@ -13,6 +13,7 @@ from colsieve.llm.near_dedup import near_duplicates
 from colsieve.llm.packing import pack
 from colsieve.llm.quality import N_GRADES, grades_of, scored, train
 from colsieve.llm.sharding import interleaved_shards
+from colsieve.llm.warc import derivatives, responses
 from colsieve.sources.scratch import read_table
 
 QUERIES: dict = {}
@@ -118,6 +119,17 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(read_table(spark, sf_dir, "documents"), max_epochs=2.0)
 
 
+@query
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two records for each page; their blocks as digest and length, the source's headers as text."""
+    records = derivatives(responses(read_table(spark, sf_dir, "pages")))
+    heads = F.array_join(F.array_sort(F.transform(F.map_entries("source_headers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "; ")
+    return records.select(
+        F.col("page_id").cast("long").alias("page_id"), "type", "record_id", "refers_to", "target_uri", "date", "content_type",
+        "block_digest", "payload_digest", F.length("block").cast("long").alias("block_length"), heads.alias("source_headers"),
+    )
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
