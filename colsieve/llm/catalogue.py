@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from colsieve.llm import brown
 from colsieve.llm.exact_dedup import exact_dedup
+from colsieve.llm.lattice import near_vectors
 from colsieve.llm.lengths import length_histogram
 from colsieve.llm.mixing import schedule
 from colsieve.llm.near_dedup import near_duplicates
@@ -120,6 +121,28 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(read_table(spark, sf_dir, "documents"), max_epochs=2.0)
 
 
+@query
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+#: All pairs of a label: the small tables bear it. Links near the threshold may be missed by the hashing, and aren't there.
+ORACLES["op6_embedding_near_dedup"] = """
+WITH RECURSIVE vectors AS MATERIALIZED (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm
+  FROM embeddings WHERE label IS NOT NULL),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) >= 0.93 * a.norm * b.norm),
+reach AS (
+  SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT links.a, reach.r FROM reach JOIN links ON links.b = reach.vec_id),
+least AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+degrees AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN degrees USING (vec_id)
+"""
+
+
 @query
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two records for each page; their blocks as digest and length, the source's headers as text."""
