@@ -1,6 +1,9 @@
-"""The registered queries and their SQL twins, gathered from the query modules."""
+"""All registered queries and their SQL twins, gathered from the query modules."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from colsieve.plans import filters
+
+_MODULES = (filters,)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.C.queries.items()}
+ORACLES: dict = {k: v for m in _MODULES for k, v in m.C.oracles.items()}
