@@ -2,20 +2,22 @@
 
 1. Every document gets its shingle count, a digest of its shingle set and 256 compressed registers.
 2. Documents of one set are one class; its smallest id stands for it, and copies go no further.
-3. Registers are cut into 42 bands of 6. Classes that share a band meet: each is compared with a few centres of
-   the band's bucket by the corrected estimate, never with all others. Centres that are similar at all (over
-   ATTACH) tie their class into one neighbourhood. A class leaves the bucket only if a centre is so close that
-   whatever is linked with the class is tied to the same centre; the others get new centres, twice as many.
+3. Registers are cut into 36 bands of 7. Classes that share a band meet in its bucket, where each is compared with
+   the bucket's centre by the corrected estimate, never with all others. Centres that are similar at all (over
+   ATTACH) tie their class into one neighbourhood. A class leaves the bucket only if the centre is so close that
+   whatever is linked with the class is tied to the centre too. The others meet again by size, with more centres
+   each time, until every bucket lies in one neighbourhood or is used up: none is capped.
 4. The classes of a neighbourhood get their full sets again, and are compared in blocks: pairs whose estimate may
    reach the threshold are confirmed on the full sets unless they are connected already. A block returns a
    spanning forest of confirmed links, never all pairs.
 5. Components of the links give the result.
 
-At similarity s a band is shared with chance s**6, so that of 42 bands none is shared by 2e-9 of the pairs at 0.85.
+At similarity s a band is shared with chance s**7, so that of 36 bands none is shared by 1e-6 of the pairs at 0.85.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsieve.llm.shingles import REGISTERS, WordHashes, registers, shingle_set, similarity
+from colsieve.llm.shingles import REGISTERS, WordHashes, least_estimate, registers, shingle_set, similarity
 from colsieve.llm.skew import attach, maybe_in
 from colsieve.llm.tokens import as_bytes
 from colsieve.operators.graph import connected_components
 from colsieve.sources.scratch import written
 
-BAND = 6
+BAND = 7
 BANDS = REGISTERS // BAND
 #: Estimates from here on tie classes into a neighbourhood.
 ATTACH = 0.35
-#: Standard errors by which an estimate may be off.
-SIGMAS = 6.0
 #: Classes to a block, so at most so many pairs of sets meet in a task.
 BLOCK = 512
 
@@ -59,43 +59,49 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(rows.mapInArrow(sketch, "_id long, _n long, _digest binary, _regs binary"), "sketches")
 
 
-def _neighbours(classes: DataFrame, threshold: float) -> DataFrame:
-    """Ties ``(a, b)`` of classes; every pair over the threshold that shares a band is connected by them."""
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("i"), F.substring(F.col("_regs"), i * (2 * BAND) + 1, F.lit(2 * BAND)).alias("r")))
-    empty = F.lit(bytes(2 * BAND))
-    rows = classes.select("_rep", F.explode(F.filter(bands, lambda b: b["r"] != empty)).alias("_b")).select(F.xxhash64("_b.i", "_b.r").alias("_key"), "_rep")
-    shared = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_key")
-    left = written(rows.join(shared, "_key"), "bands")
-    ties, centres = None, 1
+def _neighbours(classes: DataFrame, threshold: float) -> DataFrame | None:
+    """``(node, component)``: neighbourhoods such that every pair over the threshold that shares a band lies in one."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("_regs"), i * (2 * BAND) + 1, F.lit(2 * BAND))))
+    rows = classes.select(F.explode(bands).alias("_key"), "_rep", "_n")
+    left = _shared(rows, "_rep")
+    ties, found, centres = None, None, 1
     while not left.isEmpty():
-        # the first few of a bucket in an order of its own are its centres; summed up before they move
-        order = F.struct(F.xxhash64("_key", "_rep").alias("_o"), F.col("_rep").alias("_c"))
-        tops = left.groupBy("_key").agg(F.min_by("_rep", order["_o"]).alias("_c")) if centres == 1 else _first(left, centres)
-        tops = written(tops, "centres")
-        pairs = left.join(tops, "_key").where("_rep <> _c")
-        distinct = pairs.select(F.least("_rep", "_c").alias("a"), F.greatest("_rep", "_c").alias("b")).distinct()
-        near = written(_estimated(distinct, classes).where(F.col("s") >= ATTACH), "near")
-        found = near.select("a", "b")
-        ties = found if ties is None else ties.unionByName(found)
-        # who is this close to a centre shares it with all its links (1 - similarity is a metric)
-        close = near.where(F.col("s") >= ATTACH + (1 - threshold) + 0.1).select("a", "b")
-        done = pairs.select("_key", "_rep", F.least("_rep", "_c").alias("a"), F.greatest("_rep", "_c").alias("b")).join(close, ["a", "b"]).select("_key", "_rep")
+        tops = written(_centres(left, centres), "centres")
+        pairs = left.join(tops, "_key").where("_label <> _other" if "_label" in left.columns else "_rep <> _c")
+        wanted = pairs.select(F.least("_rep", "_c").alias("a"), F.greatest("_rep", "_c").alias("b")).distinct()
+        near = written(_estimated(wanted, classes, threshold), "near")
+        ties = near.select("a", "b") if ties is None else ties.unionByName(near.select("a", "b"))
+        found = written(connected_components(ties), "neighbourhoods")
+        # who is this close to a centre is tied by it to whatever it is linked with (1 - similarity is a metric)
+        close = near.where("close").select("a", "b")
+        done = left.join(tops, "_key").select("_key", "_rep", F.least("_rep", "_c").alias("a"), F.greatest("_rep", "_c").alias("b")).join(close, ["a", "b"]).select("_key", "_rep")
         done = done.unionByName(tops.select("_key", F.col("_c").alias("_rep"))).distinct()
-        rest = left.join(done, ["_key", "_rep"], "left_anti")
-        alone = rest.groupBy("_key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_key")
-        left = written(rest.join(alone, "_key"), "bands")
+        rest = left.drop("_label").join(done, ["_key", "_rep"], "left_anti")
+        if centres == 1:  # linked classes are alike in size: each goes into its own size's part and the next
+            level = F.floor(F.ln("_n") / F.lit(math.log(1 / threshold))).cast("int")
+            rest = rest.withColumn("_level", F.explode(F.array(level, level + 1))).withColumn("_key", F.xxhash64("_key", "_level")).drop("_level")
+        labelled = rest.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("_label", F.coalesce("component", "_rep")).drop("component")
+        left = _shared(labelled, "_label")
         centres *= 2
-    return ties
+    return found
 
 
-def _first(left: DataFrame, centres: int) -> DataFrame:
-    """The ``centres`` first classes of each bucket: one of each of so many parts of the bucket."""
-    part = F.pmod(F.xxhash64("_rep", "_key"), F.lit(centres)).alias("_part")
-    return left.select("_key", "_rep", part).groupBy("_key", "_part").agg(F.min("_rep").alias("_c")).select("_key", "_c")
+def _shared(rows: DataFrame, of: str) -> DataFrame:
+    """The rows of buckets with more than one ``of``."""
+    several = rows.groupBy("_key").agg(F.min(of).alias("_a"), F.max(of).alias("_b")).where("_a < _b").select("_key")
+    return written(rows.join(several, "_key"), "bands")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` with the corrected estimate ``s`` of their similarity."""
+def _centres(left: DataFrame, centres: int) -> DataFrame:
+    """``(_key, _c, _other)``: one class of each of so many parts of a bucket, and its neighbourhood so far."""
+    own = F.struct(F.xxhash64("_key", "_rep").alias("h"), F.col("_rep").alias("r"), (F.col("_label") if "_label" in left.columns else F.col("_rep")).alias("l"))
+    part = F.pmod(F.xxhash64("_rep", "_key", F.lit(centres)), F.lit(centres)).alias("_part")
+    tops = left.groupBy("_key", part).agg(F.min(own).alias("_o"))
+    return tops.select("_key", F.col("_o.r").alias("_c"), F.col("_o.l").alias("_other"))
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` that are similar at all, and which of them are close."""
     side = lambda x: classes.select(F.col("_rep").alias(x), F.col("_regs").alias(f"_r{x}"), F.col("_n").alias(f"_n{x}"))
     wanted = written(pairs, "pairs")
     both = wanted.join(side("a"), "a").join(side("b"), "b")
@@ -106,10 +112,13 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 continue
             x = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             regs = [np.frombuffer(b"".join(x[n].to_pylist()), dtype="<u2").reshape(-1, REGISTERS) for n in ("_ra", "_rb")]
-            s, _ = similarity(*regs, x["_na"].to_numpy(), x["_nb"].to_numpy())
-            yield pa.RecordBatch.from_arrays([x["a"], x["b"], pa.array(s)], names=["a", "b", "s"])
+            s, draws = similarity(*regs, x["_na"].to_numpy(), x["_nb"].to_numpy())
+            attach = np.minimum(ATTACH, least_estimate(threshold, draws))
+            tied = s >= attach
+            close = s >= attach + (1 - threshold) + 0.1
+            yield pa.RecordBatch.from_arrays([x["a"].filter(pa.array(tied)), x["b"].filter(pa.array(tied)), pa.array(close[tied])], names=["a", "b", "close"])
 
-    return both.select("a", "b", "_ra", "_rb", "_na", "_nb").mapInArrow(estimate, "a long, b long, s double")
+    return both.select("a", "b", "_ra", "_rb", "_na", "_nb").mapInArrow(estimate, "a long, b long, close boolean")
 
 
 class Forest:
@@ -149,9 +158,8 @@ def forest_of_links(ids: list[int], sets: list[np.ndarray], side: list[int], per
         others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
         if not len(others):
             continue
-        s, used = similarity(regs[others], regs[i][None, :], n[others], np.array([n[i]]))
-        t = percent / 100
-        may = s >= t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(used, 1))
+        s, draws = similarity(regs[others], regs[i][None, :], n[others], np.array([n[i]]))
+        may = s >= least_estimate(percent / 100, draws)
         pairs += [(-x, i, j) for x, j in zip(s[may].tolist(), others[may].tolist(), strict=True)]
     forest, links = Forest(len(ids)), []
     for _, i, j in sorted(pairs):
@@ -209,10 +217,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = _sketches(docs, id_col, text_col)
     kinds = sketches.where("_n > 0 AND _id IS NOT NULL").groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"), F.first("_regs").alias("_regs"), F.first("_n").alias("_n"))
     kinds = written(kinds, "classes")
-    ties = _neighbours(kinds.select("_rep", "_regs", "_n"), percent / 100)
+    neighbourhoods = _neighbours(kinds.select("_rep", "_regs", "_n"), percent / 100)
     roots = None
-    if ties is not None:
-        neighbourhoods = connected_components(ties)
+    if neighbourhoods is not None:
         links = written(_confirmed(docs, neighbourhoods, id_col, text_col, percent), "confirmed")
         roots = connected_components(links)
     classes = kinds.select("_digest", "_rep", "_copies")

@@ -49,9 +49,14 @@ def shingle_set(text: bytes, seen: WordHashes) -> np.ndarray:
     return np.unique(mix(total))
 
 
+#: Registers are kept in this order, so that neighbours in a sketch have borrowed from different places.
+_ORDER = np.random.default_rng(7).permutation(REGISTERS)
+
+
 def registers(hashes: np.ndarray) -> np.ndarray:
     """HyperMinHash: for each of 256 buckets (the top 8 bits) the least rest of 56 bits, kept as its leading zeros
-    plus one (6 bits) and the 10 bits after the leading one; 0 for an empty bucket."""
+    plus one (6 bits) and the 10 bits after the leading one. An empty bucket borrows the next full one's, so that
+    short texts fill their sketches too; no shingles are all zeros."""
     out = np.zeros(REGISTERS, dtype="<u2")
     if not len(hashes):
         return out
@@ -62,8 +67,9 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     fraction, exponent = np.frexp((rest >> np.uint64(3)).astype("f8"))
     zeros = np.where(rest >> np.uint64(3), 53 - exponent, 53).astype("u4")
     mantissa = np.where(fraction > 0, (fraction * 2 - 1) * (1 << MANTISSA), 0).astype("u4")
-    out[bucket[first]] = ((zeros + 1) << MANTISSA) | mantissa
-    return out
+    full = bucket[first]
+    next_full = np.searchsorted(full, np.arange(REGISTERS)) % len(full)
+    return (((zeros + 1) << MANTISSA) | mantissa).astype("<u2")[next_full][_ORDER]
 
 
 def chance_match(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -79,9 +85,13 @@ def chance_match(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
 
 
 def similarity(reg_a: np.ndarray, reg_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated Jaccard similarity of rows of registers, corrected for chance matches, and the registers it rests on."""
-    full = (reg_a != 0) | (reg_b != 0)
-    used = full.sum(-1)
-    equal = ((reg_a == reg_b) & full).sum(-1)
+    """Estimated Jaccard similarity of rows of registers, corrected for chance matches, and how many draws it rests on."""
+    equal = (reg_a == reg_b).mean(-1)
     chance = chance_match(n_a, n_b)
-    return np.clip((equal / np.maximum(used, 1) - chance) / (1 - chance), 0, 1), used
+    draws = REGISTERS * -np.expm1(-np.maximum(n_a, n_b) / REGISTERS)
+    return np.clip((equal - chance) / (1 - chance), 0, 1), draws
+
+
+def least_estimate(threshold: float, draws: np.ndarray, sigmas: float = 6.0) -> np.ndarray:
+    """What the estimate of a pair at the threshold falls below with a chance of 1e-9."""
+    return threshold - sigmas * np.sqrt(threshold * (1 - threshold) / np.maximum(draws, 1))
