@@ -12,12 +12,14 @@ are too many to send to every task: their tokens are joined with the vocabulary
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,6 +31,8 @@ from colsieve.sources.scratch import written
 #: A word is frequent from this share of all tokens on, so at most as many words are.
 FREQUENT = 1 << 18
 CLASSES, ENDINGS, ROUNDS = 64, 32, 6
+#: Parts that the table of bigrams is dealt into, at least.
+PARTS = 64
 #: Weight of the class model against the unigram model, and of class frequencies against class bigrams.
 LAMBDA, BETA = 0.95, 100.0
 #: The end of a text; words are never empty.
@@ -62,6 +66,16 @@ class Ids(dict):
         return v
 
 
+class Hashes(dict):
+    """Hashes of words seen; a bounded cache."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        v = self[word] = identity(word)
+        return v
+
+
 def in_training(id_col: str, folds: int = 7, held_out: int = 2):  # noqa: ANN201
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != held_out
 
@@ -81,7 +95,7 @@ def vocabulary(train: DataFrame) -> DataFrame:
             for text in b.column(0):
                 seen.update(text.as_py().lower().split())
             texts += b.num_rows
-            if len(seen) > 300_000:
+            if len(seen) > 600_000:
                 yield flush()
                 seen.clear()
                 texts = 0
@@ -104,21 +118,61 @@ class Model:
     types: int
 
 
-def bigrams(train: DataFrame, frequent, n_ids: int) -> DataFrame:  # noqa: ANN001
-    """``(a, b, n)`` of neighbouring ids over whole texts, from end to end."""
+def _dealt(key: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Bigrams as packed arrays, one row for each part of their ``key``."""
+    part = key % parts
+    order = np.argsort(part, kind="stable")
+    ends = np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
+    a, b, n = (v[order].astype(t) for v, t in ((a, "<i4"), (b, "<i4"), (n, "<i8")))
+    for i in np.flatnonzero(np.diff(ends)):
+        at = slice(ends[i], ends[i + 1])
+        yield int(i), a[at].tobytes(), b[at].tobytes(), n[at].tobytes()
+
+
+_PACKED = "part int, a binary, b binary, n binary"
+
+
+def _packed(rows: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "a", "b", "n"])
+
+
+def _unpacked(part: pa.RecordBatch | pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    columns = [part[c] for c in ("a", "b", "n")] if isinstance(part, pd.DataFrame) else [part.column(part.schema.names.index(c)).to_pylist() for c in ("a", "b", "n")]
+    for a, b, n in zip(*columns, strict=True):
+        yield np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4"), np.frombuffer(n, "<i8")
+
+
+def bigrams(train: DataFrame, frequent, n_ids: int, parts: int) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """Counts of neighbouring ids over whole texts, from end to end: packed in parts by the first id, and by the second."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = Ids(frequent.value), n_ids - 1
         for b in batches:
-            parts = [np.array([end])]
-            for text in b.column(0):
-                words = text.as_py().lower().split()
-                parts += [np.fromiter(map(ids.__getitem__, words), dtype="i8", count=len(words)), parts[0]]
-            row = np.concatenate(parts)
+            texts = [x.as_py().lower().split() for x in b.column(0)]
+            ends = np.cumsum([len(x) + 1 for x in texts])
+            row = np.full(ends[-1] + 1 if len(ends) else 1, end, dtype="i8")
+            inside = np.ones(len(row), dtype=bool)
+            inside[0] = inside[ends] = False
+            row[inside] = np.fromiter(map(ids.__getitem__, itertools.chain.from_iterable(texts)), dtype="i8", count=int(inside.sum()))
             code, n = np.unique(row[:-1] * n_ids + row[1:], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((code // n_ids).astype("i4")), pa.array((code % n_ids).astype("i4")), pa.array(n.astype("i8"))], names=["a", "b", "n"])
+            x, y = code // n_ids, code % n_ids
+            yield _packed(list(_dealt(x, x, y, n, parts)))
 
-    return train.select("_text").mapInArrow(count, "a int, b int, n long")
+    def merged(part: pd.DataFrame) -> pd.DataFrame:
+        x, y, n = (np.concatenate(v) for v in zip(*_unpacked(part), strict=True))
+        code, place = np.unique(x.astype("i8") * n_ids + y, return_inverse=True)
+        total = np.bincount(place, weights=n).astype("<i8")
+        return pd.DataFrame([(int(part["part"].iloc[0]), (code // n_ids).astype("<i4").tobytes(), (code % n_ids).astype("<i4").tobytes(), total.tobytes())], columns=["part", "a", "b", "n"])
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, n in _unpacked(batch):
+                yield _packed(list(_dealt(y, x, y, n, parts)))
+
+    by_a = written(train.select("_text").mapInArrow(count, _PACKED).groupBy("part").applyInPandas(merged, _PACKED), "bigrams-a")
+    by_b = written(by_a.mapInArrow(turned, _PACKED).groupBy("part").applyInPandas(merged, _PACKED), "bigrams-b")
+    return by_a, by_b
 
 
 def _class_bigrams(table: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
@@ -127,36 +181,34 @@ def _class_bigrams(table: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, c = np.zeros(k * k), shared.value.astype("i8")
-        for b in batches:
-            x, y, n = (v.to_numpy() for v in b.columns)
-            total += np.bincount(c[x] * k + c[y], weights=n, minlength=k * k)
+        for batch in batches:
+            for x, y, n in _unpacked(batch):
+                total += np.bincount(c[x] * k + c[y], weights=n, minlength=k * k)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
-    parts = table.select("a", "b", "n").mapInArrow(add, "m binary").collect()
+    parts = table.mapInArrow(add, "m binary").collect()
     return sum((np.frombuffer(r["m"]) for r in parts), np.zeros(k * k)).reshape(k, k)
 
 
-def _fit_of_classes(table: DataFrame, word: str, other: str, classes: np.ndarray, logs: np.ndarray, n_frequent: int) -> np.ndarray:
+def _fit_of_classes(table: DataFrame, first: bool, classes: np.ndarray, logs: np.ndarray, n_frequent: int) -> np.ndarray:
     """For each frequent word and class, the log likelihood of the word's neighbours on one side. ``table`` is dealt by
-    ``word``, so a task returns its own words' rows; all rows are at most 2**18 * 64 floats."""
+    the word, its first id or its second, so a task returns its own words' rows: in all 2**18 * 64 floats at most."""
     shared = table.sparkSession.sparkContext.broadcast((classes, logs.astype("f4")))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, logs = shared.value
-        for b in batches:
-            w, o, n = (v.to_numpy() for v in b.columns)
-            own = w < n_frequent
-            if not own.any():
-                continue
-            words, row = np.unique(w[own], return_inverse=True)
-            k = logs.shape[0]
-            near = np.bincount(row * k + c[o[own]].astype("i8"), weights=n[own], minlength=len(words) * k).reshape(len(words), k)
-            yield pa.RecordBatch.from_arrays([pa.array(words.astype("i4")), pa.array([x.tobytes() for x in (near.astype("f4") @ logs)], pa.binary())], names=["w", "s"])
-
-    # a batch has part of a task's words; parts of one word are summed up here
+        k = logs.shape[0]
+        for batch in batches:
+            for x, y, n in _unpacked(batch):
+                w, o = (x, y) if first else (y, x)
+                own = w < n_frequent
+                words, row = np.unique(w[own], return_inverse=True)
+                near = np.bincount(row * k + c[o[own]].astype("i8"), weights=n[own], minlength=len(words) * k).reshape(len(words), k)
+                yield pa.RecordBatch.from_arrays([pa.array([words.astype("<i4").tobytes()], pa.binary()), pa.array([(near.astype("f4") @ logs).tobytes()], pa.binary())], names=["w", "s"])
+
     out = np.zeros((n_frequent, CLASSES), dtype="f4")
-    for r in table.select(word, other, "n").mapInArrow(add, "w int, s binary").toLocalIterator(prefetchPartitions=True):
-        out[r["w"]] += np.frombuffer(r["s"], dtype="f4")
+    for r in table.mapInArrow(add, "w binary, s binary").collect():
+        out[np.frombuffer(r["w"], "<i4")] += np.frombuffer(r["s"], dtype="f4").reshape(-1, CLASSES)
     return out
 
 
@@ -176,7 +228,7 @@ def exchange(by_a: DataFrame, by_b: DataFrame, counts: np.ndarray, classes: np.n
         p = (m + 0.1) / (m + 0.1).sum(1, keepdims=True)
         follow, lead = np.log(p[:CLASSES]).T, np.log(p[:, :CLASSES])  # (class of the next, own), (class of the one before, own)
         size = np.maximum(m.sum(0)[:CLASSES], 1)
-        score = _fit_of_classes(by_a, "a", "b", classes, follow, n_words) + _fit_of_classes(by_b, "b", "a", classes, lead, n_words)
+        score = _fit_of_classes(by_a, True, classes, follow, n_words) + _fit_of_classes(by_b, False, classes, lead, n_words)
         score -= counts[:, None].astype("f4") * np.log(size)[None, :].astype("f4")
         moved = classes.copy()
         half = np.arange(n_words) % 2 == t % 2
@@ -207,9 +259,8 @@ def train_model(train: DataFrame, vocab: DataFrame) -> Model:
     rest = np.arange(CLASSES // 2, n_words)
     classes[rest] = CLASSES // 2 + top["ending"].to_numpy("i8")[rest] % (CLASSES // 2)
     shared = spark.sparkContext.broadcast(frequent)
-    pairs = bigrams(train, shared, n_ids)
-    by_a = written(pairs.repartition("a").groupBy("a", "b").agg(F.sum("n").alias("n")).sortWithinPartitions("a"), "bigrams-a")
-    by_b = written(by_a.repartition("b").sortWithinPartitions("b"), "bigrams-b")
+    parts = max(PARTS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by_a, by_b = bigrams(train, shared, n_ids, parts)
     classes, m = exchange(by_a, by_b, counts, classes, k)
     size, kinds = np.zeros(k), np.zeros(k)
     np.add.at(size, classes[:n_words], counts)
@@ -246,30 +297,33 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     def known_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        ids, n_words, end = Ids(m.frequent), len(m.frequent), len(m.classes) - 1
-        row, task = 0, TaskContext.get().partitionId() << 40
+        ids, hashes, n_words, end = Ids(m.frequent), Hashes(), len(m.frequent), len(m.classes) - 1
+        done, task = 0, TaskContext.get().partitionId() << 40
         end_log = float(np.log10(m.end_count + 1))
+        log_counts = np.r_[m.log_counts, np.zeros(len(m.classes) - n_words)]
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for text in b.column(1):
-                words = text.as_py().lower().split()
-                at = np.empty(len(words) + 2, dtype="i8")
-                at[0] = at[-1] = end
-                at[1:-1] = np.fromiter(map(ids.__getitem__, words), dtype="i8", count=len(words))
-                c = m.classes[at]
-                rare = at[1:-1] >= n_words
-                counts = float(m.log_counts[at[1:-1][~rare]].sum()) + end_log
-                others = Counter(words[i] for i in np.flatnonzero(rare).tolist())
-                out[0].append(len(words) + 1)
-                out[1].append(len(words) - int(rare.sum()) + (m.end_count > 0))
-                out[2].append(counts)
-                out[3].append(float(m.log_step[c[:-1], c[1:]].sum()))
-                out[4].append([identity(w) for w in others])
-                out[5].append(list(others.values()))
             n = b.num_rows
-            made = [b.column(0), b.column(2), pa.array(range(task + row, task + row + n), pa.int64())]
-            made += [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)]
-            row += n
+            texts = [x.as_py().lower().split() for x in b.column(1)]
+            size = np.array([len(x) + 1 for x in texts], dtype="i8")
+            ends = np.cumsum(size)
+            at = np.full(int(size.sum()) + 1, end, dtype="i8")  # each text's words and its end; before the first, an end
+            inside = np.ones(len(at), dtype=bool)
+            inside[0] = inside[ends] = False
+            at[inside] = np.fromiter(map(ids.__getitem__, itertools.chain.from_iterable(texts)), dtype="i8", count=int(inside.sum()))
+            c = m.classes[at]
+            starts = ends - size
+            rare = (at[1:] >= n_words) & (at[1:] < end)
+            sums = [np.add.reduceat(v, starts) if n else v for v in (rare.astype("i8"), log_counts[at[1:]], m.log_step[c[:-1], c[1:]])]
+            words, times = [], []
+            flags = rare.tolist()
+            for i in range(n):
+                others = Counter(itertools.compress(texts[i], flags[starts[i] : ends[i] - 1]))
+                words.append(list(map(hashes.__getitem__, others)))
+                times.append(list(others.values()))
+            known = size - 1 - sums[0] + (m.end_count > 0)
+            made = [b.column(0), b.column(2), pa.array(np.arange(done, done + n) + task), pa.array(size), pa.array(known), pa.array(sums[1] + end_log), pa.array(sums[2])]
+            made += [pa.array(x, pa.list_(pa.int64())) for x in (words, times)]
+            done += n
             yield pa.RecordBatch.from_arrays(made, names=["_id", "_held", "_row", "_t", "_k", "_counts", "_steps", "_words", "_times"])
 
     parts = written(rows.select("_id", "_text", "_held").mapInArrow(known_part, f"_id {kind}, _held boolean, _row long, _t long, _k long, _counts double, _steps double, _words array<long>, _times array<long>"), "scored")
