@@ -74,7 +74,7 @@ def flat_features(long: DataFrame, least: float = 1e-2, feature: str = "feature"
     return long.groupBy(feature).agg(F.coalesce(spread, F.lit(0.0)).alias("spread")).withColumn("flat", F.col("spread") < least)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _three(values):  # noqa: ANN001, ANN202
     """Three decimals of the binary number, as Python writes it; a report has a row for each column."""
     return values.map(lambda v: None if v != v else f"{v:.3f}")
