@@ -33,9 +33,11 @@ def dataset(spark: SparkSession, name: str, params: dict) -> tuple[DataFrame, li
 
 def frame(spark: SparkSession, x: np.ndarray, y: np.ndarray) -> DataFrame:
     """A matrix in memory as a wide DataFrame."""
-    import pandas as pd
+    import pyarrow as pa
 
-    return spark.createDataFrame(pd.DataFrame({"sample_id": np.arange(len(x)), "features": list(x.astype("f8")), "label": y}))
+    offsets = np.arange(len(x) + 1, dtype="i4") * x.shape[1]
+    features = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(x, dtype="f8").ravel()))
+    return spark.createDataFrame(pa.table({"sample_id": pa.array(np.arange(len(x))), "features": features, "label": pa.array(y.tolist())}))
 
 
 @register("embeddings")
