@@ -13,18 +13,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): every step hangs nodes on the smallest
     neighbour, so the number of steps grows with the logarithm of the longest path. Minima are summed up in
-    each task before they move, links are written after each round, and only a count and a checksum reach the
-    driver. Null ends and links of a node with itself are ignored, repeated links count once.
+    each task before they move, links are written after each round, and only counts reach the driver. Null ends and links of a node with itself are ignored, repeated links count once.
     """
     rows = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     rows = written(rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     kind = links.schema[a].dataType
-    before = None
-    while True:
-        mark = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
-        if not mark[0] or mark == before:
-            break
-        before = mark
+    while not _is_forest_of_stars(rows):
         # large star: every larger neighbour hangs on the smallest of a node and its neighbours
         both = rows.unionByName(rows.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -38,3 +32,20 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     roots = rows.select(F.col("v").alias("node")).distinct()
     out = rows.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
     return out.select(F.col("node").cast(kind), F.col("component").cast(kind))
+
+
+def _is_forest_of_stars(rows: DataFrame) -> bool:
+    """Whether each larger end has one link, to a node that is never a larger end itself."""
+    links, ends = rows.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
+    return links == ends and rows.join(rows.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
+def add_links(components: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``components`` of a graph after more ``links``: what is joined is as many rows as there are new links, not old ones."""
+    side = lambda x: components.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
+    named = links.select(F.col(a).alias("a"), F.col(b).alias("b")).join(side("a"), "a", "left").join(side("b"), "b", "left")
+    between = named.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b").distinct()
+    merged = connected_components(between)
+    roots = merged.select(F.col("node").alias("component"), F.col("component").alias("_root"))
+    moved = components.join(roots, "component", "left").select("node", F.coalesce("_root", "component").alias("component"))
+    return moved.unionByName(merged.join(components.select("node"), "node", "left_anti").select("node", "component"))
