@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from colsieve.llm.shingles import REGISTERS, WordHashes, least_estimate, registers, shingle_set, similarity
 from colsieve.llm.skew import attach, maybe_in
 from colsieve.llm.tokens import as_bytes
-from colsieve.operators.graph import connected_components
+from colsieve.operators.graph import add_links, connected_components
 from colsieve.sources.scratch import written
 
 BAND = 7
@@ -64,14 +64,13 @@ def _neighbours(classes: DataFrame, threshold: float) -> DataFrame | None:
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("_regs"), i * (2 * BAND) + 1, F.lit(2 * BAND))))
     rows = classes.select(F.explode(bands).alias("_key"), "_rep", "_n")
     left = _shared(rows, "_rep")
-    ties, found, centres = None, None, 1
+    found, centres = None, 1
     while not left.isEmpty():
         tops = written(_centres(left, centres), "centres")
         pairs = left.join(tops, "_key").where("_label <> _other" if "_label" in left.columns else "_rep <> _c")
         wanted = pairs.select(F.least("_rep", "_c").alias("a"), F.greatest("_rep", "_c").alias("b")).distinct()
         near = written(_estimated(wanted, classes, threshold), "near")
-        ties = near.select("a", "b") if ties is None else ties.unionByName(near.select("a", "b"))
-        found = written(connected_components(ties), "neighbourhoods")
+        found = written(connected_components(near) if found is None else add_links(found, near), "neighbourhoods")
         # who is this close to a centre is tied by it to whatever it is linked with (1 - similarity is a metric)
         close = near.where("close").select("a", "b")
         done = left.join(tops, "_key").select("_key", "_rep", F.least("_rep", "_c").alias("a"), F.greatest("_rep", "_c").alias("b")).join(close, ["a", "b"]).select("_key", "_rep")
