@@ -124,7 +124,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: float = 3
 
 
 def train(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Ordinal:
-    """Fits on the ``sample`` rated documents (``id_col, grade``) whose ids hash smallest. Rows with null grades or ids don't count."""
+    """Fits on the ``sample`` rated documents (``id_col, grade``) whose ids hash smallest, in one task of an executor. Rows with null grades or ids don't count."""
     rated = grades.where(F.col("grade").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col("grade").cast("int").alias("_grade"))
     chosen = rated.orderBy(F.xxhash64("_id"), "_id", "_grade").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), as_bytes(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
@@ -135,9 +135,19 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_
             rows = [features(x.as_py(), seen).astype("<i4").tobytes() for x in b.column("_text")]
             yield pa.RecordBatch.from_arrays([b.column("_id").cast(pa.string()), b.column("_grade"), pa.array(rows, pa.binary())], names=["_id", "_grade", "_x"])
 
-    # ids may repeat in the documents, so the limit holds once more
-    got = texts.select("_id", "_grade", "_text").mapInArrow(extract, "_id string, _grade int, _x binary").orderBy(F.xxhash64("_id"), "_x", "_grade").limit(sample).collect()
-    return fit([np.frombuffer(r["_x"], "<i4").astype("i8") for r in got], np.array([r["_grade"] for r in got], dtype="i8"), n_grades)
+    # ids may repeat in the documents, so the limit holds once more; it leaves one partition, whose task fits
+    got = texts.select("_id", "_grade", "_text").mapInArrow(extract, "_id string, _grade int, _x binary").orderBy(F.xxhash64("_id"), "_x", "_grade").limit(sample)
+
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, grades = [], []
+        for b in batches:
+            rows += [np.frombuffer(x.as_py(), "<i4") for x in b.column("_x")]
+            grades += b.column("_grade").to_pylist()
+        model = fit(rows, np.array(grades, dtype="i8"), n_grades)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.thresholds.astype("f8").tobytes()], pa.binary())], names=["w", "t"])
+
+    fitted = got.select("_grade", "_x").mapInArrow(fit_all, "w binary, t binary").first()
+    return Ordinal(np.frombuffer(fitted["w"], "f4"), np.frombuffer(fitted["t"])) if fitted else fit([], np.array([]), n_grades)
 
 
 def scored(docs: DataFrame, model: Ordinal, text_col: str = "text", prefix: str = "", carry: list[str] | None = None) -> DataFrame:
