@@ -68,7 +68,7 @@ class LinearSvm(Classifier):
     defaults = {"C": 1.0, "max_iter": 1000}
 
     def fit_binary(self, x: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, float]:
-        return solvers.squared_hinge(x, sign, self.params["C"], self.params["max_iter"])
+        return solvers.squared_hinge(x, sign, self.params["C"], self.params["max_iter"])[:2]
 
 
 class Lda(Classifier):

@@ -141,7 +141,7 @@ def test_lasso_is_optimal(c):
 def test_svm_and_logistic_are_optimal(c):
     x, y = planted(60, 100, shift=0.3)
     sign = np.where(y == 1, 1.0, -1.0)
-    w, b = solvers.squared_hinge(x, sign, c)
+    w, b, _ = solvers.squared_hinge(x, sign, c)
     slack = np.maximum(0, 1 - sign * (x @ w + b))
     assert np.abs(np.r_[w, b] - 2 * c * np.c_[x, np.ones(60)].T @ (sign * slack)).max() < 1e-7
     w, b = solvers.logistic_l2(x, sign, c)
