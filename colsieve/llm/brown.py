@@ -33,6 +33,8 @@ FREQUENT = 1 << 18
 CLASSES, ENDINGS, ROUNDS = 64, 32, 6
 #: Parts that the table of bigrams is dealt into, at least.
 PARTS = 64
+#: Bytes of text whose words are held at once.
+SLICE = 4 << 20
 #: Weight of the class model against the unigram model, and of class frequencies against class bigrams.
 LAMBDA, BETA = 0.95, 100.0
 #: The end of a text; words are never empty.
@@ -118,6 +120,30 @@ class Model:
     types: int
 
 
+def _slices(column: pa.Array) -> Iterator[tuple[int, int, list[list[bytes]]]]:
+    """Where texts of a few megabytes begin and end in a column, and their words: a whole batch's words are too many objects."""
+    start, texts, size = 0, [], 0
+    for i, x in enumerate(column):
+        text = x.as_py()
+        texts.append(text.lower().split())
+        size += len(text)
+        if size > SLICE:
+            yield start, i + 1, texts
+            start, texts, size = i + 1, [], 0
+    if texts:
+        yield start, len(column), texts
+
+
+def _row(texts: list[list[bytes]], ids: Ids, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts one after the other, an end before the first and after each, and how many tokens each has."""
+    size = np.array([len(x) + 1 for x in texts], dtype="i8")
+    row = np.full(int(size.sum()) + 1, end, dtype="i8")
+    inside = np.ones(len(row), dtype=bool)
+    inside[0] = inside[np.cumsum(size)] = False
+    row[inside] = np.fromiter(map(ids.__getitem__, itertools.chain.from_iterable(texts)), dtype="i8", count=int(inside.sum()))
+    return row, size
+
+
 def _dealt(key: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
     """Bigrams as packed arrays, one row for each part of their ``key``."""
     part = key % parts
@@ -149,13 +175,11 @@ def bigrams(train: DataFrame, frequent, n_ids: int, parts: int) -> tuple[DataFra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = Ids(frequent.value), n_ids - 1
         for b in batches:
-            texts = [x.as_py().lower().split() for x in b.column(0)]
-            ends = np.cumsum([len(x) + 1 for x in texts])
-            row = np.full(ends[-1] + 1 if len(ends) else 1, end, dtype="i8")
-            inside = np.ones(len(row), dtype=bool)
-            inside[0] = inside[ends] = False
-            row[inside] = np.fromiter(map(ids.__getitem__, itertools.chain.from_iterable(texts)), dtype="i8", count=int(inside.sum()))
-            code, n = np.unique(row[:-1] * n_ids + row[1:], return_counts=True)
+            codes = [np.unique(row[:-1] * n_ids + row[1:], return_counts=True) for row in (_row(texts, ids, end)[0] for _, _, texts in _slices(b.column(0)))]
+            if not codes:
+                continue
+            code, place = np.unique(np.concatenate([c for c, _ in codes]), return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate([n for _, n in codes])).astype("i8")
             x, y = code // n_ids, code % n_ids
             yield _packed(list(_dealt(x, x, y, n, parts)))
 
@@ -302,29 +326,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         end_log = float(np.log10(m.end_count + 1))
         log_counts = np.r_[m.log_counts, np.zeros(len(m.classes) - n_words)]
         for b in batches:
-            n = b.num_rows
-            texts = [x.as_py().lower().split() for x in b.column(1)]
-            size = np.array([len(x) + 1 for x in texts], dtype="i8")
-            ends = np.cumsum(size)
-            at = np.full(int(size.sum()) + 1, end, dtype="i8")  # each text's words and its end; before the first, an end
-            inside = np.ones(len(at), dtype=bool)
-            inside[0] = inside[ends] = False
-            at[inside] = np.fromiter(map(ids.__getitem__, itertools.chain.from_iterable(texts)), dtype="i8", count=int(inside.sum()))
-            c = m.classes[at]
-            starts = ends - size
-            rare = (at[1:] >= n_words) & (at[1:] < end)
-            sums = [np.add.reduceat(v, starts) if n else v for v in (rare.astype("i8"), log_counts[at[1:]], m.log_step[c[:-1], c[1:]])]
-            words, times = [], []
-            flags = rare.tolist()
-            for i in range(n):
-                others = Counter(itertools.compress(texts[i], flags[starts[i] : ends[i] - 1]))
-                words.append(list(map(hashes.__getitem__, others)))
-                times.append(list(others.values()))
-            known = size - 1 - sums[0] + (m.end_count > 0)
-            made = [b.column(0), b.column(2), pa.array(np.arange(done, done + n) + task), pa.array(size), pa.array(known), pa.array(sums[1] + end_log), pa.array(sums[2])]
-            made += [pa.array(x, pa.list_(pa.int64())) for x in (words, times)]
-            done += n
-            yield pa.RecordBatch.from_arrays(made, names=["_id", "_held", "_row", "_t", "_k", "_counts", "_steps", "_words", "_times"])
+            for first, last, texts in _slices(b.column(1)):
+                at, size = _row(texts, ids, end)
+                n, ends = len(texts), np.cumsum(size)
+                starts = ends - size
+                c = m.classes[at]
+                rare = (at[1:] >= n_words) & (at[1:] < end)
+                rares, counts, steps = (np.add.reduceat(v, starts) for v in (rare.astype("i8"), log_counts[at[1:]], m.log_step[c[:-1], c[1:]]))
+                flags = rare.tolist()
+                others = [Counter(itertools.compress(t, flags[s : e - 1])) for t, s, e in zip(texts, starts.tolist(), ends.tolist(), strict=True)]
+                known = size - 1 - rares + (m.end_count > 0)
+                part = b.slice(first, last - first)
+                made = [part.column(0), part.column(2), pa.array(np.arange(done, done + n) + task), pa.array(size), pa.array(known), pa.array(counts + end_log), pa.array(steps)]
+                made += [pa.array([list(map(hashes.__getitem__, o)) for o in others], pa.list_(pa.int64())), pa.array([list(o.values()) for o in others], pa.list_(pa.int64()))]
+                done += n
+                yield pa.RecordBatch.from_arrays(made, names=["_id", "_held", "_row", "_t", "_k", "_counts", "_steps", "_words", "_times"])
 
     parts = written(rows.select("_id", "_text", "_held").mapInArrow(known_part, f"_id {kind}, _held boolean, _row long, _t long, _k long, _counts double, _steps double, _words array<long>, _times array<long>"), "scored")
     rare = parts.select("_row", F.explode(F.arrays_zip("_words", "_times")).alias("_x")).select("_row", F.col("_x._words").alias("word"), F.col("_x._times").alias("times"))
