@@ -141,6 +141,37 @@ def pair_correlations(long: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys, "a", "b").agg(F.corr("_x", "_y").alias("r"))
 
 
+def close_pairs(long: DataFrame, limit: float, block: int = 1024) -> DataFrame:
+    """``(a, b, r)`` of the pairs of features a < b with |r| over ``limit``, for any number of features.
+
+    Features lie in blocks; a task holds two blocks of columns and multiplies them, so neither all pairs nor all
+    columns are ever in one place, and a row is made for a pair that is kept alone. All samples need all features;
+    constant features have no pairs.
+    """
+    blocks = long.agg(F.max("feature")).select((F.floor(F.col("max(feature)") / block) + 1).cast("int").alias("_n"))
+    rows = long.select("sample_id", "feature", "value").withColumn("_b", F.floor(F.col("feature") / block).cast("int")).crossJoin(F.broadcast(blocks))
+    columns = rows.groupBy("_b", "_n", "feature").agg(F.array_sort(F.collect_list(F.struct("sample_id", "value"))).alias("_c"))
+    columns = columns.select("_b", "feature", F.transform("_c", lambda e: e["value"]).alias("_c"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
+    met = columns.select("feature", "_c", F.col("_b"), F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+
+    def multiply(part):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pandas as pd
+
+        part = part.sort_values("feature")
+        z = np.stack(part["_c"].to_numpy())
+        z = z - z.mean(1, keepdims=True)
+        size = np.sqrt((z * z).sum(1, keepdims=True))
+        z = np.divide(z, size, out=np.zeros_like(z), where=size > 0)
+        feature, own = part["feature"].to_numpy(), part["_b"].to_numpy()
+        left, right = own == part["_i"].iloc[0], own == part["_j"].iloc[0]
+        r = z[left] @ z[right].T
+        i, j = np.nonzero((np.abs(r) > limit) & (feature[left][:, None] < feature[right][None, :]))
+        return pd.DataFrame({"a": feature[left][i], "b": feature[right][j], "r": r[i, j]})
+
+    return met.groupBy("_i", "_j").applyInPandas(multiply, "a int, b int, r double")
+
+
 def kendall(long: DataFrame, keys: list[str], target: str) -> DataFrame:
     """``(keys, feature, tau)``, Kendall's tau-b with ``target``: pairs of samples, so for small numbers of them."""
     left = long.select(*keys, "feature", F.col("sample_id").alias("_i"), F.col("value").alias("_x"), F.col(target).cast("double").alias("_s"))
@@ -271,7 +302,7 @@ def correlation_select(long: DataFrame, target: str, target_threshold: float, li
     """``(feature, r, pos)``: features correlated with the target, without the redundant ones, most correlated first."""
     candidates = correlations(long, [], target).where(F.abs("r") >= target_threshold).select("feature", "r")
     rows = long.join(F.broadcast(candidates.select("feature")), "feature", "left_semi")
-    kept = uncorrelated(candidates, pair_correlations(rows, []), [], limit)
+    kept = uncorrelated(candidates, close_pairs(rows, limit), [], limit)
     first = W.orderBy(F.desc(F.round(F.abs("r"), 9)), "feature")
     return kept.withColumn("pos", F.row_number().over(first)).where(F.col("pos") <= n_features)
 

@@ -407,6 +407,28 @@ def run_config(spark: SparkSession, matrix: DataFrame, config: dict, resume: boo
     return spark.read.parquet(out)
 
 
+def run_until_done(spark: SparkSession, matrix: DataFrame, config: dict, restarts: int = 3, truth: list[int] | None = None) -> DataFrame:
+    """Runs and resumes until every cell has a row, or ``restarts`` runs in a row added none."""
+    from colsieve.sources.sinks import exists
+
+    idle, before = 0, -1
+    while True:
+        try:
+            run_config(spark, matrix, config, resume=exists(spark, config["output"]), truth=truth)
+        except Exception:
+            if idle + 1 >= restarts:
+                raise
+        done = spark.read.parquet(config["output"]) if exists(spark, config["output"]) else None
+        count = done.count() if done is not None else 0
+        tasks = [r["task"] for r in protocol.tasks_ovr(matrix).collect()]
+        if done is not None and remaining(cells(spark, tasks, checked(config)), done).isEmpty():
+            return done
+        idle = idle + 1 if count == before else 0
+        before = count
+        if idle >= restarts:
+            raise RuntimeError(f"{restarts} runs in a row added nothing; {count} rows are done")
+
+
 def main(argv: list[str] | None = None) -> None:
     from colsieve.sources.datasets import dataset
 

@@ -253,8 +253,7 @@ class CorrelationSelector(Filter, aliases=["correlation"]):
         rows = long.join(F.broadcast(few), "feature", "left_semi")
         if self.method == "kendall":
             raise ValueError("Kendall's redundancy step works on a matrix in memory")
-        close = kernels.pair_correlations(rows, []).where(F.abs("r") > self.inter_feature_threshold)
-        self._pairs = [(p["a"], p["b"]) for p in close.select("a", "b").collect()]
+        self._pairs = [(p["a"], p["b"]) for p in kernels.close_pairs(rows, self.inter_feature_threshold).select("a", "b").collect()]
 
     def _choose(self) -> None:
         if not (self.target_corr_ >= self.target_threshold).any():

@@ -253,7 +253,7 @@ PAIRS = "pr AS MATERIALIZED (SELECT a.feature AS a, b.feature AS b, corr(a.value
 
 @C.query(f"WITH {X}, {PAIRS} SELECT a, b, round(r, 9) AS r FROM pr WHERE abs(r) > 0.1")
 def redundant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.pair_correlations(to_long(embeddings(spark, sf_dir)), []).where(F.abs("r") > 0.1).select("a", "b", _r("r"))
+    return kernels.close_pairs(to_long(embeddings(spark, sf_dir)), 0.1).select("a", "b", _r("r"))
 
 
 @C.query(
@@ -307,3 +307,15 @@ def chain_mw_then_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = kernels.best_first(z, [], "z").where("pos <= 30").select("feature")
     rows = _binary(spark, sf_dir).join(F.broadcast(kept), "feature", "left_semi")
     return kernels.correlation_select(rows, "y", 0.02, 0.08, 10).select("feature", _r("r"), "pos")
+
+
+@C.query(
+    f"""{U_SPLIT}, s AS (SELECT *, exp(log_p) AS p FROM u), b AS (SELECT *, CASE WHEN p <= 0.05::DOUBLE * row_number() OVER (PARTITION BY split, task ORDER BY p, feature) / count(*) OVER (PARTITION BY split, task) THEN p END AS under FROM s),
+c AS (SELECT split, task, p, coalesce(p <= max(under) OVER (PARTITION BY split, task), false) AS passes FROM b)
+SELECT split, task, round(avg(passes::INTEGER), 9) AS bh_share, round(avg((p < 0.05)::INTEGER), 9) AS nominal_share FROM c GROUP BY split, task"""
+)
+def bh_share_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of features that pass the rank-sum test on each training part, with and without correction."""
+    p = kernels.benjamini_hochberg(_u_split(spark, sf_dir).withColumn("p", F.exp("log_p")), ["split", "task"], "p", 0.05)
+    share = lambda c: F.round(F.avg(c.cast("double")), 9)
+    return p.groupBy("split", "task").agg(share(F.col("selected")).alias("bh_share"), share(F.col("p") < 0.05).alias("nominal_share"))

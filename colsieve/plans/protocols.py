@@ -379,3 +379,37 @@ def distinct_string_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_parameter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@C.query()
+def forest_seed_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far two forests with other seeds agree on the first features, by number of trees; a task for each forest."""
+    matrix, out = _first_label(spark, sf_dir), []
+    for trees in (10, 40):
+        a, b = (sel.TreeImportanceSelector(20, n_estimators=trees, random_state=s).fit(matrix).ranking() for s in (1, 2))
+        out += [(trees, k, len(set(a[:k]) & set(b[:k])) / len(set(a[:k]) | set(b[:k]))) for k in (5, 10, 20)]
+    return spark.createDataFrame(out, "n_trees int, k int, jaccard double")
+
+
+@C.query()
+def baseline_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed baseline: random features against the ANOVA's best, five draws, logistic regression on all tasks."""
+    config = {"n_splits": 5, "train_sizes": [0.8], "metrics": ["accuracy", "macro_f1"], "selectors": [{"name": "RandomSelector", "k": [20]}, {"name": "ANOVAFSelector", "k": [20]}], "models": [{"name": "logistic_regression"}]}
+    rows = runner.run(embeddings(spark, sf_dir), config)
+    return rows.groupBy("selector").agg(F.round(F.avg("accuracy"), 9).alias("accuracy"), F.round(F.avg("macro_f1"), 9).alias("macro_f1"), F.count(F.lit(1)).alias("n"))
+
+
+@C.query()
+def loo_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-one-out predictions of a hundredth of the samples from five features, with an inner choice of C, in one task."""
+
+    def predict(parts):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pandas as pd
+
+        rows = pd.concat(list(parts)).sort_values("sample_id")
+        m = runner.loo_confusion(np.stack(rows["features"].to_numpy()), rows["label"].to_numpy(), alpha=0.01)
+        yield pd.DataFrame([(i, j, int(m[i, j])) for i in range(2) for j in range(2)], columns=["actual", "predicted", "n"])
+
+    rows = _first_label(spark, sf_dir).withColumn("features", F.slice("features", 1, 5))
+    return rows.select("sample_id", "features", "label").coalesce(1).mapInPandas(predict, "actual int, predicted int, n long")
