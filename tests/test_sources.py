@@ -29,7 +29,7 @@ def test_archives(spark, tmp_path):
 
 
 def test_layouts(spark):
-    x, y = planted(10, 4)
+    x, y = planted(10, 4, informative=2)
     matrix = frame(spark, x, y)
     assert sorted(to_wide(to_long(matrix)).collect()) == sorted(matrix.collect())
     table = spark.createDataFrame([(1, 2.0, float("nan"), "a")], "id long, p double, q double, l string")
