@@ -25,8 +25,9 @@ def average_ranks(long: DataFrame, keys: list[str], value: str = "value") -> Dat
     """``long`` with ``rank`` (ties share their mean) and ``tied``, the size of the tie; one shuffle on the feature."""
     group = W.partitionBy(*keys, "feature")
     tie = W.partitionBy(*keys, "feature", value)
-    out = long.withColumn("tied", F.count(F.lit(1)).over(tie))
-    return out.withColumn("rank", F.rank().over(group.orderBy(value)) + (F.col("tied") - 1) / F.lit(2.0))
+    # the wider window first: its partitioning and its sort serve the narrower one
+    out = long.withColumn("_first", F.rank().over(group.orderBy(value))).withColumn("tied", F.count(F.lit(1)).over(tie))
+    return out.withColumn("rank", F.col("_first") + (F.col("tied") - 1) / F.lit(2.0)).drop("_first")
 
 
 def rank_sums(long: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
@@ -39,6 +40,18 @@ def rank_sums(long: DataFrame, keys: list[str], label: str = "label") -> DataFra
     return ranked.groupBy(*keys, "feature", F.col(label).alias("label")).agg(F.sum("rank").alias("rank_sum"), F.count(F.lit(1)).alias("n"), F.sum(square).alias("ties"))
 
 
+def rank_sums_by_value(long: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
+    """What :func:`rank_sums` gives, for tall tables of few distinct values: equal values are counted before they move,
+    and ranks come from running counts of distinct values."""
+    cells = long.groupBy(*keys, "feature", "value", F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("_c"))
+    feature = W.partitionBy(*keys, "feature")
+    upto = F.sum("_c").over(feature.orderBy("value").rangeBetween(W.unboundedPreceding, W.currentRow))
+    cells = cells.withColumn("_upto", upto).withColumn("_t", F.sum("_c").over(W.partitionBy(*keys, "feature", "value")))
+    rank = F.col("_upto") - (F.col("_t") - 1) / F.lit(2.0)
+    square = F.col("_t").cast("double") * F.col("_t") - 1
+    return cells.groupBy(*keys, "feature", "label").agg(F.sum(F.col("_c") * rank).alias("rank_sum"), F.sum("_c").alias("n"), F.sum(F.col("_c") * square).alias("ties"))
+
+
 def u_test(sums: DataFrame, tasks: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, task, feature, n1, n2, u, ties, z, log_p, auc)`` of the positive class (size n2) in every task.
 
@@ -46,10 +59,9 @@ def u_test(sums: DataFrame, tasks: DataFrame, keys: list[str]) -> DataFrame:
     two-sided p, at most 0. A feature whose values are all tied has z 0 and p 1. ``sums`` is small: a row for each
     feature and class.
     """
-    group = [*keys, "feature"]
-    totals = sums.groupBy(*group).agg(F.sum("n").alias("_n"), F.sum("ties").alias("ties"))
-    each = sums.withColumn("_l", F.col("label").cast("string")).join(F.broadcast(tasks), F.col("_l") == F.col("class"))
-    rows = each.join(totals.select(*group, "_n", F.col("ties").alias("_ties")), group)
+    group = W.partitionBy(*keys, "feature")
+    totals = sums.withColumn("_n", F.sum("n").over(group)).withColumn("_ties", F.sum("ties").over(group))
+    rows = totals.withColumn("_l", F.col("label").cast("string")).join(F.broadcast(tasks), F.col("_l") == F.col("class"))
     n = F.col("_n").cast("double")
     own, rank_sum = F.col("n").cast("double"), F.col("rank_sum")
     is_positive = F.col("class") == F.col("positive")
@@ -84,9 +96,9 @@ def anova_f(sums: DataFrame, keys: list[str]) -> DataFrame:
 
 def task_sums(sums: DataFrame, tasks: DataFrame, keys: list[str]) -> DataFrame:
     """Class sums of every task's two sides from the sums by label, without another pass over the values."""
-    group = [*keys, "feature"]
-    whole = sums.groupBy(*group).agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.sum("q").alias("_q"))
-    each = sums.withColumn("_l", F.col("label").cast("string")).join(F.broadcast(tasks), F.col("_l") == F.col("class")).join(whole, group)
+    group = W.partitionBy(*keys, "feature")
+    whole = sums.select("*", *[F.sum(c).over(group).alias(f"_{c}") for c in ("n", "s", "q")])
+    each = whole.withColumn("_l", F.col("label").cast("string")).join(F.broadcast(tasks), F.col("_l") == F.col("class"))
     sides = F.array(F.struct(F.lit(1).alias("label"), F.col("n"), F.col("s"), F.col("q")), F.struct(F.lit(0).alias("label"), (F.col("_n") - F.col("n")).alias("n"), (F.col("_s") - F.col("s")).alias("s"), (F.col("_q") - F.col("q")).alias("q")))
     return each.select(*keys, "task", "feature", F.explode(sides).alias("_x")).select(*keys, "task", "feature", "_x.label", "_x.n", "_x.s", "_x.q")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colsieve.operators import analysis, kernels, protocol
 from colsieve.plans.registry import Catalogue
 from colsieve.sources.layouts import columns_to_long, embeddings, to_long
-from colsieve.sources.scratch import read_table
+from colsieve.sources.scratch import read_table, written
 
 C = Catalogue()
 N_SPLITS, TRAIN, SEED = 4, 0.7, 42
@@ -91,6 +91,7 @@ def mw_kuncheva_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features chosen by the rank-sum test for each task, split and k, and how alike the splits' choices are."""
     ranking = kernels.best_first(_u_split(spark, sf_dir).withColumn("z", F.round("z", 9)), ["split", "task"], "z")
     chosen = kernels.cut_at(ranking.where(F.col("pos") <= max(KS)), KS).select("task", "k", "split", "feature")
+    chosen = written(chosen, "selections")  # small, and read four times
     return analysis.kuncheva(chosen, ["task", "k"], 64).withColumn("consistency_index", F.round("consistency_index", 9))
 
 
@@ -108,7 +109,7 @@ def mw_ties_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of few distinct values, so that nearly all ranks are shared."""
     rows = _lineitem(spark, sf_dir, F.col("l_returnflag").alias("label"))
     tasks = protocol.tasks_ovr(read_table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label")))
-    return kernels.u_test(kernels.rank_sums(rows, []), tasks, []).select("task", "feature", "n1", "n2", "u", "ties", _r("z"), _r("auc"))
+    return kernels.u_test(kernels.rank_sums_by_value(rows, []), tasks, []).select("task", "feature", "n1", "n2", "u", "ties", _r("z"), _r("auc"))
 
 
 @C.query(f"{U_ALL} SELECT task, feature, round(auc, 9) AS auc FROM u")
