@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 
 from colsieve.llm.tokens import as_bytes
 
-#: Buckets of hashed words, then of word shapes by share, then of the text's own measures.
-WORD_BITS, SHAPES, LEVELS = 18, 128, 16
-DIMENSIONS = (1 << WORD_BITS) + SHAPES * LEVELS + 64
+#: Buckets of hashed words and of their beginnings, then of word shapes by share, then of the text's own measures.
+WORD_BITS, BEGIN_BITS, BEGIN, SHAPES, LEVELS = 18, 16, 4, 128, 16
+DIMENSIONS = (1 << WORD_BITS) + (1 << BEGIN_BITS) + SHAPES * LEVELS + 64
 #: Rated documents that the model is fitted on, at most: those with the smallest hashes of their ids.
 SAMPLE = 16384
 
@@ -35,7 +35,8 @@ _RUNS = (
 
 
 class Features(dict):
-    """For a word: its bucket and, 32 bits up, its shape's. Bounded, like any cache."""
+    """For a word: its bucket, 20 bits up its beginning's (the first bytes, so that compounds share it) and 40 bits up its
+    shape's. Bounded, like any cache."""
 
     def __missing__(self, word: bytes) -> int:
         import zlib
@@ -46,26 +47,27 @@ class Features(dict):
         for pattern, letter in _RUNS:
             shape = pattern.sub(letter, shape)
         bare = word.lower().strip(b".,;:!?\"'()[]{}|*#$%&-")
-        v = self[word] = (zlib.crc32(bare) >> (32 - WORD_BITS)) | (zlib.crc32(shape[:8]) % SHAPES) << 32
+        v = self[word] = (zlib.crc32(bare) >> (32 - WORD_BITS)) | (zlib.crc32(bare[:BEGIN]) >> (32 - BEGIN_BITS)) << 20 | (zlib.crc32(shape[:8]) % SHAPES) << 40
         return v
 
 
 def features(text: bytes, seen: Features) -> np.ndarray:
-    """The distinct feature buckets of a text: its words, the shares of its words' shapes, its length and variety."""
+    """The distinct feature buckets of a text: its words and their beginnings, the shares of its words' shapes, its length and variety."""
     counts = Counter(text.split())
-    base = 1 << WORD_BITS
+    words = 1 << WORD_BITS
+    base = words + (1 << BEGIN_BITS)
     own = base + SHAPES * LEVELS
     n = sum(counts.values())
     if not n:
         return np.array([own], dtype="i8")
     both = np.fromiter(map(seen.__getitem__, counts), dtype="i8", count=len(counts))
     times = np.fromiter(counts.values(), dtype="f8", count=len(counts))
-    share = np.bincount(both >> 32, weights=times, minlength=SHAPES) / n
+    share = np.bincount(both >> 40, weights=times, minlength=SHAPES) / n
     shapes = np.flatnonzero(share)
     levels = np.minimum((share[shapes] * LEVELS).astype("i8"), LEVELS - 1)
     variety = own + 1 + min(int(len(counts) / n * 16), 15)
     length = own + 20 + min(int(np.log2(n) * 2), 40)
-    return np.concatenate([np.unique(both & 0xFFFFFFFF), base + shapes * LEVELS + levels, [variety, length]])
+    return np.concatenate([np.unique(both & (words - 1)), words + np.unique(both >> 20 & ((1 << BEGIN_BITS) - 1)), base + shapes * LEVELS + levels, [variety, length]])
 
 
 @dataclass
