@@ -61,7 +61,7 @@ class Ids(dict):
         self.frequent, self.n = frequent, len(frequent)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         found = self.frequent.get(identity(word))
         v = self[word] = self.n + ending(word) if found is None else found
@@ -72,7 +72,7 @@ class Hashes(dict):
     """Hashes of words seen; a bounded cache."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         v = self[word] = identity(word)
         return v
@@ -97,7 +97,7 @@ def vocabulary(train: DataFrame) -> DataFrame:
             for text in b.column(0):
                 seen.update(text.as_py().lower().split())
             texts += b.num_rows
-            if len(seen) > 600_000:
+            if len(seen) > 400_000:
                 yield flush()
                 seen.clear()
                 texts = 0

@@ -148,7 +148,7 @@ def forest_of_links(ids: list[int], sets: list[np.ndarray], side: list[int], per
     regs = np.stack([registers(s) for s in sets])
     sides = np.array(side)
     two = len(set(side)) > 1
-    pairs = []
+    found = []
     for i in range(len(ids) - 1):
         others = np.arange(i + 1, len(ids))
         if two:
@@ -159,9 +159,13 @@ def forest_of_links(ids: list[int], sets: list[np.ndarray], side: list[int], per
             continue
         s, draws = similarity(regs[others], regs[i][None, :], n[others], np.array([n[i]]))
         may = s >= least_estimate(percent / 100, draws)
-        pairs += [(-x, i, j) for x, j in zip(s[may].tolist(), others[may].tolist(), strict=True)]
+        found.append((s[may].astype("f4"), np.full(int(may.sum()), i, dtype="i4"), others[may].astype("i4")))
     forest, links = Forest(len(ids)), []
-    for _, i, j in sorted(pairs):
+    if not found:
+        return links
+    s, first, second = (np.concatenate(v) for v in zip(*found, strict=True))
+    for at in np.lexsort((second, first, -s)):
+        i, j = int(first[at]), int(second[at])
         if forest.root(i) == forest.root(j):
             continue
         shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))

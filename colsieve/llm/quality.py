@@ -41,7 +41,7 @@ class Features(dict):
     def __missing__(self, word: bytes) -> int:
         import zlib
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         shape = word[:64]
         for pattern, letter in _RUNS:
