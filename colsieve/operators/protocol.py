@@ -35,6 +35,20 @@ def order_key(seed: Column | int, *parts: str) -> Column:
     return F.md5(F.concat_ws("-", seed.cast("string"), *[F.col(p).cast("string") for p in parts]).cast("binary"))
 
 
+def places(rows: DataFrame, keys: list[str], md5: str, tie: str) -> DataFrame:
+    """``rows`` with ``_place``, from 1, in the order of ``md5`` within ``keys``.
+
+    A group may hold most rows, so it is ranked in 256 parts by the key's first two digits, which are even; what lies
+    before a part comes from a table of counts.
+    """
+    parted = rows.withColumn("_part", F.substring(md5, 1, 2))
+    counts = parted.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(md5, tie))
+    return parted.withColumn("_own", own).join(offsets, [*keys, "_part"]).withColumn("_place", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
 def stratified_splits(rows: DataFrame, n_splits: int, train_size: float, seed: int = 42, sample_id: str = "sample_id", label: str = "label") -> DataFrame:
     """``(split, sample_id, label, part)``: draws without replacement, in each the training part has floor(train_size * n) rows.
 
@@ -51,15 +65,17 @@ def stratified_splits(rows: DataFrame, n_splits: int, train_size: float, seed: i
     by_rest = W.orderBy(F.desc("_rest"), F.desc("_n"), "label")
     quota = quota.withColumn("_take", F.col("_floor") + F.when(F.row_number().over(by_rest) <= spare, 1).otherwise(0)).select("label", "_take")
     drawn = labelled_rows.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    place = F.row_number().over(W.partitionBy("split", "label").orderBy(order_key(seed, "split", "sample_id"), "sample_id"))
-    return drawn.withColumn("_place", place).join(F.broadcast(quota), "label").select("split", "sample_id", "label", F.when(F.col("_place") <= F.col("_take"), F.lit("train")).otherwise(F.lit("test")).alias("part"))
+    placed = places(drawn.withColumn("_key", order_key(seed, "split", "sample_id")), ["split", "label"], "_key", "sample_id")
+    return placed.join(F.broadcast(quota), "label").select("split", "sample_id", "label", F.when(F.col("_place") <= F.col("_take"), F.lit("train")).otherwise(F.lit("test")).alias("part"))
 
 
 def folds(rows: DataFrame, cv: int, seed: int | None = None, keys: tuple[str, ...] = (), sample_id: str = "sample_id", label: str = "label") -> DataFrame:
     """``rows`` with ``fold`` in 0..cv-1, classes dealt out evenly; shuffled by ``seed``, else in the order of ids."""
-    order = [F.col(sample_id)] if seed is None else [order_key(seed, sample_id), F.col(sample_id)]
-    place = F.row_number().over(W.partitionBy(*keys, label).orderBy(*order))
-    return rows.withColumn("fold", ((place - 1) % cv).cast("int"))
+    if seed is None:
+        place = F.row_number().over(W.partitionBy(*keys, label).orderBy(sample_id))
+        return rows.withColumn("fold", ((place - 1) % cv).cast("int"))
+    placed = places(rows.withColumn("_key", order_key(seed, sample_id)), [*keys, label], "_key", sample_id)
+    return placed.withColumn("fold", ((F.col("_place") - 1) % cv).cast("int")).drop("_key", "_place")
 
 
 def medians(train: DataFrame, keys: list[str]) -> DataFrame:
