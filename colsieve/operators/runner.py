@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from colsieve.functions import solvers
 from colsieve.functions.special import norm_ppf
@@ -368,14 +369,18 @@ def run(matrix: DataFrame, config: dict, done: DataFrame | None = None, truth: l
         whole = rows.select("sample_id", "features", "label").orderBy("sample_id").toPandas()
         shared = spark.sparkContext.broadcast((whole["sample_id"].to_numpy(), np.stack(whole["features"].to_numpy()).astype("f4") if len(whole) else np.zeros((0, 0), "f4"), whole["label"].to_numpy()))
         train_ids = parts.where("train").groupBy("split", "train_size").agg(F.collect_list("sample_id").alias("ids"))
-        work = jobs.join(train_ids, ["split", "train_size"])
+        # a partition for each job, which adaptive execution must not merge: jobs are small in bytes alone
+        n_jobs = max(1, min(jobs.count(), 10_000))
+        place = F.row_number().over(W.orderBy(*key_names))
+        work = jobs.join(train_ids, ["split", "train_size"]).withColumn("_place", place).repartitionByRange(n_jobs, "_place")
 
-        def one_job(part: pd.DataFrame) -> pd.DataFrame:
+        def each_job(parts):  # noqa: ANN001, ANN202
             ids, x, labels = shared.value
-            r = part.iloc[0]
-            return finish({c: r[c].item() if hasattr(r[c], "item") else r[c] for c in key_names}, x, labels, np.isin(ids, r["ids"]), r["wanted"])
+            for part in parts:
+                for _, r in part.iterrows():
+                    yield finish({c: r[c].item() if hasattr(r[c], "item") else r[c] for c in key_names}, x, labels, np.isin(ids, r["ids"]), r["wanted"])
 
-        return work.groupBy(*key_names).applyInPandas(one_job, schema)
+        return work.mapInPandas(each_job, schema)
     shipped = rows.join(parts, "sample_id").join(F.broadcast(jobs), ["split", "train_size"]).withColumn("features", F.col("features").cast("array<float>"))
 
     def from_rows(part: pd.DataFrame) -> pd.DataFrame:
@@ -383,7 +388,8 @@ def run(matrix: DataFrame, config: dict, done: DataFrame | None = None, truth: l
         r = part.iloc[0]
         return finish({c: r[c].item() if hasattr(r[c], "item") else r[c] for c in key_names}, np.stack(part["features"].to_numpy()), part["label"].to_numpy(), part["train"].to_numpy(), r["wanted"])
 
-    return shipped.groupBy(*key_names).applyInPandas(from_rows, schema)
+    n_jobs = max(1, min(jobs.count(), 10_000))
+    return shipped.repartition(n_jobs, *key_names).groupBy(*key_names).applyInPandas(from_rows, schema)
 
 
 def environment() -> dict:
