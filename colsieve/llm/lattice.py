@@ -27,6 +27,8 @@ from colsieve.sources.scratch import written
 TABLES, PROBES, SCALE = 8, 4, 1.0
 #: Classes to a block of a cell, and rows to a task of small cells.
 BLOCK, TASK = 1024, 4096
+#: Cells of up to so many classes are compared together, row against row at each distance, and larger ones by a matrix product.
+SMALL = 48
 
 
 def minimal_vectors() -> np.ndarray:
@@ -117,6 +119,30 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> Dat
     return rows.mapInArrow(hashed, "_id long, _kind string, _vec binary, _cells binary, _keys array<long>")
 
 
+def counts_here(a: np.ndarray, b: np.ndarray, table: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For pairs of rows of cells, whether (table, value) is the lowest common cell of the first table that has one."""
+    common = np.full(a.shape[:2], 1 << 32)
+    for p, q in itertools.product(range(a.shape[2]), range(b.shape[2])):
+        common = np.where(a[:, :, p] == b[:, :, q], np.minimum(common, a[:, :, p]), common)
+    earlier = (common < 1 << 32) & (np.arange(a.shape[1])[None, :] < table[:, None])
+    return ~earlier.any(1) & (common[np.arange(len(a)), table] == value)
+
+
+def links_of_small_cells(key: np.ndarray, ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, cell: np.ndarray, at: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links that count in cells whose rows lie side by side: each is given to both of its ends."""
+    out = []
+    table, probe = np.divmod(at, PROBES)
+    value = cell[np.arange(len(at)), table, probe].astype("i8")
+    for d in range(1, SMALL):
+        i = np.flatnonzero(key[d:] == key[:-d])
+        if not len(i):
+            break
+        i = i[np.einsum("ij,ij->i", unit[i], unit[i + d]) >= threshold]
+        i = i[counts_here(cell[i], cell[i + d], table[i], value[i])]
+        out += [(ids[i], copies[i + d], ids[i]), (ids[i + d], copies[i], ids[i])]
+    return out
+
+
 def links_of_cell(ids: np.ndarray, copies: np.ndarray, vecs: list[bytes], cell: np.ndarray, side: np.ndarray, table: int, value: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Of one cell's rows: the links that count here, as copies linked to each row, and the smallest id each is connected with.
 
@@ -131,19 +157,9 @@ def links_of_cell(ids: np.ndarray, copies: np.ndarray, vecs: list[bytes], cell:
     roots = ids.copy()
     if not near.any():
         return sums, roots
-    # what both have in the first table where they have any; the pair counts if its lowest cell there is this one
     i, j = np.nonzero(np.triu(near))
-    alive = np.ones(len(i), dtype=bool)
-    for t in range(table):
-        a, b = cell[i, t], cell[j, t]
-        for p, q in itertools.product(range(a.shape[1]), range(b.shape[1])):
-            alive &= a[:, p] != b[:, q]
-        i, j, alive = i[alive], j[alive], alive[alive]
-    a, b = cell[i, table].astype("i8"), cell[j, table].astype("i8")
-    low = np.full(len(i), 1 << 32)
-    for p, q in itertools.product(range(a.shape[1]), range(b.shape[1])):
-        low = np.where(a[:, p] == b[:, q], np.minimum(low, a[:, p]), low)
-    i, j = i[low == value], j[low == value]
+    first = counts_here(cell[i], cell[j], np.full(len(i), table), np.full(len(i), value))
+    i, j = i[first], j[first]
     sums = (np.bincount(i, weights=copies[j], minlength=len(ids)) + np.bincount(j, weights=copies[i], minlength=len(ids))).astype("i8")
     while True:  # the smallest id among the neighbours, until nothing changes
         least = np.minimum(roots, np.where(near, roots[None, :], np.iinfo("i8").max).min(1))
@@ -177,18 +193,27 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     full = full.select("_task", "_key", "_at", F.col("_rep").alias("id"), "_copies", "_vec", "_cells", (F.col("_block") != F.col("_i")).cast("int").alias("_side"))
 
     def block(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_key", "id"], kind="stable")
+        key, ids, copies, at, side = (part[c].to_numpy() for c in ("_key", "id", "_copies", "_at", "_side"))
+        cell = np.frombuffer(b"".join(part["_cells"]), dtype="<u4").reshape(len(part), TABLES, PROBES)
+        vecs = part["_vec"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
         out = []
-        for _, g in part.groupby("_key", sort=False):
-            if len(g) < 2:
-                continue
-            g = g.sort_values("id")
-            ids = g["id"].to_numpy("i8")
-            cell = np.frombuffer(b"".join(g["_cells"]), dtype="<u4").reshape(len(g), TABLES, PROBES)
-            table, probe = divmod(int(g["_at"].iloc[0]), PROBES)
-            sums, roots = links_of_cell(ids, g["_copies"].to_numpy("i8"), g["_vec"].tolist(), cell, g["_side"].to_numpy(), table, int(cell[0, table, probe]), threshold)
-            some = (sums > 0) | (roots != ids)
-            out.append(pd.DataFrame({"a": ids[some], "n": sums[some], "root": roots[some]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "n": [], "root": []}, dtype="int64")
+        lengths = np.array([len(v) for v in vecs])
+        few = np.repeat((sizes > 1) & (sizes <= SMALL), sizes) & ~np.repeat(np.bitwise_or.reduceat(side, starts) > 0, sizes)
+        for length in np.unique(lengths[few]):
+            rows = np.flatnonzero(few & (lengths == length))
+            out += links_of_small_cells(key[rows], ids[rows], copies[rows], _as_unit(vecs[rows].tolist()), cell[rows], at[rows], threshold)
+        for start, size in zip(starts, sizes, strict=True):
+            if size > 1 and not few[start]:
+                rows = slice(start, start + size)
+                table, probe = divmod(int(at[start]), PROBES)
+                sums, roots = links_of_cell(ids[rows], copies[rows], vecs[rows].tolist(), cell[rows], side[rows], table, int(cell[start, table, probe]), threshold)
+                some = (sums > 0) | (roots != ids[rows])
+                out.append((ids[rows][some], sums[some], roots[some]))
+        a, n, root = (np.concatenate(v) for v in zip(*out, strict=True)) if out else ([], [], [])
+        return pd.DataFrame({"a": a, "n": n, "root": root}).astype("int64")
 
     found = written(full.groupBy("_task").applyInPandas(block, "a long, n long, root long"), "vector-links")
     degrees = found.groupBy("a").agg(F.sum("n").alias("_degree"))
