@@ -33,8 +33,8 @@ FREQUENT = 1 << 18
 CLASSES, ENDINGS, ROUNDS = 64, 32, 6
 #: Parts that the table of bigrams is dealt into, at least.
 PARTS = 64
-#: Bytes of text whose words are held at once.
-SLICE = 4 << 20
+#: Bytes of text whose words are held at once, and tokens whose bigrams are.
+SLICE, TOKENS = 2 << 20, 1_500_000
 #: Weight of the class model against the unigram model, and of class frequencies against class bigrams.
 LAMBDA, BETA = 0.95, 100.0
 #: The end of a text; words are never empty.
@@ -97,7 +97,7 @@ def vocabulary(train: DataFrame) -> DataFrame:
             for text in b.column(0):
                 seen.update(text.as_py().lower().split())
             texts += b.num_rows
-            if len(seen) > 400_000:
+            if len(seen) > 250_000:
                 yield flush()
                 seen.clear()
                 texts = 0
@@ -175,13 +175,14 @@ def bigrams(train: DataFrame, frequent, n_ids: int, parts: int) -> tuple[DataFra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = Ids(frequent.value), n_ids - 1
         for b in batches:
-            codes = [np.unique(row[:-1] * n_ids + row[1:], return_counts=True) for row in (_row(texts, ids, end)[0] for _, _, texts in _slices(b.column(0)))]
-            if not codes:
-                continue
-            code, place = np.unique(np.concatenate([c for c, _ in codes]), return_inverse=True)
-            n = np.bincount(place, weights=np.concatenate([n for _, n in codes])).astype("i8")
-            x, y = code // n_ids, code % n_ids
-            yield _packed(list(_dealt(x, x, y, n, parts)))
+            held: list[np.ndarray] = []
+            for _, last, texts in _slices(b.column(0)):
+                row = _row(texts, ids, end)[0]
+                held.append(row[:-1] * n_ids + row[1:])
+                if sum(map(len, held)) > TOKENS or last == b.num_rows:
+                    code, n = np.unique(np.concatenate(held), return_counts=True)
+                    held = []
+                    yield _packed(list(_dealt(code // n_ids, code // n_ids, code % n_ids, n, parts)))
 
     def merged(part: pd.DataFrame) -> pd.DataFrame:
         x, y, n = (np.concatenate(v) for v in zip(*_unpacked(part), strict=True))
