@@ -140,6 +140,25 @@ def variances(long: DataFrame, keys: list[str]) -> DataFrame:
     return long.groupBy(*keys, "feature").agg(F.var_pop("value").alias("variance"), (F.max("value") - F.min("value")).alias("spread"))
 
 
+def normality(long: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, feature, k2, p)``: D'Agostino and Pearson's test, from skewness and kurtosis as normal deviates."""
+    m = long.groupBy(*keys, "feature").agg(F.count("value").cast("double").alias("n"), F.skewness("value").alias("g"), (F.kurtosis("value") + 3).alias("b"))
+    n = F.col("n")
+    y = F.col("g") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = F.sqrt(2 * (beta - 1)) - 1
+    scaled = y / F.sqrt(2 / (w2 - 1))
+    z1 = F.ln(scaled + F.sqrt(scaled * scaled + 1)) / F.sqrt(0.5 * F.ln(w2))
+    mean, var = 3 * (n - 1) / (n + 1), 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
+    x = (F.col("b") - mean) / F.sqrt(var)
+    root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root)))
+    part = (1 - 2 / a) / (1 + x * F.sqrt(2 / (a - 4)))
+    z2 = (1 - 2 / (9 * a) - F.signum(part) * F.pow(F.abs(part), F.lit(1 / 3))) / F.sqrt(2 / (9 * a))
+    k2 = m.select(*keys, "feature", (z1 * z1 + z2 * z2).alias("k2"))
+    return k2.withColumn("p", F.exp(-F.col("k2") / 2))
+
+
 def to_ranks(long: DataFrame, keys: list[str]) -> DataFrame:
     """``long`` with each value replaced by its average rank, as Spearman's correlation wants it."""
     return average_ranks(long, keys).withColumn("value", F.col("rank")).drop("rank", "tied")

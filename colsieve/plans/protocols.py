@@ -413,3 +413,29 @@ def loo_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = _first_label(spark, sf_dir).withColumn("features", F.slice("features", 1, 5))
     return rows.select("sample_id", "features", "label").coalesce(1).mapInPandas(predict, "actual int, predicted int, n long")
+
+
+@C.query(
+    f"""WITH {X}, c AS (SELECT feature, value - avg(value) OVER (PARTITION BY feature) AS d FROM x),
+m AS (SELECT feature, count(*)::DOUBLE AS n, avg(d * d * d) / pow(avg(d * d), 1.5) AS g, avg(d * d * d * d) / pow(avg(d * d), 2) AS b FROM c GROUP BY feature),
+s AS (SELECT *, g * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2,
+  (b - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x4,
+  6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS root FROM m),
+t AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, 6 + 8 / root * (2 / root + sqrt(1 + 4 / (root * root))) AS a FROM s),
+u AS (SELECT *, (1 - 2 / a) / (1 + x4 * sqrt(2 / (a - 4))) AS part FROM t),
+k AS (SELECT feature, z1 * z1 + pow((1 - 2 / (9 * a) - sign(part) * cbrt(abs(part))) / sqrt(2 / (9 * a)), 2) AS k2 FROM u)
+SELECT feature, round(k2, 6) AS k2, round(exp(-k2 / 2), 8) AS p FROM k"""
+)
+def normality_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.normality(to_long(embeddings(spark, sf_dir)), []).select("feature", F.round("k2", 6).alias("k2"), F.round("p", 8).alias("p"))
+
+
+@C.query()
+def rfecv_scoring_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many features recursive elimination keeps by each score; a task for each."""
+    matrix, out = _first_label(spark, sf_dir), []
+    for scoring in ("accuracy", "balanced_accuracy", "roc_auc"):
+        fitted = sel.RFECVSelector(step=8, cv=3, scoring=scoring).fit(matrix)
+        best = fitted.cv_results_["mean_test_score"].max()
+        out.append((scoring, int(fitted.n_features_), float(round(best, 6))))
+    return spark.createDataFrame(out, "scoring string, n_features int, score double")
