@@ -392,6 +392,31 @@ def run(matrix: DataFrame, config: dict, done: DataFrame | None = None, truth: l
     return shipped.repartition(n_jobs, *key_names).groupBy(*key_names).applyInPandas(from_rows, schema)
 
 
+def choose_matrix(matrices: dict[str, DataFrame], n_splits: int, train_size: float, cv: int = 5, seed: int = 42, c: float = 1.0) -> DataFrame:
+    """``(split, task, matrix, validation_auc, chosen)``: of several feature matrices of the same samples, the one whose
+    logistic regression has the best mean ROC AUC over folds of the training part, never looking at the test part."""
+    rows = None
+    for name, matrix in matrices.items():
+        m = matrix.where("label IS NOT NULL").withColumn("label", F.col("label").cast("string"))
+        train = protocol.stratified_splits(m, n_splits, train_size, seed).where("part = 'train'").select("split", "sample_id", "label")
+        part = protocol.folds(train, cv, seed, keys=("split",)).join(m.select("sample_id", "features"), "sample_id").withColumn("matrix", F.lit(name))
+        one = protocol.labelled(part, protocol.tasks_ovr(m)).select("split", "task", "matrix", "sample_id", "features", "y", "fold")
+        rows = one if rows is None else rows.unionByName(one)
+
+    def validate(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("sample_id")
+        x, y, fold = np.stack(part["features"].to_numpy()), part["y"].to_numpy(), part["fold"].to_numpy()
+        total = []
+        for f in range(cv):
+            w, b = solvers.logistic_l2(x[fold != f], np.where(y[fold != f] == 1, 1.0, -1.0), c)
+            total.append(solvers.auc(x[fold == f] @ w + b, y[fold == f] == 1))
+        return part[["split", "task", "matrix"]].head(1).assign(validation_auc=float(np.mean(total)))
+
+    scores = rows.groupBy("split", "task", "matrix").applyInPandas(validate, "split int, task string, matrix string, validation_auc double")
+    best = F.row_number().over(W.partitionBy("split", "task").orderBy(F.desc("validation_auc"), "matrix"))
+    return scores.withColumn("chosen", best == 1)
+
+
 def environment() -> dict:
     """What the run ran on."""
     git = lambda *a: subprocess.run(["git", *a], capture_output=True, text=True, check=False).stdout.strip()
@@ -444,10 +469,14 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--resume", action="store_true")
     parser.add_argument("--n-splits", type=int)
     parser.add_argument("--n-jobs", type=int, help="partitions that jobs are dealt into")
+    parser.add_argument("--max-worker-memory-gb", type=float, help="what a job's Python worker may use")
     args = parser.parse_args(argv)
     config = load_config(args.config)
     config |= {k: v for k, v in (("output", args.out), ("n_splits", args.n_splits)) if v is not None}
-    spark = SparkSession.builder.getOrCreate()
+    builder = SparkSession.builder
+    if args.max_worker_memory_gb:
+        builder = builder.config("spark.executor.pyspark.memory", f"{int(args.max_worker_memory_gb * 1024)}m")
+    spark = builder.getOrCreate()
     if args.n_jobs and args.n_jobs > 0:
         spark.conf.set("spark.sql.shuffle.partitions", args.n_jobs)
     matrix, truth = dataset(spark, config["dataset"], config.get("dataset_params") or {})

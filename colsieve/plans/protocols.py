@@ -439,3 +439,11 @@ def rfecv_scoring_study(spark: SparkSession, sf_dir: str) -> DataFrame:
         best = fitted.cv_results_["mean_test_score"].max()
         out.append((scoring, int(fitted.n_features_), float(round(best, 6))))
     return spark.createDataFrame(out, "scoring string, n_features int, score double")
+
+
+@C.query()
+def embedding_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which half of the embedding's components validates better, on each split and task."""
+    e = embeddings(spark, sf_dir)
+    half = lambda start: e.withColumn("features", F.slice("features", start, 32))
+    return runner.choose_matrix({"first": half(1), "second": half(33)}, 2, 0.7, cv=3).withColumn("validation_auc", F.round("validation_auc", 6))

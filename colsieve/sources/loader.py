@@ -118,13 +118,17 @@ def target_report(metadata: DataFrame, columns: list[str] | None = None) -> Data
 @dataclass
 class DataLoader:
     """A matrix and its metadata from a configuration: ``paths{features, metadata}, sample_id_column, target_column``,
-    and optionally ``separator, transpose_features``."""
+    and optionally ``separator, transpose_features``; or the name of a YAML or JSON file with them."""
 
     spark: SparkSession
-    config: dict
+    config: dict | str
     report: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        if isinstance(self.config, str):
+            from colsieve.operators.runner import load_config
+
+            self.config = load_config(self.config)
         c = self.config
         sep = c.get("separator", ",")
         long = read_matrix(self.spark, c["paths"]["features"], sep, c.get("transpose_features", False))
