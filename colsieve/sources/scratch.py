@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[object, object]] = []
+atexit.register(lambda: _delete())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     Where it is unset (tests, local runs) a folder under the local temp directory is chosen and set;
     on a cluster that would be a folder of one machine, so there it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -32,17 +33,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    if not _written:
-        atexit.register(_delete)
     _written.append((p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p))
     return path
 
 
+def clear() -> None:
+    """Deletes all tables written so far. Call it once results are saved: they read these tables until then."""
+    while _written:
+        fs, path = _written.pop()
+        fs.delete(path, True)
+
+
 def _delete() -> None:
-    """At the end of the application; results may read these tables until then."""
+    """At the end of the application."""
     try:
-        for fs, path in _written:
-            fs.delete(path, True)
+        clear()
     except Exception:  # noqa: BLE001  the JVM may have gone before
         pass
 

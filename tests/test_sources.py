@@ -60,3 +60,15 @@ def test_run_until_done(spark, tmp_path):
     config = {"output": f"file://{tmp_path}/out", "n_splits": 1, "selectors": [{"name": "random", "k": [3]}], "models": [{"name": "knn"}]}
     assert runner.run_until_done(spark, frame(spark, x, y), config).count() == 1
     assert runner.run_until_done(spark, frame(spark, x, y), {**config, "n_splits": 2}).count() == 2
+
+
+def test_scratch_tables(spark):
+    from colsieve.sources import scratch
+    from colsieve.sources.sinks import exists
+
+    table = scratch.written(spark.range(5).where("id > 9"), "test")
+    assert table.count() == 0 and table.schema["id"].dataType.simpleString() == "bigint"
+    path = scratch._written[-1][1].toString()
+    assert exists(spark, path)
+    scratch.clear()
+    assert not exists(spark, path)
