@@ -199,6 +199,10 @@ class CorrelationSelector(Filter, aliases=["correlation"]):
     def __init__(self, n_features: int | None = None, target_threshold: float = 0.1, inter_feature_threshold: float = 0.95, method: str = "pearson", device: str = "auto", check_input: bool = True):
         self.n_features, self.target_threshold, self.inter_feature_threshold, self.method, self.device, self.check_input = n_features, target_threshold, inter_feature_threshold, method, device, check_input
 
+    def _fit_frame(self, matrix: DataFrame) -> Selector:
+        """Kendall's pairs of samples are a solver's work, in one task; the others are plans."""
+        return Selector._fit_frame(self, matrix) if self.method == "kendall" else super()._fit_frame(matrix)
+
     def _method(self) -> None:
         if self.method not in ("pearson", "spearman", "kendall"):
             raise ValueError(f"method must be 'pearson', 'spearman' or 'kendall', got '{self.method}'")
@@ -238,21 +242,15 @@ class CorrelationSelector(Filter, aliases=["correlation"]):
             long = long.withColumn("_y", (F.col("label") == high).cast("double"))
         else:
             long = long.withColumn("_y", F.col("label").cast("double"))
-        if self.method == "kendall":
-            target = kernels.kendall(long, [], "_y").withColumnRenamed("tau", "r")
-        else:
-            if self.method == "spearman":
-                y = long.select("sample_id", F.lit(0).alias("feature"), F.col("_y").alias("value")).where("feature = 0").distinct()
-                y = kernels.to_ranks(y, []).select("sample_id", F.col("value").alias("_y"))
-                long = kernels.to_ranks(long.drop("_y"), []).join(y, "sample_id")
-            target = kernels.correlations(long, [], "_y")
-        (r,) = self._columns(target, "r")
+        if self.method == "spearman":
+            y = long.select("sample_id", F.lit(0).alias("feature"), F.col("_y").alias("value")).distinct()
+            y = kernels.to_ranks(y, []).select("sample_id", F.col("value").alias("_y"))
+            long = kernels.to_ranks(long.drop("_y"), []).join(y, "sample_id")
+        (r,) = self._columns(kernels.correlations(long, [], "_y"), "r")
         self.target_corr_ = np.abs(np.nan_to_num(r))
         kept = [int(i) for i in np.flatnonzero(self.target_corr_ >= self.target_threshold)]
         few = matrix.sparkSession.createDataFrame([(i,) for i in kept], "feature int")
         rows = long.join(F.broadcast(few), "feature", "left_semi")
-        if self.method == "kendall":
-            raise ValueError("Kendall's redundancy step works on a matrix in memory")
         self._pairs = [(p["a"], p["b"]) for p in kernels.close_pairs(rows, self.inter_feature_threshold).select("a", "b").collect()]
 
     def _choose(self) -> None:

@@ -9,7 +9,7 @@ from tests.fixtures import frame, planted
 
 CONFIGURED = [
     s.VarianceThreshold(), s.ANOVAFSelector(n_features=5), s.ANOVAFSelector(), s.PercentileSelector(20), s.FDRSelector(), s.FWESelector(), s.MannWhitneySelector(5),
-    s.HigherCriticismSelector(), s.HigherCriticismSelector("2004"), s.BerkJonesSelector(), s.CorrelationSelector(5), s.CorrelationSelector(5, method="spearman"), s.MutualInfoSelector(5), s.RandomSelector(5),
+    s.HigherCriticismSelector(), s.HigherCriticismSelector("2004"), s.BerkJonesSelector(), s.CorrelationSelector(5), s.CorrelationSelector(5, method="spearman"), s.CorrelationSelector(5, method="kendall"), s.MutualInfoSelector(5), s.RandomSelector(5),
     s.LassoSelector(5), s.TreeImportanceSelector(5, n_estimators=20), s.RFESelector(5), s.RFECVSelector(), s.SequentialSelector(3, solver="newton"),
 ]
 NAMES = [f"{type(x).__name__}{i}" for i, x in enumerate(CONFIGURED)]
