@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsieve.llm.tokens import as_bytes
+from colsieve.llm.tokens import as_bytes, small_batches
 from colsieve.sources.scratch import written
 
 #: A word is frequent from this share of all tokens on, so at most as many words are.
@@ -174,15 +174,21 @@ def bigrams(train: DataFrame, frequent, n_ids: int, parts: int) -> tuple[DataFra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = Ids(frequent.value), n_ids - 1
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return _packed(list(_dealt(code // n_ids, code // n_ids, code % n_ids, n, parts)))
+
         for b in batches:
-            held: list[np.ndarray] = []
-            for _, last, texts in _slices(b.column(0)):
+            for _, _, texts in _slices(b.column(0)):
                 row = _row(texts, ids, end)[0]
                 held.append(row[:-1] * n_ids + row[1:])
-                if sum(map(len, held)) > TOKENS or last == b.num_rows:
-                    code, n = np.unique(np.concatenate(held), return_counts=True)
-                    held = []
-                    yield _packed(list(_dealt(code // n_ids, code // n_ids, code % n_ids, n, parts)))
+                if sum(map(len, held)) > TOKENS:
+                    yield flush()
+        if held:
+            yield flush()
 
     def merged(part: pd.DataFrame) -> pd.DataFrame:
         x, y, n = (np.concatenate(v) for v in zip(*_unpacked(part), strict=True))
@@ -195,7 +201,8 @@ def bigrams(train: DataFrame, frequent, n_ids: int, parts: int) -> tuple[DataFra
             for x, y, n in _unpacked(batch):
                 yield _packed(list(_dealt(y, x, y, n, parts)))
 
-    by_a = written(train.select("_text").mapInArrow(count, _PACKED).groupBy("part").applyInPandas(merged, _PACKED), "bigrams-a")
+    with small_batches(train.sparkSession):
+        by_a = written(train.select("_text").mapInArrow(count, _PACKED).groupBy("part").applyInPandas(merged, _PACKED), "bigrams-a")
     by_b = written(by_a.mapInArrow(turned, _PACKED).groupBy("part").applyInPandas(merged, _PACKED), "bigrams-b")
     return by_a, by_b
 
@@ -314,7 +321,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), as_bytes(text_col).alias("_text"), (~in_training(id_col, folds, held_out)).alias("_held"))
     train = rows.where("NOT _held")
-    vocab = written(vocabulary(train), "vocabulary")
+    with small_batches(spark):
+        vocab = written(vocabulary(train), "vocabulary")
     model = train_model(train, vocab)
     shared = spark.sparkContext.broadcast(model)
     kind = rows.schema["_id"].dataType.simpleString()
@@ -343,7 +351,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 done += n
                 yield pa.RecordBatch.from_arrays(made, names=["_id", "_held", "_row", "_t", "_k", "_counts", "_steps", "_words", "_times"])
 
-    parts = written(rows.select("_id", "_text", "_held").mapInArrow(known_part, f"_id {kind}, _held boolean, _row long, _t long, _k long, _counts double, _steps double, _words array<long>, _times array<long>"), "scored")
+    with small_batches(spark):
+        parts = written(rows.select("_id", "_text", "_held").mapInArrow(known_part, f"_id {kind}, _held boolean, _row long, _t long, _k long, _counts double, _steps double, _words array<long>, _times array<long>"), "scored")
     rare = parts.select("_row", F.explode(F.arrays_zip("_words", "_times")).alias("_x")).select("_row", F.col("_x._words").alias("word"), F.col("_x._times").alias("times"))
     seen = rare.join(vocab.select("word", "n"), "word").groupBy("_row").agg(F.sum("times").alias("_seen"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("_log"))
     whole = parts.select("_id", "_held", "_row", "_t", "_k", "_counts", "_steps").join(seen, "_row", "left")

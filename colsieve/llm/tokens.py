@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, SparkSession
@@ -59,3 +60,16 @@ def encoder(spark: SparkSession, path: str) -> Callable[[], Callable[[bytes], np
 def as_bytes(text_col: str) -> Column:
     """A text column as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """While a table is written: fewer rows to an Arrow batch, as whole texts make wide rows, and executors hold a
+    batch's buffers outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
