@@ -5,9 +5,13 @@ unigram model. All counts are taken over all training documents.
 
 Words with at least 2**-18 of all tokens, of which there can be no more than 2**18, get their classes by exchange
 clustering over the table of all their bigrams: every round moves half of them to the class under which their
-neighbours are likeliest, and is kept only if the likelihood of the class bigrams rises. All other words have a
-class by their ending, a rule that needs no table, so that a word never seen has one too. Counts of those words
-are too many to send to every task: their tokens are joined with the vocabulary instead.
+neighbours are likeliest, and is kept only if the likelihood of the class bigrams rises. Every other word seen twice
+or more, the tail, then gets the class under which its own neighbours are likeliest, with the frequent words' classes
+held: its tokens are dealt by word, so that no task has more than its share. Words seen once have a class by their
+ending, a rule that needs no table, so that a word never seen has one too. Class bigrams are counted again after that.
+
+Classes and counts of tail words are too many to send to every task. They are a table dealt by word; each slice of
+texts asks the table's parts for the words that it has.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colsieve.llm.tokens import as_bytes, small_batches
@@ -169,11 +173,51 @@ def _unpacked(part: pa.RecordBatch | pd.DataFrame) -> Iterator[tuple[np.ndarray,
         yield np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4"), np.frombuffer(n, "<i8")
 
 
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Pieces of an array, each up to one of ``ends``, as a binary column."""
+    offsets = (np.r_[0, ends] * data.itemsize).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _flat(column: pa.Array | pa.ChunkedArray | pd.Series, kind: str) -> np.ndarray:
+    """All of a binary column as one array."""
+    return np.frombuffer(b"".join(column.tolist() if isinstance(column, pd.Series) else column.to_pylist()), kind)
+
+
+def coded(rows: DataFrame, frequent, n_ids: int) -> DataFrame:  # noqa: ANN001
+    """``rows`` with, for ``_text``, the ids of its words and its end (``_ids``), the hashes of those words that aren't
+    frequent in their order (``_tail``), and ``_slice``, which some neighbouring texts share."""
+    others = [c for c in rows.columns if c != "_text"]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, hashes, end, n_words = Ids(frequent.value), Hashes(), n_ids - 1, len(frequent.value)
+        at, held = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            for first, last, texts in _slices(b.column(b.schema.names.index("_text"))):
+                row, size = _row(texts, ids, end)
+                row, ends = row[1:], np.cumsum(size)
+                tail = (row >= n_words) & (row < end)
+                words = itertools.compress(itertools.chain.from_iterable(texts), tail[row != end].tolist())
+                found = np.fromiter(map(hashes.__getitem__, words), dtype="<i8", count=int(tail.sum()))
+                part = b.slice(first, last - first)
+                made = [part.column(b.schema.names.index(c)) for c in others]
+                made += [pa.array(np.full(len(texts), at)), _binary(row.astype("<i4"), ends), _binary(found, np.cumsum(tail)[ends - 1])]
+                yield pa.RecordBatch.from_arrays(made, names=[*others, "_slice", "_ids", "_tail"])
+                held += len(row)
+                if held > TOKENS:
+                    at, held = at + 1, 0
+
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in others)
+    return rows.mapInArrow(code, f"{kinds}_slice long, _ids binary, _tail binary")
+
+
 def bigrams(train: DataFrame, frequent, n_ids: int, parts: int) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
     """Counts of neighbouring ids over whole texts, from end to end: packed in parts by the first id, and by the second."""
+    if "_ids" not in train.columns:
+        train = coded(train.select("_text"), frequent, n_ids)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = Ids(frequent.value), n_ids - 1
+        end = n_ids - 1
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
@@ -182,11 +226,10 @@ def bigrams(train: DataFrame, frequent, n_ids: int, parts: int) -> tuple[DataFra
             return _packed(list(_dealt(code // n_ids, code // n_ids, code % n_ids, n, parts)))
 
         for b in batches:
-            for _, _, texts in _slices(b.column(0)):
-                row = _row(texts, ids, end)[0]
-                held.append(row[:-1] * n_ids + row[1:])
-                if sum(map(len, held)) > TOKENS:
-                    yield flush()
+            row = _flat(b.column(0), "<i4").astype("i8")
+            held.append(np.r_[end, row[:-1]] * n_ids + row)
+            if sum(map(len, held)) > TOKENS:
+                yield flush()
         if held:
             yield flush()
 
@@ -202,7 +245,7 @@ def bigrams(train: DataFrame, frequent, n_ids: int, parts: int) -> tuple[DataFra
                 yield _packed(list(_dealt(y, x, y, n, parts)))
 
     with small_batches(train.sparkSession):
-        by_a = written(train.select("_text").mapInArrow(count, _PACKED).groupBy("part").applyInPandas(merged, _PACKED), "bigrams-a")
+        by_a = written(train.select("_ids").mapInArrow(count, _PACKED).groupBy("part").applyInPandas(merged, _PACKED), "bigrams-a")
     by_b = written(by_a.mapInArrow(turned, _PACKED).groupBy("part").applyInPandas(merged, _PACKED), "bigrams-b")
     return by_a, by_b
 
@@ -274,39 +317,207 @@ def exchange(by_a: DataFrame, by_b: DataFrame, counts: np.ndarray, classes: np.n
     return classes, m
 
 
-def train_model(train: DataFrame, vocab: DataFrame) -> Model:
-    """Fits the model on rows with ``_text``. The driver gets the frequent words' hashes and counts, one row for each
-    ending, and class matrices: all of a size that doesn't grow with the corpus."""
-    spark = train.sparkSession
-    total, types = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+def _cells(rows: DataFrame, n: int) -> np.ndarray:
+    """Sums of ``(cell, n)`` rows."""
+    out = np.zeros(n)
+    for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out
+
+
+def _by_part(words: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that has some of ``words``, and where they are."""
+    part = words % parts
+    order = np.argsort(part, kind="stable")
+    ends = np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
+    for i in np.flatnonzero(np.diff(ends)):
+        yield int(i), order[ends[i] : ends[i + 1]]
+
+
+_TAILS = "part int, w binary, c binary, v binary"
+#: ``kind`` 0: a part's words, their classes and counts. 1: cells and counts. 2: words of the part, classes of the words before.
+_ASSIGNED = "kind int, part int, w binary, c binary, n binary"
+#: Tail words whose neighbours' classes are counted at once.
+WORDS = 8192
+
+
+def assign(train: DataFrame, classes: np.ndarray, m: np.ndarray, n_words: int, parts: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Classes of the tail: ``(part, w, c, n)`` with each part's words, classes and counts packed; the counts of class
+    bigrams that a tail word is part of; and how many tail words each class has. ``train`` is :func:`coded`, ``classes``
+    and ``m`` are those of :func:`exchange`.
+
+    A word seen twice or more gets the likeliest of the frequent words' classes from all its neighbours, of which
+    tail words count under their endings. A word seen once keeps its ending.
+    """
+    k = len(m)
+    p = (m + 0.1) / (m + 0.1).sum(1, keepdims=True)
+    shared = train.sparkSession.sparkContext.broadcast((classes, np.log(p[:, :CLASSES]), np.log(p[:CLASSES]).T, np.log(np.maximum(m.sum(0)[:CLASSES], 1))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value[0]
+        end = len(of) - 1
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            w, c, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            rows = [(i, w[at].tobytes(), c[at].tobytes(), v[at][_is_tail(c[at, 2])].tobytes()) for i, at in _by_part(w, parts)]
+            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "w", "c", "v"])
+
+        for b in batches:
+            row, w = _flat(b.column(0), "<i4"), _flat(b.column(1), "<i8")
+            c = of[row]
+            at = np.flatnonzero((row >= n_words) & (row < end))
+            if len(at):  # every text ends with an end, so there is a token after each
+                held.append((w, np.stack([c[at], np.r_[of[end], c[:-1]][at], c[at + 1]], 1), np.r_[w[1:], w[:1]]))
+            if sum(len(x[0]) for x in held) > TOKENS:
+                yield flush()
+        if held:
+            yield flush()
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        _, lead, follow, log_size = shared.value
+        w, c, v = _flat(part["w"], "<i8"), _flat(part["c"], "u1").reshape(-1, 3), _flat(part["v"], "<i8")
+        after = np.zeros(len(w), dtype="i8")
+        after[_is_tail(c[:, 2])] = v
+        order = np.argsort(w, kind="stable")
+        w, c, after = w[order], c[order], after[order]
+        start = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        n = np.diff(np.r_[start, len(w)])
+        chosen = c[start, 0].copy()
+        often = np.flatnonzero(n > 1)
+        for i in range(0, len(often), WORDS):
+            some = often[i : i + WORDS]
+            row = np.repeat(np.arange(len(some)), n[some])
+            at = np.arange(len(row)) + np.repeat(start[some] - np.cumsum(n[some]) + n[some], n[some])
+            near = [np.bincount(row * k + c[at, j], minlength=len(some) * k).reshape(-1, k) for j in (1, 2)]
+            chosen[some] = (near[0] @ lead + near[1] @ follow - n[some][:, None] * log_size).argmax(1)
+        own = np.repeat(chosen, n).astype("i8")
+        first, last = ~_is_tail(c[:, 1]), _is_tail(c[:, 2])
+        cells = np.bincount(np.r_[c[first, 1].astype("i8") * k + own[first], own[~last] * k + c[~last, 2]], minlength=k * k)
+        cells = np.r_[cells, np.bincount(chosen, minlength=k)]
+        full = np.flatnonzero(cells)
+        mine = int(part["part"].iloc[0])
+        rows = [(0, mine, w[start].tobytes(), chosen.tobytes(), n.astype("<i8").tobytes()), (1, mine, full.astype("<i8").tobytes(), b"", cells[full].astype("<i8").tobytes())]
+        rows += [(2, i, after[last][at].tobytes(), own[last][at].astype("u1").tobytes(), b"") for i, at in _by_part(after[last], parts)]
+        return pd.DataFrame(rows, columns=["kind", "part", "w", "c", "n"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k + k, dtype="i8")
+        for b in batches:
+            np.add.at(total, _flat(b.column(0), "<i8"), _flat(b.column(1), "<i8"))
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["cell", "n"])
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        table, asked = part[part["kind"] == 0], part[part["kind"] == 2]
+        words, of = _flat(table["w"], "<i8"), _flat(table["c"], "u1")
+        at = np.searchsorted(words, _flat(asked["w"], "<i8"))
+        cells = np.bincount(_flat(asked["c"], "u1").astype("i8") * k + (of[at] if len(at) else at), minlength=k * k)
+        full = np.flatnonzero(cells)
+        return pd.DataFrame({"cell": full, "n": cells[full]})
+
+    with small_batches(train.sparkSession):
+        made = written(train.select("_ids", "_tail").mapInArrow(deal, _TAILS).groupBy("part").applyInPandas(choose, _ASSIGNED), "assigned")
+    beside = _cells(made.where("kind = 1").select("w", "n").mapInArrow(unpack, "cell long, n long"), k * k + k)
+    between = _cells(made.where("kind <> 1").groupBy("part").applyInPandas(meet, "cell long, n long"), k * k)
+    return made.where("kind = 0").drop("kind"), (beside[: k * k] + between).reshape(k, k), beside[k * k :]
+
+
+def _is_tail(classes: np.ndarray) -> np.ndarray:
+    """Before they are assigned, tail words alone have the classes of endings."""
+    return (classes >= CLASSES) & (classes < CLASSES + ENDINGS)
+
+
+@dataclass
+class Head:
+    """The frequent words' hashes and ids, counts and endings, and the sums of the vocabulary."""
+
+    frequent: dict[int, int]
+    counts: np.ndarray
+    endings: np.ndarray
+    end_count: int
+    total: int
+    types: int
+
+    @property
+    def n_ids(self) -> int:
+        return len(self.frequent) + ENDINGS + 1
+
+
+def head_of(vocab: DataFrame) -> Head:
+    total, types, ends = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("ending") < 0, F.col("n"))), F.lit(0))).first()
     # at most FREQUENT words can have a 1/FREQUENT of all tokens each
     top = vocab.where((F.col("ending") >= 0) & (F.col("n") * FREQUENT >= F.lit(total)) & (F.col("n") > 1)).select("word", "n", "ending").toPandas().sort_values(["n", "word"], ascending=[False, True])
-    frequent = {w: i for i, w in enumerate(top["word"].tolist())}
-    counts = top["n"].to_numpy("f8")
-    n_words, k = len(frequent), CLASSES + ENDINGS + 1
-    n_ids = n_words + ENDINGS + 1
-    by_ending = {r["ending"]: (r["t"], r["v"]) for r in vocab.groupBy("ending").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("v")).collect()}
+    return Head({w: i for i, w in enumerate(top["word"].tolist())}, top["n"].to_numpy("f8"), top["ending"].to_numpy("i8"), int(ends), int(total), int(types))
+
+
+def n_parts(spark: SparkSession) -> int:
+    return max(PARTS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fit(train: DataFrame, head: Head, shared) -> tuple[Model, DataFrame]:  # noqa: ANN001
+    """The model of :func:`coded` rows, and the tail's words, classes and counts as :func:`assign` gives them. The driver
+    gets the frequent words' hashes and counts and class matrices: all of a size that doesn't grow with the corpus."""
+    n_words, k = len(head.frequent), CLASSES + ENDINGS + 1
     # to begin with, the most frequent words have classes of their own and the others lie with those of their ending
     classes = np.concatenate([np.minimum(np.arange(n_words), CLASSES), CLASSES + np.arange(ENDINGS + 1)]).astype("u1")
     rest = np.arange(CLASSES // 2, n_words)
-    classes[rest] = CLASSES // 2 + top["ending"].to_numpy("i8")[rest] % (CLASSES // 2)
-    shared = spark.sparkContext.broadcast(frequent)
-    parts = max(PARTS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    by_a, by_b = bigrams(train, shared, n_ids, parts)
-    classes, m = exchange(by_a, by_b, counts, classes, k)
-    size, kinds = np.zeros(k), np.zeros(k)
-    np.add.at(size, classes[:n_words], counts)
+    classes[rest] = CLASSES // 2 + head.endings[rest] % (CLASSES // 2)
+    parts = n_parts(train.sparkSession)
+    by_a, by_b = bigrams(train, shared, head.n_ids, parts)
+    classes, m = exchange(by_a, by_b, head.counts, classes, k)
+    tails, with_tail, kinds = assign(train, classes, m, n_words, parts)
+    # bigrams of frequent words and ends alone: those with a tail word are in class k here
+    m = _class_bigrams(by_a, np.where(_is_tail(classes), k, classes).astype("u1"), k + 1)[:k, :k] + with_tail
+    size = m.sum(0)  # every token is the second of one bigram
     np.add.at(kinds, classes[:n_words], 1)
-    top_t, top_v = np.bincount(top["ending"], weights=counts, minlength=ENDINGS), np.bincount(top["ending"], minlength=ENDINGS)
-    for e in range(ENDINGS):
-        t, v = by_ending.get(e, (0, 0))
-        size[CLASSES + e], kinds[CLASSES + e] = t - top_t[e], v - top_v[e] + 1  # one more for words never seen
-    size[k - 1], kinds[k - 1] = by_ending.get(-1, (0, 0))[0], 1
+    kinds[CLASSES:] += 1  # a word never seen for each ending; the end
     frequency = (size + 1) / (size + 1).sum()
     step = (m + BETA * frequency) / (m.sum(1, keepdims=True) + BETA)
     emit = np.maximum(size + kinds, 1)  # counts are raised by one each
-    log_step = np.log10(LAMBDA * step / emit[None, :] + (1 - LAMBDA) / (total + types + 1))
-    return Model(frequent, np.log10(counts + 1), classes, log_step, int(size[k - 1]), int(total), int(types))
+    log_step = np.log10(LAMBDA * step / emit[None, :] + (1 - LAMBDA) / (head.total + head.types + 1))
+    return Model(head.frequent, np.log10(head.counts + 1), classes, log_step, head.end_count, head.total, head.types), tails
+
+
+def train_model(train: DataFrame, vocab: DataFrame) -> Model:
+    """Fits the model on rows with ``_text``; see :func:`fit`, which also gives the classes of the tail."""
+    head = head_of(vocab)
+    shared = train.sparkSession.sparkContext.broadcast(head.frequent)
+    with small_batches(train.sparkSession):
+        rows = written(coded(train.select("_text"), shared, head.n_ids), "coded")
+    return fit(rows, head, shared)[0]
+
+
+def _looked_up(rows: DataFrame, tails: DataFrame, parts: int) -> DataFrame:
+    """``(_slice, w, c, n)``: the words of each slice's ``_tail`` that ``tails`` has, with classes and counts, packed."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slices = b.column(0).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, slices[1:] != slices[:-1], True])
+            for first, last in itertools.pairwise(cuts.tolist()):
+                w = np.unique(_flat(b.column(1).slice(first, last - first), "<i8"))
+                asked = [(i, int(slices[first]), w[at].tobytes()) for i, at in _by_part(w, parts)]
+                columns = list(zip(*asked, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "_slice", "w"])
+
+    def find(part: pd.DataFrame) -> pd.DataFrame:
+        table, asked = part[part["_slice"] < 0], part[part["_slice"] >= 0]
+        words, of, n = _flat(table["w"], "<i8"), _flat(table["c"], "u1"), _flat(table["n"], "<i8")
+        rows = []
+        for at, raw in zip(asked["_slice"].tolist(), asked["w"], strict=True) if len(words) else ():
+            w = np.frombuffer(raw, "<i8")
+            place = np.minimum(np.searchsorted(words, w), len(words) - 1)
+            place = place[words[place] == w]
+            rows.append((at, words[place].tobytes(), of[place].tobytes(), n[place].tobytes()))
+        return pd.DataFrame(rows, columns=["_slice", "w", "c", "n"])
+
+    # whole batches, so that few rows ask
+    asked = rows.select("_slice", "_tail").mapInArrow(ask, "part int, _slice long, w binary").select("part", "_slice", "w", F.lit(b"").alias("c"), F.lit(b"").alias("n"))
+    both = tails.select("part", F.lit(-1).cast("long").alias("_slice"), "w", "c", "n").unionByName(asked)
+    return both.groupBy("part").applyInPandas(find, "_slice long, w binary, c binary, n binary")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -320,44 +531,37 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), as_bytes(text_col).alias("_text"), (~in_training(id_col, folds, held_out)).alias("_held"))
-    train = rows.where("NOT _held")
     with small_batches(spark):
-        vocab = written(vocabulary(train), "vocabulary")
-    model = train_model(train, vocab)
+        vocab = written(vocabulary(rows.where("NOT _held")), "vocabulary")
+        head = head_of(vocab)
+        frequent = spark.sparkContext.broadcast(head.frequent)
+        whole = written(coded(rows.select("_id", "_text", "_held"), frequent, head.n_ids), "coded", compression="zstd")
+    model, tails = fit(whole.where("NOT _held"), head, frequent)
+    with small_batches(spark):
+        found = written(_looked_up(whole, tails, n_parts(spark)), "looked-up")
     shared = spark.sparkContext.broadcast(model)
-    kind = rows.schema["_id"].dataType.simpleString()
     floor = float(np.log10(model.total + model.types + 1))
 
-    def known_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(texts: pa.Table, answers: pa.Table) -> pa.Table:
         m = shared.value
-        ids, hashes, n_words, end = Ids(m.frequent), Hashes(), len(m.frequent), len(m.classes) - 1
-        done, task = 0, TaskContext.get().partitionId() << 40
-        end_log = float(np.log10(m.end_count + 1))
-        log_counts = np.r_[m.log_counts, np.zeros(len(m.classes) - n_words)]
-        for b in batches:
-            for first, last, texts in _slices(b.column(1)):
-                at, size = _row(texts, ids, end)
-                n, ends = len(texts), np.cumsum(size)
-                starts = ends - size
-                c = m.classes[at]
-                rare = (at[1:] >= n_words) & (at[1:] < end)
-                rares, counts, steps = (np.add.reduceat(v, starts) for v in (rare.astype("i8"), log_counts[at[1:]], m.log_step[c[:-1], c[1:]]))
-                flags = rare.tolist()
-                others = [Counter(itertools.compress(t, flags[s : e - 1])) for t, s, e in zip(texts, starts.tolist(), ends.tolist(), strict=True)]
-                known = size - 1 - rares + (m.end_count > 0)
-                part = b.slice(first, last - first)
-                made = [part.column(0), part.column(2), pa.array(np.arange(done, done + n) + task), pa.array(size), pa.array(known), pa.array(counts + end_log), pa.array(steps)]
-                made += [pa.array([list(map(hashes.__getitem__, o)) for o in others], pa.list_(pa.int64())), pa.array([list(o.values()) for o in others], pa.list_(pa.int64()))]
-                done += n
-                yield pa.RecordBatch.from_arrays(made, names=["_id", "_held", "_row", "_t", "_k", "_counts", "_steps", "_words", "_times"])
+        n_words, end = len(m.frequent), len(m.classes) - 1
+        row, tail = _flat(texts["_ids"], "<i4"), _flat(texts["_tail"], "<i8")
+        words, at = np.unique(_flat(answers["w"], "<i8"), return_index=True)
+        of, n = _flat(answers["c"], "u1")[at], _flat(answers["n"], "<i8")[at]
+        c, log = m.classes[row], np.r_[m.log_counts, np.zeros(ENDINGS), np.log10(m.end_count + 1)][row]
+        known = (row < n_words) | ((row == end) & (m.end_count > 0))
+        if len(words):
+            place = np.minimum(np.searchsorted(words, tail), len(words) - 1)
+            seen = words[place] == tail
+            at = np.flatnonzero((row >= n_words) & (row < end))[seen]
+            c[at], log[at], known[at] = of[place[seen]], np.log10(n[place[seen]] + 1), True
+        size = np.array([len(x) // 4 for x in texts["_ids"].to_pylist()], dtype="i8")
+        starts = np.cumsum(size) - size
+        steps = m.log_step[np.r_[m.classes[end], c[:-1]], c]
+        log, steps, known = (np.add.reduceat(x, starts) for x in (log, steps, known.astype("i8")))
+        made = [texts["_id"], texts["_held"], pa.array(size), pa.array(known), pa.array(np.full(len(size), m.total, dtype="i8")), pa.array(log - size * floor), pa.array(log + steps)]
+        return pa.Table.from_arrays(made, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    with small_batches(spark):
-        parts = written(rows.select("_id", "_text", "_held").mapInArrow(known_part, f"_id {kind}, _held boolean, _row long, _t long, _k long, _counts double, _steps double, _words array<long>, _times array<long>"), "scored")
-    rare = parts.select("_row", F.explode(F.arrays_zip("_words", "_times")).alias("_x")).select("_row", F.col("_x._words").alias("word"), F.col("_x._times").alias("times"))
-    seen = rare.join(vocab.select("word", "n"), "word").groupBy("_row").agg(F.sum("times").alias("_seen"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("_log"))
-    whole = parts.select("_id", "_held", "_row", "_t", "_k", "_counts", "_steps").join(seen, "_row", "left")
-    log = F.col("_counts") + F.coalesce("_log", F.lit(0.0))
-    return whole.select(
-        F.col("_id").alias(id_col), F.col("_held").alias("held_out"), F.col("_t").alias("n_tokens"), (F.col("_k") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), (log - F.col("_t") * floor).alias("base_score"), (log + F.col("_steps")).alias("score"),
-    )
+    kind = rows.schema["_id"].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return whole.groupBy("_slice").cogroup(found.groupBy("_slice")).applyInArrow(measure, schema)

@@ -482,6 +482,33 @@ def test_model_is_a_distribution(spark, odd, empty):
     assert brown.score(empty).count() == 0
 
 
+def test_tail_words_get_the_class_of_their_neighbours(spark, monkeypatch):
+    """Words too rare for the exchange clustering share the class of the words that they stand in for."""
+    monkeypatch.setattr(brown, "FREQUENT", 64)
+    rng = np.random.default_rng(0)
+    docs = []
+    for i in range(300):
+        words = []
+        for j in range(10):
+            n = i * 10 + j
+            words += [f"a{rng.integers(3)}" if rng.random() < 0.9 else f"ra{n // 20}", f"b{rng.integers(3)}" if rng.random() < 0.9 else f"rb{n // 20}"]
+        docs.append((i, " ".join(words), "s"))
+    rows_ = make(spark, docs).select(F.col("text").cast("binary").alias("_text"))
+    vocab = brown.vocabulary(rows_).cache()
+    head = brown.head_of(vocab)
+    assert len(head.frequent) == 6
+    shared = spark.sparkContext.broadcast(head.frequent)
+    model, tails = brown.fit(brown.coded(rows_, shared, head.n_ids), head, shared)
+    found = {w: (c, n) for r in tails.collect() for w, c, n in zip(np.frombuffer(r["w"], "<i8").tolist(), r["c"], np.frombuffer(r["n"], "<i8").tolist(), strict=True)}
+    counts = Counter(w for _, t, _ in docs for w in t.split() if w[0] == "r")
+    assert {w: found[brown.identity(w.encode())][1] for w in counts} == counts and len(found) == len(counts)
+    side = {x: {model.classes[head.frequent[brown.identity(f"{x}{j}".encode())]] for j in range(3)} for x in "ab"}
+    assert not side["a"] & side["b"]
+    for w, n in counts.items():
+        c = found[brown.identity(w.encode())][0]
+        assert c in side[w[1]] if n > 1 else c == brown.CLASSES + brown.ending(w.encode())
+
+
 # --- the pipeline ---
 
 
