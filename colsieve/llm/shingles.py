@@ -49,27 +49,33 @@ def shingle_set(text: bytes, seen: WordHashes) -> np.ndarray:
     return np.unique(mix(total))
 
 
-#: Registers are kept in this order, so that neighbours in a sketch have borrowed from different places.
-_ORDER = np.random.default_rng(7).permutation(REGISTERS)
+#: Odd multipliers, a hash function of its own for each register that stays empty, and hashes they meet at once.
+_OWN = np.random.default_rng(7).integers(0, 1 << 63, REGISTERS, dtype="u8") * np.uint64(2) + np.uint64(1)
+_AT_ONCE = 1024
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
     """HyperMinHash: for each of 256 buckets (the top 8 bits) the least rest of 56 bits, kept as its leading zeros
-    plus one (6 bits) and the 10 bits after the leading one. An empty bucket borrows the next full one's, so that
-    short texts fill their sketches too; no shingles are all zeros."""
+    plus one (6 bits) and the 10 bits after the leading one. An empty bucket takes the least of all shingles under a
+    hash function of its own, so that registers of short texts agree independently of one another too; no shingles are
+    all zeros."""
     out = np.zeros(REGISTERS, dtype="<u2")
     if not len(hashes):
         return out
     bucket = (hashes >> _REST).astype("i4")
     first = np.r_[True, bucket[1:] != bucket[:-1]]  # hashes are sorted, so the first of a bucket is its least
-    rest = hashes[first] & np.uint64((1 << 56) - 1)
+    rest = np.full(REGISTERS, (1 << 56) - 1, dtype="u8")
+    rest[bucket[first]] = hashes[first] & rest[0]
+    empty = np.ones(REGISTERS, dtype=bool)
+    empty[bucket[first]] = False
+    if empty.any():
+        least = [(mixed[:, None] * _OWN[empty]).min(0) for mixed in np.split(hashes ^ (hashes >> np.uint64(32)), range(_AT_ONCE, len(hashes), _AT_ONCE))]
+        rest[empty] = np.min(least, axis=0) >> np.uint64(8)
     # frexp of the top 53 bits is exact: rest = fraction * 2**exponent with fraction in [0.5, 1)
     fraction, exponent = np.frexp((rest >> np.uint64(3)).astype("f8"))
     zeros = np.where(rest >> np.uint64(3), 53 - exponent, 53).astype("u4")
     mantissa = np.where(fraction > 0, (fraction * 2 - 1) * (1 << MANTISSA), 0).astype("u4")
-    full = bucket[first]
-    next_full = np.searchsorted(full, np.arange(REGISTERS)) % len(full)
-    return (((zeros + 1) << MANTISSA) | mantissa).astype("<u2")[next_full][_ORDER]
+    return (((zeros + 1) << MANTISSA) | mantissa).astype("<u2")
 
 
 def chance_match(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:

@@ -141,6 +141,22 @@ def test_near_duplicates(spark, percent, monkeypatch):
     assert got == brute_components(docs, percent)
 
 
+def shares_a_band(small, large, band, trials, seed):
+    """How many of so many pairs of a set and the same set with more shingles share a band of registers."""
+    rng, found, bands = np.random.default_rng(seed), 0, shingles.REGISTERS // band
+    for _ in range(trials):
+        h = np.unique(rng.integers(0, 1 << 64, large, dtype="u8"))
+        equal = shingles.registers(np.sort(rng.choice(h, small, replace=False))) == shingles.registers(h)
+        found += equal[: band * bands].reshape(bands, band).all(1).any()
+    return found
+
+
+@pytest.mark.parametrize("small, large", [(6, 7), (12, 14), (29, 34)])
+def test_short_sets_share_a_band(small, large):
+    """A word put before or after a short text changes one shingle; no such pair may be lost before it is compared."""
+    assert shares_a_band(small, large, 7, 1500, large) == 1500
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
