@@ -2,7 +2,7 @@
 
 1. Every document gets its shingle count, a digest of its shingle set and 256 compressed registers.
 2. Documents of one set are one class; its smallest id stands for it, and copies go no further.
-3. Registers are cut into 36 bands of 7. Classes that share a band meet in its bucket, where each is compared with
+3. Registers are cut into bands, 36 of 7 at 0.85 and 51 of 5 at 0.80. Classes that share a band meet in its bucket, where each is compared with
    the bucket's centre by the corrected estimate, never with all others. Centres that are similar at all (over
    ATTACH) tie their class into one neighbourhood. A class leaves the bucket only if the centre is so close that
    whatever is linked with the class is tied to the centre too. The others meet again by size, with more centres
@@ -12,7 +12,8 @@
    spanning forest of confirmed links, never all pairs.
 5. Components of the links give the result.
 
-At similarity s a band is shared with chance s**7, so that of 36 bands none is shared by 1e-6 of the pairs at 0.85.
+At similarity s a band of r registers is shared with chance s**r. Bands are as long as they may be for at most MISSED
+of the pairs at the threshold to share none.
 """
 
 from __future__ import annotations
@@ -32,14 +33,19 @@ from colsieve.llm.tokens import as_bytes
 from colsieve.operators.graph import add_links, connected_components
 from colsieve.sources.scratch import written
 
-BAND = 7
-BANDS = REGISTERS // BAND
+#: Share of the pairs at the threshold that may share no band.
+MISSED = 1e-6
 #: Estimates from here on tie classes into a neighbourhood.
 ATTACH = 0.35
 #: Classes to a block, so at most so many pairs of sets meet in a task.
 BLOCK = 512
 
 
+def band_length(threshold: float) -> int:
+    """Registers to a band."""
+    return max((r for r in range(2, 33) if (1 - threshold**r) ** (REGISTERS // r) <= MISSED), default=1)
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), as_bytes(text_col).alias("_text"))
 
@@ -61,7 +67,8 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _neighbours(classes: DataFrame, threshold: float) -> DataFrame | None:
     """``(node, component)``: neighbourhoods such that every pair over the threshold that shares a band lies in one."""
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("_regs"), i * (2 * BAND) + 1, F.lit(2 * BAND))))
+    band = band_length(threshold)
+    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // band - 1)), lambda i: F.xxhash64(i, F.substring(F.col("_regs"), i * (2 * band) + 1, F.lit(2 * band))))
     rows = classes.select(F.explode(bands).alias("_key"), "_rep", "_n")
     left = _shared(rows, "_rep")
     found, centres = None, 1

@@ -157,6 +157,12 @@ def test_short_sets_share_a_band(small, large):
     assert shares_a_band(small, large, 7, 1500, large) == 1500
 
 
+@pytest.mark.parametrize("small, large", [(4, 5), (8, 10), (20, 25)])
+def test_bands_follow_the_threshold(small, large):
+    assert near_dedup.band_length(0.85) == 7 and near_dedup.band_length(0.8) == 5
+    assert shares_a_band(small, large, near_dedup.band_length(0.8), 1500, large) == 1500
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
