@@ -156,12 +156,12 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return length_histogram(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return length_histogram(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special=True)
 
 
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special=True)
 
 
 @query

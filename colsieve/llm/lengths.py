@@ -22,9 +22,9 @@ from colsieve.sources.scratch import written
 BLOCK = 1024
 
 
-def length_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+def length_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", special: bool = False) -> DataFrame:
     """``(n_tokens, docs)`` over all rows; null and empty texts have 0 tokens; an empty table gives no rows."""
-    make = encoder(docs.sparkSession, tokenizer)
+    make = encoder(docs.sparkSession, tokenizer, special)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make()
@@ -36,14 +36,14 @@ def length_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Da
     return parts.groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
 
 
-def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text", special: bool = False) -> DataFrame:
     """One row for each length that occurs, with what holds if it is the context limit.
 
     ``n_tokens, docs, tokens`` (of that length), ``docs_at_least, tokens_at_least, docs_at_most`` and
     ``truncated_total``, the tokens left when every document is cut to ``n_tokens``. Sums go over blocks of
     1024 lengths first, so that no task holds the histogram of all lengths.
     """
-    counts = written(length_counts(docs, tokenizer, text_col), "lengths")
+    counts = written(length_counts(docs, tokenizer, text_col, special), "lengths")
     counts = counts.withColumn("tokens", F.col("n_tokens") * F.col("docs")).withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = counts.groupBy("_block").agg(F.sum("docs").alias("_d"), F.sum("tokens").alias("_t"))
     later = W.orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)

@@ -72,9 +72,9 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
     return windows, offsets
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str, text_col: str, special: bool = False) -> DataFrame:
     """``id_col, start, length, ids_crc32, doc_tokens, _salt``: each document's ids and ``end_id`` in windows and a rest."""
-    make = encoder(docs.sparkSession, tokenizer)
+    make = encoder(docs.sparkSession, tokenizer, special)
     end = np.array([end_id], dtype="<u4")
     rows = docs.select(F.col(id_col).alias("_id"), as_bytes(text_col).alias("_text"))
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, _salt long"
@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: st
     return rows.mapInArrow(cut, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, special: bool = False) -> DataFrame:
     """One row for each piece: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     The ids of a document are those of its text and ``end_id``; each lies in one piece. Pieces of one sequence
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
     lengths are packed in the order of ids. The pieces are written before they are dealt into chunks, and
     chunks depend on a running number too, so that no repeated row makes a large chunk.
     """
-    cut = written(pieces(docs, tokenizer, window, end_id, id_col, text_col), "pieces")
+    cut = written(pieces(docs, tokenizer, window, end_id, id_col, text_col, special), "pieces")
     n = max(1, -(-cut.count() // chunk))
     dealt = cut.withColumn("_chunk", F.pmod(F.xxhash64("_id", "start", "_salt", "ids_crc32"), F.lit(n)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 #: What the pre-tokenizer of byte-level BPE splits at. Fixed value, part of the public vocabulary's format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: A longer run of white space goes to the ``tokenizers`` library: ``tiktoken`` fails from a million characters on.
+BLANKS = 500_000
+_LONG_BLANK = re.compile(rf"\s{{{BLANKS}}}")
+
 _encodings: dict[str, object] = {}
 
 
@@ -35,24 +40,41 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {k: v for k, v in ranks.items() if v not in special}
 
 
-def encoder(spark: SparkSession, path: str) -> Callable[[], Callable[[bytes], np.ndarray]]:
+def encoder(spark: SparkSession, path: str, special: bool = False) -> Callable[[], Callable[[bytes], np.ndarray]]:
     """For workers: a function from a text's UTF-8 bytes to its ids (uint32), made once in each process.
 
-    Special tokens written out in a text are ordinary text, none are added, and bytes that aren't UTF-8 are
-    replaced. The vocabulary goes out as a broadcast; its size is that of a vocabulary file, checked here.
+    Special tokens written out in a text are ordinary text or, with ``special``, tokens, as they are for the
+    ``tokenizers`` library unless it is told otherwise. None are added, and bytes that aren't UTF-8 are replaced. Texts
+    with such tokens or very long white space are left to that library. The vocabulary goes out as a broadcast; its size is that of a vocabulary file, checked here.
     """
     ranks = load_ranks(path)
     if len(ranks) > 1_000_000:
         raise ValueError("a vocabulary of over a million tokens isn't broadcast")
-    shared = spark.sparkContext.broadcast(ranks)
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
+    added = [x["content"] for x in json.loads(spec)["added_tokens"]] if special else []
+    shared = spark.sparkContext.broadcast((ranks, spec))
 
     def make() -> Callable[[bytes], np.ndarray]:
         import tiktoken
 
         if path not in _encodings:
-            _encodings[path] = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
+            _encodings[path] = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=shared.value[0], special_tokens={})
         one = _encodings[path]
-        return lambda text: np.array(one.encode_ordinary(text.decode("utf-8", "replace")), dtype="<u4")
+        slow = []
+
+        def encode(raw: bytes) -> np.ndarray:
+            text = raw.decode("utf-8", "replace")
+            if any(x in text for x in added) or (len(text) >= BLANKS and _LONG_BLANK.search(text)):
+                if not slow:
+                    from tokenizers import Tokenizer
+
+                    slow.append(Tokenizer.from_str(shared.value[1]))
+                    slow[0].encode_special_tokens = not special
+                return np.array(slow[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.array(one.encode_ordinary(text), dtype="<u4")
+
+        return encode
 
     return make
 

@@ -394,6 +394,22 @@ def test_ids_equal_the_tokenizers_library(spark, reference):
         assert encode(t.encode()).tolist() == reference.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_equal_the_librarys_defaults(spark, tmp_path):
+    default = Tokenizer.from_file(PATH)
+    ids = lambda t: default.encode(t, add_special_tokens=False).ids
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>  x", "<|endoftext", "plain", "b" + " " * 1_000_100 + "a"]
+    encode = tokens.encoder(spark, PATH, special=True)()
+    assert ids(texts[0]) == [64, 220, 50256, 275]
+    for t in texts:
+        assert encode(t.encode()).tolist() == ids(t)
+    make(spark, [(i, t, "s") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(len(ids(t)) for t in texts)
+    assert sorted(r["n_tokens"] for r in QUERIES["op8_token_counts"](spark, str(tmp_path)).collect() for _ in range(r["docs"])) == want
+    packed = QUERIES["op9_packing"](spark, str(tmp_path)).where("start = 0").collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in packed} == {i: len(ids(t)) + 1 for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["ids_crc32"] for r in packed}[0] == zlib.crc32(np.array([*ids(texts[0]), 1], dtype="<u4").tobytes())
+
+
 def test_length_histogram(spark, odd, empty, reference):
     lens = sorted(len(reference.encode(r["text"] or "", add_special_tokens=False).ids) for r in odd.collect())
     hist = lengths.length_histogram(odd, PATH)
