@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from colsieve.llm.tokens import as_bytes, encoder
+from colsieve.llm.tokens import as_bytes, encoder, narrow_batches
 from colsieve.sources.scratch import written
 
 #: Lengths to a block of the two-level suffix sums.
@@ -24,6 +24,7 @@ BLOCK = 1024
 
 def length_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", special: bool = False) -> DataFrame:
     """``(n_tokens, docs)`` over all rows; null and empty texts have 0 tokens; an empty table gives no rows."""
+    narrow_batches(docs.sparkSession)
     make = encoder(docs.sparkSession, tokenizer, special)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

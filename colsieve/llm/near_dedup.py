@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from colsieve.llm.shingles import REGISTERS, WordHashes, least_estimate, registers, shingle_set, similarity
 from colsieve.llm.skew import attach, maybe_in
-from colsieve.llm.tokens import as_bytes
+from colsieve.llm.tokens import as_bytes, narrow_batches
 from colsieve.operators.graph import add_links, connected_components
 from colsieve.sources.scratch import written
 
@@ -224,6 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share a component if their texts do; of such rows with different texts, one text may be compared for both,
     so ids should be unique. A null id stays null and not kept; an empty table gives an empty table.
     """
+    narrow_batches(docs.sparkSession)
     sketches = _sketches(docs, id_col, text_col)
     kinds = sketches.where("_n > 0 AND _id IS NOT NULL").groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"), F.first("_regs").alias("_regs"), F.first("_n").alias("_n"))
     kinds = written(kinds, "classes")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsieve.llm.tokens import as_bytes, encoder
+from colsieve.llm.tokens import as_bytes, encoder, narrow_batches
 from colsieve.sources.scratch import written
 
 #: Pieces to a chunk, about.
@@ -74,6 +74,7 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
 
 def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str, text_col: str, special: bool = False) -> DataFrame:
     """``id_col, start, length, ids_crc32, doc_tokens, _salt``: each document's ids and ``end_id`` in windows and a rest."""
+    narrow_batches(docs.sparkSession)
     make = encoder(docs.sparkSession, tokenizer, special)
     end = np.array([end_id], dtype="<u4")
     rows = docs.select(F.col(id_col).alias("_id"), as_bytes(text_col).alias("_text"))

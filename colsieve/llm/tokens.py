@@ -16,7 +16,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: A longer run of white space goes to the ``tokenizers`` library: ``tiktoken`` fails from a million characters on.
 BLANKS = 500_000
-_LONG_BLANK = re.compile(rf"\s{{{BLANKS}}}")
+_BLANK = re.compile(r"\s{2,}")
 
 _encodings: dict[str, object] = {}
 
@@ -40,6 +40,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {k: v for k, v in ranks.items() if v not in special}
 
 
+def long_blank(text: str) -> bool:
+    """Whether white space runs over BLANKS characters; each run is looked at once."""
+    return len(text) >= BLANKS and any(x.end() - x.start() >= BLANKS for x in _BLANK.finditer(text))
+
+
 def encoder(spark: SparkSession, path: str, special: bool = False) -> Callable[[], Callable[[bytes], np.ndarray]]:
     """For workers: a function from a text's UTF-8 bytes to its ids (uint32), made once in each process.
 
@@ -65,7 +70,7 @@ def encoder(spark: SparkSession, path: str, special: bool = False) -> Callable[[
 
         def encode(raw: bytes) -> np.ndarray:
             text = raw.decode("utf-8", "replace")
-            if any(x in text for x in added) or (len(text) >= BLANKS and _LONG_BLANK.search(text)):
+            if any(x in text for x in added) or long_blank(text):
                 if not slow:
                     from tokenizers import Tokenizer
 
@@ -84,6 +89,14 @@ def as_bytes(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
 
 
+def narrow_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20) -> None:
+    """At most so many rows and bytes to an Arrow batch for the rest of the session, as a frame that is returned runs
+    later: whole texts make wide rows, and executors hold a batch's buffers outside the heap."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size}b")
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
     """While a table is written: fewer rows to an Arrow batch, as whole texts make wide rows, and executors hold a
