@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsieve.llm.tokens import as_bytes
+from colsieve.llm.tokens import as_bytes, narrow_batches
 
 #: Buckets of hashed words and of their beginnings, then of word shapes by share, then of the text's own measures.
 WORD_BITS, BEGIN_BITS, BEGIN, SHAPES, LEVELS = 18, 16, 4, 128, 16
@@ -81,54 +81,100 @@ class Ordinal:
         """P(grade >= k) for k = 1.. in columns."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
+    def scores(self, texts: Iterable[bytes], seen: Features, n: int) -> np.ndarray:
+        return np.fromiter((float(self.weights[features(x, seen)].sum(dtype="f8")) for x in texts), dtype="f8", count=n)
+
     def expected(self, scores: np.ndarray) -> np.ndarray:
         return self.tails(scores).sum(1)
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: float = 3e-4, rounds: int = 250, rate: float = 0.05) -> Ordinal:
-    """Penalised maximum likelihood by full-batch Adam; buckets of fewer than three documents get no weight.
+def minimised(of: Callable[[np.ndarray], tuple[float, np.ndarray]], p: np.ndarray, tolerance: float, rounds: int, memory: int = 10) -> np.ndarray:
+    """Where ``of``, which gives a value and its gradient, is least: L-BFGS from ``p`` until no part of the gradient exceeds ``tolerance``."""
+    value, g = of(p)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        if np.abs(g).max() <= tolerance:
+            break
+        d, shares = -g, []
+        for s, y, r in reversed(steps):
+            shares.append(r * (s @ d))
+            d = d - shares[-1] * y
+        if steps:
+            s, y, _ = steps[-1]
+            d = d * ((s @ y) / (y @ y))
+        else:
+            d = d / max(1.0, np.sqrt(g @ g))
+        for (s, y, r), share in zip(steps, reversed(shares), strict=True):
+            d = d + (share - r * (y @ d)) * s
+        slope, length = g @ d, 1.0
+        if slope >= 0:
+            d, slope, steps = -g, -(g @ g), []
+        while True:
+            to, after = of(p + length * d)
+            if to <= value + 1e-4 * length * slope:
+                break
+            length /= 2
+            if length < 1e-12:  # no descent left that doubles can tell
+                return p
+        s, y = length * d, after - g
+        if s @ y > 1e-12:
+            steps = [*steps[1 - memory :], (s, y, 1 / (s @ y))]
+        p, value, g = p + s, to, after
+    return p
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: float = 3e-4, tolerance: float = 2e-5, rounds: int = 500) -> Ordinal:
+    """Penalised maximum likelihood; buckets of fewer than three documents get no weight.
 
     Thresholds start at the grades' own frequencies and stay ordered: each is the one before plus an
-    exponential. Nothing is random.
+    exponential. Nothing is random. The fit ends where no part of the gradient exceeds ``tolerance``.
     """
     if not len(rows):
         return Ordinal(np.zeros(DIMENSIONS, "f4"), np.arange(1, n_grades) - 1.0)
-    df = np.bincount(np.concatenate(rows), minlength=DIMENSIONS)
-    used = np.flatnonzero(df >= 3)
+    sizes, at = np.array([len(r) for r in rows]), np.concatenate(rows)
+    used = np.flatnonzero(np.bincount(at, minlength=DIMENSIONS) >= 3)
     place = np.full(DIMENSIONS, -1)
     place[used] = np.arange(len(used))
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = place[np.concatenate(rows)]
-    doc, at = doc[at >= 0], at[at >= 0]
+    at = place[at]
+    doc = np.repeat(np.arange(len(rows)), sizes)[at >= 0]
+    at = at[at >= 0]
     n, y = len(rows), np.asarray(grades)
+    sizes = np.bincount(doc, minlength=n)
+    some = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[some]
+    del doc
     share = np.clip(np.array([(y < k).mean() for k in range(1, n_grades)]), 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
-    p = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
-    m, v = np.zeros_like(p), np.zeros_like(p)
-    for t in range(1, rounds + 1):
+
+    def thresholds(raw: np.ndarray) -> np.ndarray:
+        return raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
+
+    def of(p: np.ndarray) -> tuple[float, np.ndarray]:
         w, raw = p[: len(used)], p[len(used) :]
-        thresholds = raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
-        s = np.bincount(doc, weights=w[at], minlength=n)
-        edge = np.concatenate([[-np.inf], thresholds, [np.inf]])
+        s = np.zeros(n)
+        if len(some):
+            s[some] = np.add.reduceat(w[at], starts)
+        edge = np.concatenate([[-np.inf], thresholds(raw), [np.inf]])
         up, low = 1 / (1 + np.exp(-np.clip(edge[y + 1] - s, -40, 40))), 1 / (1 + np.exp(-np.clip(edge[y] - s, -40, 40)))
         chance = np.maximum(up - low, 1e-12)
         d_up, d_low = up * (1 - up) / chance, low * (1 - low) / chance
-        d_s = (d_up - d_low) / n  # of the negative log likelihood
         g_t = np.array([(np.where(y == k, -d_up, 0) + np.where(y == k + 1, d_low, 0)).sum() / n for k in range(n_grades - 1)])
         g_raw = np.concatenate([[g_t.sum()], [g_t[k + 1 :].sum() * np.exp(raw[k + 1]) for k in range(n_grades - 2)]])
-        g = np.concatenate([np.bincount(at, weights=d_s[doc], minlength=len(used)) + l2 * w, g_raw])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        g_w = np.bincount(at, weights=np.repeat((d_up - d_low) / n, sizes), minlength=len(used)) + l2 * w
+        return float(-np.log(chance).mean() + l2 / 2 * (w @ w)), np.concatenate([g_w, g_raw])
+
+    p = minimised(of, np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 1e-2))]), tolerance, rounds)
     weights = np.zeros(DIMENSIONS, "f4")
     weights[used] = p[: len(used)]
-    raw = p[len(used) :]
-    return Ordinal(weights, raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))]))
+    return Ordinal(weights, thresholds(p[len(used) :]))
 
 
 def train(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Ordinal:
-    """Fits on the ``sample`` rated documents (``id_col, grade``) whose ids hash smallest, in one task of an executor. Rows with null grades or ids don't count."""
+    """Fits on the ``sample`` rated documents (``id_col, grade``) whose ids hash smallest, in one task of an executor. Rows
+    with null grades or ids don't count, nor do grades of no document."""
+    narrow_batches(docs.sparkSession)
     rated = grades.where(F.col("grade").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col("grade").cast("int").alias("_grade"))
-    chosen = rated.orderBy(F.xxhash64("_id"), "_id", "_grade").limit(sample)
+    chosen = rated.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id", "_grade").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), as_bytes(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,19 +207,44 @@ def scored(docs: DataFrame, model: Ordinal, text_col: str = "text", prefix: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns if carry is None else carry
+    narrow_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), as_bytes(f"`{text_col}`").alias("_text"))
     schema = T.StructType([rows.schema["_row"], T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType()), T.StructField("tail", T.ArrayType(T.DoubleType()))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = shared.value, Features()
         for b in batches:
-            s = np.fromiter((float(model.weights[features(x.as_py(), seen)].sum(dtype="f8")) for x in b.column(1)), dtype="f8", count=b.num_rows)
+            s = model.scores((x.as_py() for x in b.column(1)), seen, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(model.expected(s)), pa.array(list(model.tails(s)), pa.list_(pa.float64()))], names=["_row", "score", "expected", "tail"])
 
     got = rows.mapInArrow(score, schema)
     return got.select(*[F.col("_row")[c].alias(c) for c in names], F.col("score").alias(f"{prefix}score"), F.col("expected").alias(f"{prefix}expected_grade"), F.col("tail").alias(f"{prefix}tail"))
 
 
+def accepted(docs: DataFrame, model: Ordinal, grade: int, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, whose grade is ``grade`` or more with a chance of ``least`` or more.
+
+    Texts travel once. Nulls as in :func:`scored`; equal rows stay or go together; an empty table gives an empty one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    narrow_batches(docs.sparkSession)
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    at, plain = names.index(text_col), docs.schema[text_col].dataType == T.StringType()
+    if not plain:  # as text beside it
+        rows = rows.withColumn("_text", F.col("_row")[text_col].cast("string"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, seen = shared.value, Features()
+        for b in batches:
+            texts = b.column(0).field(at) if plain else b.column(1)
+            s = model.scores(((x.as_py() or "").encode() for x in texts), seen, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(model.tails(s)[:, grade - 1] >= least))], names=["_row"])
+
+    got = rows.mapInArrow(choose, T.StructType([rows.schema["_row"]]))
+    return got.select(*[F.col("_row")[c].alias(c) for c in names])
+
+
 def grades_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id_col, grade)`` from the two labels: 0 toxic, 1 of low quality, 2 good; null if a label is null."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("toxic").isNull(), None).otherwise(F.col("quality") + 1)
