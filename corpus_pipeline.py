@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from colsieve.llm.exact_dedup import distinct_rows
 from colsieve.llm.mixing import mix
 from colsieve.llm.near_dedup import near_duplicates
 from colsieve.llm.packing import pack
-from colsieve.llm.quality import N_GRADES, grades_of, scored, train
+from colsieve.llm.quality import N_GRADES, accepted, grades_of, train
 from colsieve.llm.skew import without
 from colsieve.sources.scratch import read_table, written
 
@@ -23,30 +22,37 @@ NEAR_PERCENT = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: rejects documents whose grade is likelier toxic or low than good."""
+    """Operator 4: rejects documents whose grade is likelier toxic or low than good.
+
+    Null and empty texts get what the model says of texts without words; equal rows stay or go together, and very long
+    texts are read whole. Without documents there is nothing to fit on, and nothing to reject."""
     model = train(docs, grades_of(read_table(spark, sf_dir, "labels")), N_GRADES)
-    return scored(docs, model, prefix="_").where(F.col("_tail")[N_GRADES - 2] >= 0.5).select(*docs.columns)
+    return accepted(docs, model, N_GRADES - 1)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of equal texts the row with the largest id stays."""
+    """Operator 1: of equal texts the row with the largest id stays; null is equal to empty. Of repeated rows one stays, and
+    an id that isn't null stays before one that is. Texts of any length are compared whole."""
     return distinct_rows(docs, keep="max")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each group of near-duplicates the smallest id stays; rows without an id stay."""
+    """Operator 3: of each group of near-duplicates the smallest id stays; rows without an id stay, and so do texts
+    without words, null ones too. Rows that share an id stay or go together."""
     found = near_duplicates(docs, percent=NEAR_PERCENT)
     dropped = written(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id"), "near-dropped")
     return without(docs, dropped, "doc_id")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: every document once at least, smaller sources more often, none more than twice."""
+    """Operator 5: every document once at least, smaller sources more often, none more than twice. A null source is a
+    source, a null text is empty, and rows that share an id are repeated together."""
     return mix(docs, max_epochs=2.0)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: the pieces of sequences of 2048 tokens."""
+    """Operator 9: the pieces of sequences of 2048 tokens. A null or empty text is its end alone; a text of any length is
+    cut into windows; every row is a document, repeated ones too."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), special=True)
 
 
