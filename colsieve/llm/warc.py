@@ -11,6 +11,7 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -19,17 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsieve.llm.tokens import as_bytes
+from colsieve.llm.tokens import as_bytes, narrow_batches
 
 DATE = "2026-01-01T00:00:00Z"
+#: Bytes of records that a reader passes on at once.
+AT_ONCE = 8 << 20
 FIELDS = "type string, record_id string, refers_to string, target_uri string, date string, content_type string, block binary, block_digest string, payload_digest string, source_headers map<string,string>"
 _BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul|title|head|body|html"
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<!doctype[^>]*>", re.I | re.S)
+# None of these looks at a stretch of a page more than a few times: what could run to the end of the page ends there, or is
+# only tried before the last ">" (see closed).
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<!doctype[^>]*(?:>|\Z)", re.I | re.S)
 _BREAK = re.compile(rf"</?(?:{_BLOCKS})\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-z][^>]*>", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title", re.I)
+_HTML, _LANG = re.compile(r"<html\b([^>]*)", re.I), re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_LINK, _ATTRIBUTE = re.compile(r"<a(?=[\s/>])", re.I), re.compile(r"[\s/]*([^\s/>=]+)(?:\s*=\s*)?", re.I)
+_BARE = re.compile(r"[^\s>]+")
+#: Numbers of characters that aren't any; Python reads no number of thousands of digits.
+_NO_CHARACTER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
 def sha1_digest(data: bytes) -> str:
@@ -40,17 +49,71 @@ def record_id(kind: str, url: str, page: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {page} {url}')}>"
 
 
+def unescaped(text: str) -> str:
+    return html.unescape(_NO_CHARACTER.sub("\ufffd", text))
+
+
+def closed(pattern: re.Pattern, by: str, text: str) -> str:
+    """``text`` with each tag that ``pattern`` finds replaced. No tag ends after the last ">", and every one that begins before it ends."""
+    end = text.rfind(">") + 1
+    return pattern.sub(by, text[:end]) + text[end:]
+
+
 def plain_text(source: str) -> str:
     """A page's text: one line for each block, white space collapsed, scripts, styles and comments left out."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub("", source)))
-    lines = (" ".join(x.split()) for x in html.unescape(text).split("\n"))
+    text = closed(_TAG, "", closed(_BREAK, "\n", _HIDDEN.sub("", source)))
+    lines = (" ".join(x.split()) for x in unescaped(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def outlinks(source: str) -> list[str]:
-    """Link targets in the order they come first."""
-    shown = _HIDDEN.sub("", source)
-    return list(dict.fromkeys(html.unescape(a or b or c) for a, b, c in _HREF.findall(shown)))
+    """Link targets in the order they come first: the ``href`` of each ``a`` element, read attribute by attribute.
+
+    An attribute that is never closed, by its quote or by the tag's end, ends the search.
+    """
+    shown, found, at = _HIDDEN.sub("", source), [], 0
+    last = shown.rfind(">")
+    while (tag := _LINK.search(shown, at)) and tag.end() <= last:
+        at, target = tag.end(), None
+        while (one := _ATTRIBUTE.match(shown, at)) is not None:
+            at, value = one.end(), None
+            if shown[at - 1] == "=" or "=" in one[0]:
+                quote = shown[at : at + 1]
+                if quote in ("'", '"'):
+                    end = shown.find(quote, at + 1)
+                    if end < 0:
+                        return list(dict.fromkeys(found))
+                    value, at = shown[at + 1 : end], end + 1
+                elif bare := _BARE.match(shown, at):
+                    value, at = bare[0], bare.end()
+            if target is None and value is not None and one[1].lower() == "href":
+                target = value
+        if target is not None:
+            found.append(unescaped(target))
+    return list(dict.fromkeys(found))
+
+
+def title_of(source: str) -> str | None:
+    """What the first title element holds."""
+    begin = _TITLE.search(source, 0, source.rfind(">") + 1)
+    end = begin and _TITLE_END.search(source, begin.end())
+    return source[begin.end() : end.start()] if end else None
+
+
+def language_of(source: str) -> str | None:
+    tag = _HTML.search(source)
+    found = _LANG.findall(tag[1]) if tag else []
+    return found[-1] if found else None
+
+
+def decoded(body: bytes, headers: dict[str, str]) -> str:
+    """A body as text, by the charset of its Content-Type if Python knows that, else as UTF-8; what isn't valid is replaced."""
+    kind = next((v for k, v in headers.items() if k.lower() == "content-type"), "")
+    named = _CHARSET.search(kind)
+    try:
+        return body.decode(named[1] if named else "utf-8", "replace")
+    except (LookupError, UnicodeError):
+        return body.decode("utf-8", "replace")
 
 
 def http_response(body: bytes) -> bytes:
@@ -58,24 +121,27 @@ def http_response(body: bytes) -> bytes:
 
 
 def split_http(block: bytes) -> tuple[dict[str, str], bytes]:
-    """The headers (the status line under ``:status``) and the body of an HTTP response."""
+    """The headers (the status line under ``:status``) and the body of an HTTP response; values of a header that comes several times are joined by commas."""
     head, gap, body = block.partition(b"\r\n\r\n")
     if not gap:
         return {}, block
     first, *lines = head.decode("utf-8", "replace").split("\r\n")
-    pairs = (x.partition(":") for x in lines)
-    return {":status": first} | {k.strip(): v.strip() for k, _, v in pairs if k.strip()}, body
+    headers = {":status": first}
+    for name, _, value in (x.partition(":") for x in lines):
+        name, value = name.strip(), value.strip()
+        if name:
+            headers[name] = f"{headers[name]}, {value}" if name in headers else value
+    return headers, body
 
 
 def derive(response: dict) -> list[dict]:
     """The metadata and conversion record of one response record."""
     headers, body = split_http(response["block"])
-    source = body.decode("utf-8", "replace")
-    found = _TITLE.search(source)
-    language = _LANG.search(source)
-    one_line = lambda x: " ".join(html.unescape(x).split())
-    fields = [("title", one_line(_TAG.sub("", found[1])))] if found else []
-    fields += [("languageOfDocument", language[1])] if language else []
+    source = decoded(body, headers)
+    title, language = title_of(source), language_of(source)
+    one_line = lambda x: " ".join(unescaped(x).split())
+    fields = [("title", one_line(closed(_TAG, "", title)))] if title is not None else []
+    fields += [("languageOfDocument", language)] if language else []
     fields += [("outlink", one_line(x)) for x in outlinks(source)] + [(f"source-{k.lstrip(':')}", one_line(v)) for k, v in sorted(headers.items())]
     own = {"refers_to": response["record_id"], "target_uri": response["target_uri"], "date": response["date"], "payload_digest": response["payload_digest"], "source_headers": headers}
     out = []
@@ -100,6 +166,7 @@ def _batch(records: list[dict], first: pa.Array | None = None) -> pa.RecordBatch
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
     """``page_id`` and a response record for each page. Null addresses and pages count as empty; equal rows give equal records."""
+    narrow_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("string").alias("page_id"), as_bytes(url_col).alias("_url"), as_bytes(html_col).alias("_html"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +184,11 @@ def derivatives(records: DataFrame, carry: str = "page_id") -> DataFrame:
     """``carry`` and the two derived records of each ``response``; records of other types give none.
 
     ``refers_to`` holds the response's id, ``payload_digest`` the digest of what it carried, ``source_headers``
-    its HTTP headers. Blocks without an HTTP head are taken as the body. An empty table gives an empty table.
+    its HTTP headers. Blocks without an HTTP head are taken as the body, null ones as empty. Equal rows give equal
+    records, null ids stay null, other columns are not looked at. Pages of any length are read whole, in time that
+    grows with their length, broken ones too. An empty table gives an empty table.
     """
+    narrow_batches(records.sparkSession)
     rows = records.where("type = 'response'").select(F.col(carry).cast("string").alias("page_id"), *_names())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,15 +215,17 @@ def to_bytes(record: dict) -> bytes:
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, compressed or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at, columns = 0, {h.lower(): c for h, c in _HEADS}
-    while at < len(data) and (end := data.find(b"\r\n\r\n", at)) >= 0:
+    """The records of a WARC file, compressed or not, one after the other: a record at a time is decompressed."""
+    raw = io.BytesIO(data)
+    file = gzip.GzipFile(fileobj=raw) if data[:2] == b"\x1f\x8b" else raw
+    columns = {h.lower(): c for h, c in _HEADS}
+    while line := file.readline():
+        if not line.strip():  # what separates records
+            continue
         record: dict = {n: None for n in _names()} | {"source_headers": {}}
         length = 0
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
+        while (line := file.readline()).strip():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             if name.lower() == "content-length":
                 length = int(value)
             elif name.lower() == "warc-source-header":
@@ -161,13 +233,13 @@ def parse(data: bytes) -> Iterator[dict]:
                 record["source_headers"][k] = v
             elif name.lower() in columns:
                 record[columns[name.lower()]] = value.strip()
-        record["block"] = data[end + 4 : end + 4 + length]
+        record["block"] = file.read(length)
         yield record
-        at = end + 4 + length + 4
 
 
 def members(records: DataFrame, carry: str = "page_id") -> DataFrame:
     """``(carry, type, member)``: each record as the bytes of a gzip member, for a file or an object store."""
+    narrow_batches(records.sparkSession)
     rows = records.select(F.col(carry).cast("string").alias("page_id"), *_names())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,13 +251,20 @@ def members(records: DataFrame, carry: str = "page_id") -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files, one file to a task, through Spark's own reader."""
+    """The records of WARC files, one file to a task, through Spark's own reader, which takes files up to 2 GB. Records are
+    decompressed and passed on a few at a time."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0), b.column(1), strict=True):
-                records = list(parse(content.as_py()))
-                yield _batch(records, pa.array([name.as_py()] * len(records), pa.string()))
+                held, size = [], 0
+                for record in parse(content.as_py()):
+                    held.append(record)
+                    size += len(record["block"])
+                    if size > AT_ONCE:
+                        yield _batch(held, pa.array([name.as_py()] * len(held), pa.string()))
+                        held, size = [], 0
+                yield _batch(held, pa.array([name.as_py()] * len(held), pa.string()))
 
     return files.mapInArrow(load, f"page_id string, {FIELDS}")
