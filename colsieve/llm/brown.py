@@ -113,7 +113,8 @@ def vocabulary(train: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """``frequent`` maps a word's hash to its id; ``classes`` has the class of each id (words, endings, the end)."""
+    """``frequent`` maps a word's hash to its id; ``classes`` has the class of each id (words, endings, the end).
+    ``log_step`` has a row for each class of the word before and a column for each class, then for each ending of a word never seen."""
 
     frequent: dict[int, int]
     log_counts: np.ndarray
@@ -474,10 +475,12 @@ def fit(train: DataFrame, head: Head, shared) -> tuple[Model, DataFrame]:  # noq
     size = m.sum(0)  # every token is the second of one bigram
     np.add.at(kinds, classes[:n_words], 1)
     kinds[CLASSES:] += 1  # a word never seen for each ending; the end
-    frequency = (size + 1) / (size + 1).sum()
-    step = (m + BETA * frequency) / (m.sum(1, keepdims=True) + BETA)
-    emit = np.maximum(size + kinds, 1)  # counts are raised by one each
-    log_step = np.log10(LAMBDA * step / emit[None, :] + (1 - LAMBDA) / (head.total + head.types + 1))
+    frequency = np.where(kinds > 0, size + 1, 0)  # a class without words never comes
+    step = (m + BETA * frequency / frequency.sum()) / (m.sum(1, keepdims=True) + BETA)
+    by_class = LAMBDA * step / np.maximum(size + kinds, 1)[None, :]  # counts are raised by one each
+    one = (1 - LAMBDA) / (head.total + head.types + 1)
+    # behind the classes, the words never seen by their endings: they share what the unigram model has for one
+    log_step = np.log10(np.concatenate([by_class + one, by_class[:, CLASSES : CLASSES + ENDINGS] + one / ENDINGS], 1))
     return Model(head.frequent, np.log10(head.counts + 1), classes, log_step, head.end_count, head.total, head.types), tails
 
 
@@ -550,14 +553,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         of, n = _flat(answers["c"], "u1")[at], _flat(answers["n"], "<i8")[at]
         c, log = m.classes[row], np.r_[m.log_counts, np.zeros(ENDINGS), np.log10(m.end_count + 1)][row]
         known = (row < n_words) | ((row == end) & (m.end_count > 0))
+        rare = np.flatnonzero((row >= n_words) & (row < end))
+        now = c.copy()
+        now[rare] += ENDINGS + 1  # never seen, unless the tail has them
         if len(words):
             place = np.minimum(np.searchsorted(words, tail), len(words) - 1)
             seen = words[place] == tail
-            at = np.flatnonzero((row >= n_words) & (row < end))[seen]
-            c[at], log[at], known[at] = of[place[seen]], np.log10(n[place[seen]] + 1), True
+            at = rare[seen]
+            c[at] = now[at] = of[place[seen]]
+            log[at], known[at] = np.log10(n[place[seen]] + 1), True
         size = np.array([len(x) // 4 for x in texts["_ids"].to_pylist()], dtype="i8")
         starts = np.cumsum(size) - size
-        steps = m.log_step[np.r_[m.classes[end], c[:-1]], c]
+        steps = m.log_step[np.r_[m.classes[end], c[:-1]], now]
         log, steps, known = (np.add.reduceat(x, starts) for x in (log, steps, known.astype("i8")))
         made = [texts["_id"], texts["_held"], pa.array(size), pa.array(known), pa.array(np.full(len(size), m.total, dtype="i8")), pa.array(log - size * floor), pa.array(log + steps)]
         return pa.Table.from_arrays(made, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
