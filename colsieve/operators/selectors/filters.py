@@ -147,44 +147,57 @@ class MannWhitneySelector(_ByRank, aliases=["mann_whitney", "wilcoxon"]):
         return self._best_first(-self.log_pvalues_)
 
 
-class HigherCriticismSelector(_ByRank):
-    """Features up to the p that is most surprisingly small for its rank, among the first ``alpha0`` of ranks."""
+class _ByExceedance(_ByRank, register=False):
+    """Looks for the rank, of the first ``alpha0`` of all, whose p is the most surprising as the i-th smallest, and keeps every p up to it."""
+
+    def _surprise(self, rank: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """Columns to compare ranks by, the most important first; larger is more surprising."""
+        raise NotImplementedError
+
+    def _choose(self) -> None:
+        in_order = np.sort(self.log_pvalues_)
+        log_p = in_order[: max(1, int(self.alpha0 * len(in_order)))]
+        rank = np.arange(1, len(log_p) + 1)
+        keys = self._surprise(rank, log_p)
+        best = np.lexsort((-rank, *reversed(keys)))[-1]  # the first rank among equals
+        self.support_ = self.log_pvalues_ <= log_p[best]
+
+
+class HigherCriticismSelector(_ByExceedance):
+    """Features up to the p that is most surprisingly small for its rank, among the first ``alpha0`` of ranks.
+
+    Rank i of n expects p at i / (n + 1) with the variance of a share, q (1 - q), q being that expectation (2008); or at
+    i / n, with q = p itself (2004). Standardised distances are compared by their side and logarithm, which hold for any p.
+    """
 
     def __init__(self, variant: str = "2008", alpha0: float = 0.1, device: str = "auto", check_input: bool = True):
         self.variant, self.alpha0, self.device, self.check_input = variant, alpha0, device, check_input
 
-    def _choose(self) -> None:
+    def _surprise(self, rank: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         if self.variant not in ("2004", "2008"):
-            raise ValueError(f"variant must be '2004' or '2008', got '{self.variant}'")
+            raise ValueError(f"there are the variants '2004' and '2008', not '{self.variant}'")
         n = self.n_features_in_
-        i = np.arange(1, max(1, int(self.alpha0 * n)) + 1)
-        lp = np.sort(self.log_pvalues_)[: len(i)]
-        p = np.exp(lp)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            if self.variant == "2008":
-                centre = i / (n + 1)
-                log_var = np.log(centre * (1 - centre))
-            else:
-                centre = i / n
-                log_var = lp + np.log1p(-p)
-            up = centre > p
-            # a positive objective is compared by its log, which tiny p do not overflow
-            value = np.where(up, np.log(np.where(up, centre - p, 1.0)) - log_var / 2, -np.inf) if up.any() else np.nan_to_num((centre - p) / np.exp(log_var / 2), nan=-np.inf)
-        self.support_ = self.log_pvalues_ <= lp[int(np.argmax(value))]
-
-
-class BerkJonesSelector(_ByRank):
-    """Features up to the rank i whose p is least likely as the i-th smallest of uniform ones."""
+        expected = rank / (n + (self.variant == "2008"))
+        log_q = np.log(expected) if self.variant == "2008" else log_p
+        distance = expected - np.exp(log_p)
+        with np.errstate(divide="ignore"):
+            log_sd = (log_q + np.log1p(-np.minimum(np.exp(log_q), 1.0))) / 2
+            size = np.log(np.abs(distance))
+        side = np.sign(distance)
+        flat = (side == 0) & np.isneginf(log_sd)  # no distance over no spread says nothing
+        away = np.where(side == 0, 0.0, side * (np.where(side == 0, 0.0, size) - np.where(side == 0, 0.0, log_sd)))
+        return np.stack([np.where(flat, -2.0, side), away])
+
+
+class BerkJonesSelector(_ByExceedance):
+    """Features up to the rank i whose p is least likely as the i-th smallest of uniform ones, which has a Beta(i, n - i + 1) distribution."""
 
     def __init__(self, alpha0: float = 0.1, device: str = "auto", check_input: bool = True):
         self.alpha0, self.device, self.check_input = alpha0, device, check_input
 
-    def _choose(self) -> None:
-        n = self.n_features_in_
-        i = np.arange(1, max(1, int(self.alpha0 * n)) + 1)
-        lp = np.sort(self.log_pvalues_)[: len(i)]
-        self.log_scores_ = log_beta_cdf(lp, i.astype("f8"), (n - i + 1).astype("f8"))
-        self.support_ = self.log_pvalues_ <= lp[int(np.argmin(self.log_scores_))]
+    def _surprise(self, rank: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        self.log_scores_ = log_beta_cdf(log_p, rank.astype("f8"), self.n_features_in_ + 1.0 - rank)
+        return -self.log_scores_[None, :]
 
 
 class CorrelationSelector(Filter, aliases=["correlation"]):
