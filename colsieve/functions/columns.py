@@ -2,11 +2,38 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 
 from colsieve.functions.special import harmonic, log_f_sf, log_norm_sf
 
 _LARGEST = np.finfo("f8").max
+#: Columns to a block: a few megabytes, which stay in a core's cache.
+BLOCK = 128
+
+
+def _threads() -> int:
+    """As many as BLAS may use: Spark allows a task one for each of its cores."""
+    return int(os.environ.get("OMP_NUM_THREADS") or os.cpu_count() or 1)
+
+
+def in_blocks(of: Callable[..., tuple[np.ndarray, ...]], x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``of`` each block of columns, its results put one after the other."""
+    blocks = [x[:, i : i + BLOCK] for i in range(0, x.shape[1], BLOCK)] or [x]
+    if _threads() == 1 or len(blocks) == 1:
+        parts = [of(b) for b in blocks]
+    else:
+        with ThreadPoolExecutor(_threads()) as pool:
+            parts = list(pool.map(of, blocks))
+    return tuple(np.concatenate(v, axis=-1) for v in zip(*parts, strict=True))
+
+
+def variances(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The population variance of each column and its spread."""
+    return in_blocks(lambda b: (b.var(0), b.max(0) - b.min(0)), x)
 
 
 def f_classification(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -14,13 +41,13 @@ def f_classification(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarr
     classes, code = np.unique(y, return_inverse=True)
     n, k = len(y), len(classes)
     one = np.eye(k)[code]
-    sums, sizes = one.T @ x, one.sum(0)
-    square = (x * x).sum(0)
+    sizes = one.sum(0)
+    sums, square, constant = in_blocks(lambda b: (one.T @ b, np.einsum("ij,ij->j", b, b), (b == b[0]).all(0)), x)
     explained = (sums * sums / sizes[:, None]).sum(0)
-    total = x.sum(0)
+    total = sums.sum(0)
     with np.errstate(divide="ignore", invalid="ignore"):
         f = (explained - total * total / n) / (k - 1) / ((square - explained) / (n - k))
-    f[x.max(0) == x.min(0)] = np.nan
+    f[constant] = np.nan
     with np.errstate(invalid="ignore"):
         log_p = np.where(np.isnan(f), np.nan, log_f_sf(np.nan_to_num(f, nan=0.0), k - 1, n - k))
     return f, log_p
@@ -37,11 +64,16 @@ def f_regression(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def correlation(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Pearson's r of each column with y; NaN for a constant one."""
-    xc, yc = x - x.mean(0), y - y.mean()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = xc.T @ yc / np.sqrt((xc * xc).sum(0) * (yc @ yc))
-    r[x.max(0) == x.min(0)] = np.nan
-    return np.clip(r, -1, 1)
+    yc = y - y.mean()
+
+    def of(b: np.ndarray) -> tuple[np.ndarray]:
+        xc = b - b.mean(0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = xc.T @ yc / np.sqrt(np.einsum("ij,ij->j", xc, xc) * (yc @ yc))
+        r[(b == b[0]).all(0)] = np.nan
+        return (np.clip(r, -1, 1),)
+
+    return in_blocks(of, x)[0]
 
 
 def average_ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +94,22 @@ def rank_sum(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     positive = y == classes[1]
     n2 = int(positive.sum())
     n1, n = len(y) - n2, len(y)
-    ranks, ties = average_ranks(x)
-    u = ranks[positive].sum(0) - n2 * (n2 + 1) / 2
+    places = np.arange(1.0, n + 1)
+
+    def of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the second class's ranks and of t^3 - t: places in order, but columns with ties by their mean ranks."""
+        rows = np.ascontiguousarray(b.T)
+        order = np.argsort(rows, axis=1)
+        sums, ties = positive[order] @ places, np.zeros(len(rows))
+        in_order = np.take_along_axis(rows, order, 1)
+        tied = np.flatnonzero((in_order[:, 1:] == in_order[:, :-1]).any(1))
+        if len(tied):
+            ranks, ties[tied] = average_ranks(b[:, tied])
+            sums[tied] = ranks[positive].sum(0)
+        return sums, ties
+
+    sums, ties = in_blocks(of, x)
+    u = sums - n2 * (n2 + 1) / 2
     variance = n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))
     with np.errstate(divide="ignore", invalid="ignore"):
         z = np.where(variance > 0, (np.abs(u - n1 * n2 / 2) - 0.5) / np.sqrt(variance), 0.0)

@@ -22,7 +22,7 @@ class VarianceThreshold(Filter, aliases=["variance"]):
         self.threshold, self.device, self.check_input = threshold, device, check_input
 
     def _measure(self, X, y) -> None:  # noqa: ANN001, N803
-        self.variances_, self._spread = X.var(0), X.max(0) - X.min(0)
+        self.variances_, self._spread = columns.variances(X)
 
     def _table(self, matrix: DataFrame) -> None:
         self.variances_, self._spread = self._columns(kernels.variances(to_long(matrix), []), "variance", "spread")
