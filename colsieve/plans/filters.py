@@ -129,6 +129,14 @@ def mw_ranking_cut_all_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.cut_at(ranking, KS).select("split", "task", "k", "feature", "pos")
 
 
+def t_two_sided(t: str, df: str) -> str:
+    """P(|T| > t) for a whole number of degrees of freedom, by the finite series in the angle atan(t / sqrt(df))."""
+    a = f"atan(abs({t}) / sqrt(({df})::DOUBLE))"
+    even = f"sin({a}) * list_sum(list_transform(range(0, ({df}) // 2), lambda i: exp(lgamma(i + 0.5::DOUBLE) - lgamma(i + 1.0::DOUBLE) - 0.5::DOUBLE * ln(pi()) + 2 * i * ln(cos({a})))))"
+    odd = f"2 / pi() * ({a} + sin({a}) * cos({a}) * coalesce(list_sum(list_transform(range(0, (({df}) - 1) // 2), lambda i: exp(lgamma(i + 1.0::DOUBLE) - lgamma(i + 1.5::DOUBLE) + 0.5::DOUBLE * ln(pi()) - ln(2.0::DOUBLE) + 2 * i * ln(cos({a}))))), 0))"
+    return f"greatest(0, 1 - CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
 F_SUMS = "cs AS (SELECT feature, label, count(value) AS n, sum(value) AS s, sum(value * value) AS q FROM x GROUP BY feature, label)"
 F_ALL = f"""WITH {X}, {F_SUMS},
 f0 AS (SELECT feature, count(*) AS k, sum(n)::DOUBLE AS nn, sum(s) AS ss, sum(q) AS qq, sum(s * s / n::DOUBLE) AS c FROM cs GROUP BY feature),
@@ -137,10 +145,7 @@ F_TASK = f"""WITH {X}, {F_SUMS}, {TASKS},
 w AS (SELECT *, sum(n) OVER g AS tn, sum(s) OVER g AS ts, sum(q) OVER g AS tq FROM cs WINDOW g AS (PARTITION BY feature)),
 f0 AS (SELECT task, feature, tn::DOUBLE AS nn, ts, tq, s * s / n::DOUBLE + (ts - s) * (ts - s) / (tn - n)::DOUBLE AS c FROM w JOIN tasks ON label::VARCHAR = class),
 f1 AS (SELECT task, feature, (c - ts * ts / nn) / ((tq - c) / (nn - 2)) AS f, (nn - 2)::BIGINT AS df FROM f0),
-f2 AS (SELECT *, atan(sqrt(greatest(f, 0)) / sqrt(df::DOUBLE)) AS a FROM f1),
-f AS MATERIALIZED (SELECT task, feature, f, df, greatest(0, 1 - CASE WHEN df % 2 = 0
-  THEN sin(a) * list_sum(list_transform(range(0, df // 2), lambda i: exp(lgamma(i + 0.5::DOUBLE) - lgamma(i + 1.0::DOUBLE) - 0.5::DOUBLE * ln(pi()) + 2 * i * ln(cos(a)))))
-  ELSE 2 / pi() * (a + sin(a) * cos(a) * list_sum(list_transform(range(0, (df - 1) // 2), lambda i: exp(lgamma(i + 1.0::DOUBLE) - lgamma(i + 1.5::DOUBLE) + 0.5::DOUBLE * ln(pi()) - ln(2.0::DOUBLE) + 2 * i * ln(cos(a)))))) END) AS p FROM f2)"""
+f AS MATERIALIZED (SELECT task, feature, f, df, {t_two_sided("sqrt(greatest(f, 0))", "df")} AS p FROM f1)"""
 
 
 def _f_task(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from colsieve.operators import copies, kernels, metrics, models, protocol, runner
 from colsieve.operators import selectors as sel
-from colsieve.plans.filters import SEED, SPLITS, TASKS, TRAIN, X, _binary, _f_task, _u_all
+from colsieve.plans.filters import BIN, F_TASK, MI, PAIRS, SEED, SPLITS, TASKS, TRAIN, U_ALL, X, _binary, _f_task, _hc_sql, _u_all
 from colsieve.plans.registry import Catalogue
 from colsieve.sources import loader
 from colsieve.sources.layouts import embeddings, to_long
@@ -222,13 +222,25 @@ def _first_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("label", F.when(F.col("label") == 0, "0").otherwise("rest"))
 
 
-@C.query()
+#: log p of the rank-sum test from z, by the series of the normal distribution function: its terms are all positive.
+LOG_P = """CASE WHEN z > 0 THEN least(0, ln(2.0::DOUBLE) + ln(0.5::DOUBLE - exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150),
+  lambda i: exp((2 * i + 1) * ln(z) - (i + 1) * ln(2.0::DOUBLE) - lgamma(i + 1.5::DOUBLE) + 0.5::DOUBLE * ln(pi()))))) ) ELSE 0 END"""
+#: P(the i-th smallest of n uniform p is exp(lp) or less) is that of i or more of n falling there.
+BERK_JONES = "ln(list_sum(list_transform(range(i, n + 1), lambda j: exp(lgamma(n + 1.0::DOUBLE) - lgamma(j + 1.0::DOUBLE) - lgamma(n - j + 1.0::DOUBLE) + j * lp + (n - j) * ln(1 - exp(lp))))))"
+
+
+@C.query(
+    f"""{U_ALL}, l AS (SELECT feature, {LOG_P} AS lp FROM u WHERE task = 'ovr_0'),
+o AS (SELECT *, row_number() OVER (ORDER BY lp, feature) AS i, count(*) OVER () AS n FROM l),
+s AS (SELECT i, lp, {BERK_JONES} AS score FROM o WHERE i <= greatest(1, floor(0.1::DOUBLE * n)) AND lp < 0)
+SELECT feature, lp <= (SELECT arg_min(lp, round(score, 9)) FROM s) AS selected, round(lp, 6) AS log_p FROM l"""
+)
 def berk_jones_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = sel.BerkJonesSelector().fit(_first_label(spark, sf_dir))
-    return _selection(spark, fitted, log_p=fitted.log_pvalues_)
+    return _selection(spark, fitted, log_p=fitted.log_pvalues_.round(6))
 
 
-@C.query()
+@C.query(f"{F_TASK} SELECT task, feature, round(f, 8) AS f, round(ln(p), 7) AS log_p FROM f WHERE f IS NOT NULL")
 def log_f_sf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log p of every F, by a vectorised function of the incomplete beta."""
     import pandas as pd
@@ -239,7 +251,69 @@ def log_f_sf(spark: SparkSession, sf_dir: str) -> DataFrame:
     def log_p(f, d1, d2):  # noqa: ANN001, ANN202
         return pd.Series(special.log_f_sf(f.to_numpy(), d1.to_numpy("f8"), d2.to_numpy("f8")))
 
-    return _f_task(spark, sf_dir).where("f IS NOT NULL").select("task", "feature", "f", F.round(log_p("f", "df1", "df2"), 9).alias("log_p"))
+    return _f_task(spark, sf_dir).where("f IS NOT NULL").select("task", "feature", F.round("f", 8).alias("f"), F.round(log_p("f", "df1", "df2"), 7).alias("log_p"))
+
+
+# --- selectors by their names, fitted on a table, against the plain statistic in SQL ---
+
+
+@C.query(f"WITH {X} SELECT feature, var_pop(value) > 0.0156 AS selected FROM x GROUP BY feature")
+def fit_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sel.Selector.create("variance", threshold=0.0156).fit(embeddings(spark, sf_dir)))
+
+
+@C.query(f"{U_ALL} SELECT feature, row_number() OVER (ORDER BY z DESC, feature DESC) <= 10 AS selected FROM u WHERE task = 'ovr_0'")
+def fit_mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sel.Selector.create("Mann_Whitney", n_features=10).fit(_first_label(spark, sf_dir)))
+
+
+@C.query(f"{F_TASK} SELECT feature, row_number() OVER (ORDER BY f DESC, feature DESC) <= 10 AS selected FROM f WHERE task = 'ovr_0'")
+def fit_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sel.Selector.create("anova", n_features=10).fit(_first_label(spark, sf_dir)))
+
+
+@C.query(f"{F_TASK} SELECT feature, p < 0.2 AS selected, round(p, 8) AS p FROM f WHERE task = 'ovr_0'")
+def fit_anova_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features with p under a level, as no count is given."""
+    fitted = sel.Selector.create("anova", alpha=0.2).fit(_first_label(spark, sf_dir))
+    return _selection(spark, fitted, p=fitted.pvalues_.round(8))
+
+
+@C.query(f"{F_TASK}, o AS (SELECT *, 0.9::DOUBLE * row_number() OVER (ORDER BY p, feature) / count(*) OVER () AS line FROM f WHERE task = 'ovr_0') SELECT feature, p <= (SELECT max(p) FROM o WHERE p <= line) AS selected FROM o")
+def fit_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sel.Selector.create("FDRSelector", alpha=0.9).fit(_first_label(spark, sf_dir)))
+
+
+@C.query(f"{F_TASK} SELECT feature, f > (SELECT quantile_cont(f, 0.9) FROM f WHERE task = 'ovr_0') AS selected FROM f WHERE task = 'ovr_0'")
+def fit_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the features; no F lies at the percentile, between two of 64."""
+    return _selection(spark, sel.Selector.create("PercentileSelector", percentile=10).fit(_first_label(spark, sf_dir)))
+
+
+@C.query(f"SELECT feature, selected FROM ({_hc_sql('2008')}) WHERE task = 'ovr_0'")
+def fit_higher_criticism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sel.Selector.create("HigherCriticismSelector", variant="2008").fit(_first_label(spark, sf_dir)))
+
+
+@C.query(f"SELECT feature, selected FROM ({_hc_sql('2004')}) WHERE task = 'ovr_0'")
+def fit_higher_criticism_2004(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sel.Selector.create("HigherCriticismSelector", variant="2004").fit(_first_label(spark, sf_dir)))
+
+
+@C.query(
+    f"""WITH {BIN}, {PAIRS}, t AS (SELECT feature, corr(value, y) AS r FROM xb GROUP BY feature), c AS (SELECT * FROM t WHERE abs(r) >= 0.02),
+losers AS (SELECT CASE WHEN abs(ca.r) > abs(cb.r) THEN cb.feature ELSE ca.feature END AS feature FROM pr JOIN c ca ON ca.feature = pr.a JOIN c cb ON cb.feature = pr.b WHERE abs(pr.r) > 0.08),
+kept AS (SELECT feature FROM c WHERE feature NOT IN (SELECT feature FROM losers) ORDER BY abs(r) DESC, feature LIMIT 20)
+SELECT feature, feature IN (SELECT feature FROM kept) AS selected FROM t"""
+)
+def fit_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sel.Selector.create("correlation", n_features=20, target_threshold=0.02, inter_feature_threshold=0.08).fit(_first_label(spark, sf_dir)))
+
+
+@C.query(f"{MI} SELECT feature, row_number() OVER (ORDER BY mi DESC, feature DESC) <= 10 AS selected FROM mi")
+def fit_mutual_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its noise of 1e-10 parts equal values; there are none here."""
+    return _selection(spark, sel.Selector.create("mutual_info", n_features=10).fit(embeddings(spark, sf_dir)))
 
 
 @C.query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colsieve.functions.special import t_ppf
 from colsieve.operators import analysis
+from colsieve.plans.filters import t_two_sided
 from colsieve.plans.registry import Catalogue
 from colsieve.sources.scratch import read_table
 
@@ -119,15 +120,32 @@ def paired_t_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(analysis.paired(diffs, ["k", "first", "second"], RATIO).drop("se").withColumn("t", F.round("t", 7)))
 
 
-@C.query()
+P_OF = t_two_sided("coalesce(t, 0)", "greatest(splits - 1, 1)")
+HALF = "coalesce(se * CASE splits " + " ".join(f"WHEN {n} THEN {t_ppf(0.975, n - 1)!r}::DOUBLE" for n in range(2, 8)) + " END, 0)"
+#: The signed-rank test by all 2**n ways to sign n ranks; there are seven splits at most, and no ties.
+WILCOXON = """nz AS (SELECT selector, k, diff, rank() OVER (PARTITION BY selector, k ORDER BY abs(diff)) AS rk FROM d WHERE diff <> 0),
+w0 AS (SELECT selector, k, count(*) AS n, least(coalesce(sum(rk) FILTER (diff > 0), 0), coalesce(sum(rk) FILTER (diff < 0), 0)) AS w FROM nz GROUP BY selector, k),
+w AS (SELECT selector, k, least(1.0::DOUBLE, 2 * len(list_filter(range(0, (1 << n)::BIGINT), lambda s: coalesce(list_sum(list_transform(range(0, n), lambda i: CASE WHEN (s >> i) & 1 = 1 THEN i + 1 ELSE 0 END)), 0) <= w)) / (1 << n)::DOUBLE) AS p FROM w0)"""
+
+
+@C.query(
+    f"""WITH {RESULTS}, {SCORES}, {VS_CONTROL}, t0 AS ({_t('selector, k')}), t AS (SELECT *, CASE WHEN se > 0 THEN mean_diff / se END AS t FROM t0), {WILCOXON}
+SELECT t.selector, t.k, splits, round(mean_diff, 9) AS mean_diff, first_wins, round(se, 9) AS se, round(t, 7) AS t, round(mean_diff - {HALF}, 7) AS ci_low, round(mean_diff + {HALF}, 7) AS ci_high,
+round(CASE WHEN t IS NULL THEN (mean_diff = 0)::INTEGER::DOUBLE ELSE {P_OF} END, 7) AS p_value, round(coalesce(w.p, 1), 9) AS p_wilcoxon FROM t LEFT JOIN w ON w.selector = t.selector AND w.k = t.k"""
+)
 def paired_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals and p of both tests; SQL has no distribution functions."""
+    """Intervals and p of both tests."""
     diffs = analysis.against_control(analysis.per_split(results(spark, sf_dir), "roc_auc"), "m0")
     tests = analysis.t_result(analysis.paired(diffs, ["selector", "k"], RATIO))
-    return _rounded(tests.join(analysis.wilcoxon(diffs, ["selector", "k"]), ["selector", "k"]))
+    out = tests.join(analysis.wilcoxon(diffs, ["selector", "k"]), ["selector", "k"])
+    return _rounded(out.withColumns({c: F.round(c, 7) for c in ("t", "ci_low", "ci_high", "p_value")}))
 
 
-@C.query()
+@C.query(
+    f"""WITH {RESULTS}, {SCORES}, {VS_CONTROL}, t0 AS ({_t('selector, k')}), t AS (SELECT *, mean_diff / se AS t FROM t0 WHERE se > 0),
+u AS (SELECT splits, t * sqrt((1 / splits + {RATIO}::DOUBLE) * splits) AS t FROM t)
+SELECT (SELECT count(*) FROM t) AS comparisons, (SELECT count(*) FROM t WHERE {P_OF} < 0.05) AS corrected, (SELECT count(*) FROM u WHERE {P_OF} < 0.05) AS plain"""
+)
 def plain_corrected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     diffs = analysis.against_control(analysis.per_split(results(spark, sf_dir), "roc_auc"), "m0")
     return analysis.plain_and_corrected(analysis.paired(diffs, ["selector", "k"], RATIO), RATIO)
