@@ -118,7 +118,35 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row once at least, no source more than twice."""
-    return schedule(read_table(spark, sf_dir, "documents"), max_epochs=2.0)
+    return schedule(read_table(spark, sf_dir, "documents"), max_epochs=2.0).withColumn("weight", F.round("weight", 9))
+
+
+#: The exponent in closed form: shares p**a repeat the smallest source (largest / smallest)**(1 - a) times as often as the largest.
+ORACLES["op5_mixing"] = r"""
+WITH rows AS (
+  SELECT doc_id, source, coalesce('s' || source, 'null') AS name, coalesce(doc_id::VARCHAR, 'null') AS key,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS tokens
+  FROM documents),
+sums AS (SELECT name, sum(tokens)::BIGINT AS total FROM rows GROUP BY name),
+ends AS (SELECT max(total)::DOUBLE AS most, min(total)::DOUBLE AS least, sum(total)::DOUBLE AS whole FROM sums),
+exponent AS (SELECT *, CASE WHEN most / least <= 2 THEN 0 ELSE 1 - ln(2.0::DOUBLE) / ln(most / least) END AS a FROM ends),
+weights AS (
+  SELECT name, total, pow(total / whole, a) / sum(pow(total / whole, a)) OVER () AS weight, pow(most / total, 1 - a) AS epochs
+  FROM sums, exponent),
+plan AS (SELECT *, floor(epochs + 1e-8)::BIGINT AS full_blocks, greatest(epochs - floor(epochs + 1e-8), 0) AS rest FROM weights),
+part AS (
+  SELECT doc_id, source, tokens, weight, full_blocks AS block, rows.name, key, md5('1-' || full_blocks || '-' || key) AS hex, total, rest
+  FROM rows JOIN plan ON plan.name = rows.name WHERE rest > 1e-8),
+runs AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY name ORDER BY hex, key ROWS UNBOUNDED PRECEDING) - tokens AS before FROM part),
+taken AS (
+  SELECT doc_id, source, tokens, weight, block, name, key FROM runs WHERE before < rest * total
+  UNION ALL
+  SELECT doc_id, source, tokens, weight, unnest(range(full_blocks)), rows.name, key FROM rows JOIN plan ON plan.name = rows.name)
+SELECT doc_id, source, tokens::BIGINT AS tokens, round(weight, 9) AS weight, block::INTEGER AS block,
+       (row_number() OVER (PARTITION BY block, name ORDER BY md5('1-' || block || '-' || key), key) - 1)::BIGINT AS place
+FROM taken
+"""
 
 
 @query
