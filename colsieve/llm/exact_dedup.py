@@ -1,10 +1,14 @@
 """Operator 1, exact dedup: a log-structured merge index of text digests.
 
 Every scan task is a memtable: it sorts the digests of the rows it has read and flushes them as one run, a
-Parquet file with a Bloom filter and minimum and maximum of the digest. Compaction merges the runs, adding up
-partial aggregates, and keeps one identifier for each digest. Digests that came more than once are hits; a
-bitmap of fixed size over them lets the second scan pass on the texts of possible hits alone, whose bytes are
-compared, so that two texts with one digest stay apart.
+Parquet file with a Bloom filter and minimum and maximum of the digest. Compaction merges the runs of a level into
+one of the next, partial aggregates first, and keeps one identifier for each digest; a level's parts are ranges of
+the digest, each in order. Digests that came more than once are hits; a filter over them, sized by their number, lets
+the second scan pass on the texts of possible hits alone, whose bytes are compared, so that two texts with one digest
+stay apart.
+
+:class:`DigestIndex` keeps levels from one batch of documents to the next: a batch is looked up in the older runs
+through their ranges and filters, and a run that can't have any of its digests isn't read.
 
 Only DataFrame functions are used.
 """
@@ -12,27 +16,103 @@ Only DataFrame functions are used.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsieve.llm.skew import attach, maybe_in, split
+from colsieve.llm.skew import attach, bitmap, filter_bits, marked, maybe_in, split
 from colsieve.sources.scratch import written
 
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+#: A run's own filters, for readers that look digests up in its files.
+BLOOM = {"parquet.bloom.filter.enabled#_digest": "true", "parquet.bloom.filter.expected.ndv#_digest": "100000"}
+
+
 def flush_runs(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """One sorted run with its filter for each scan task; ids and digests only."""
     rows = docs.select(F.col(id_col).alias("_id"), digest(F.coalesce(F.col(text_col), F.lit(""))).alias("_digest"))
-    return written(rows.sortWithinPartitions("_digest"), "lsm-runs", **{"parquet.bloom.filter.enabled#_digest": "true", "parquet.bloom.filter.expected.ndv#_digest": "100000"})
+    return written(rows.sortWithinPartitions("_digest"), "lsm-runs", **BLOOM)
 
 
-def compact(runs: DataFrame, keep: str) -> DataFrame:
-    """The runs merged to one row a digest. Rows are summed up in each run before they move, so copies don't meet in one task."""
+def merged(runs: DataFrame, keep: str) -> DataFrame:
+    """``(_digest, _keep, _n)`` of rows with these columns, one for each digest. Rows are summed up in each task before
+    they move, so copies don't meet in one task."""
     best = F.max if keep == "max" else F.min
-    return written(runs.groupBy("_digest").agg(best("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")), "lsm-level")
+    return runs.groupBy("_digest").agg(best("_keep").alias("_keep"), F.sum("_n").alias("_n"))
+
+
+def compact(runs: DataFrame, keep: str) -> DataFrame:
+    """The runs of the memtables merged into the first level."""
+    return written(merged(runs.select("_digest", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_n")), keep), "lsm-level")
+
+
+@dataclass
+class Run:
+    """A sorted table of digests, its level, smallest and largest digest, filter and number of rows."""
+
+    level: int
+    rows: DataFrame
+    low: str
+    high: str
+    filter: DataFrame
+    bits: int
+    n: int
+
+
+class DigestIndex:
+    """An index that grows batch by batch; ``keep`` (min or max) is the identifier that stays for a digest.
+
+    ``add`` returns one row for each digest of a batch, ``_digest, _keep, _n``, over this batch and all before it. Runs
+    are merged once ``fanout`` lie on a level, so a digest is rewritten as often as there are levels. ``skipped`` counts
+    the runs that the last batch needn't read. A null text counts as empty, null ids stay only where there are no others,
+    and an empty batch changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, keep: str = "min", fanout: int = 4, digest: Callable[[Column], Column] = sha256):
+        self.spark, self.keep, self.fanout, self.digest, self.runs, self.skipped = spark, keep, fanout, digest, [], 0
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        batch = compact(flush_runs(docs, id_col, text_col, self.digest), self.keep)
+        found = self._found(batch)
+        self._put(0, batch)
+        return merged(batch.unionByName(found), self.keep) if found is not None else batch
+
+    def _found(self, batch: DataFrame) -> DataFrame | None:
+        """What the runs have of a batch's digests."""
+        low, high = batch.agg(F.min("_digest"), F.max("_digest")).first()
+        self.skipped, parts = 0, []
+        for run in self.runs:
+            maybe = None
+            if low is not None and run.low <= high and low <= run.high:
+                maybe = marked(batch.where(F.col("_digest").between(run.low, run.high)), run.filter, "_digest", run.bits).where("_maybe").select("_digest")
+                maybe = written(maybe, "lsm-asked")
+            if maybe is None or maybe.isEmpty():
+                self.skipped += 1
+            else:
+                parts.append(run.rows.join(maybe, "_digest", "left_semi"))
+        out = None
+        for part in parts:
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _put(self, level: int, rows: DataFrame) -> None:
+        n, low, high = rows.agg(F.count(F.lit(1)), F.min("_digest"), F.max("_digest")).first()
+        if not n:
+            return
+        sorted_rows = written(rows.repartitionByRange("_digest").sortWithinPartitions("_digest"), f"lsm-{level}", **BLOOM)
+        bits = filter_bits(n)
+        self.runs.append(Run(level, sorted_rows, low, high, written(bitmap(sorted_rows, "_digest", bits), "lsm-filter"), bits, n))
+        same = [r for r in self.runs if r.level == level]
+        if len(same) >= self.fanout:
+            self.runs = [r for r in self.runs if r.level != level]
+            union = same[0].rows
+            for r in same[1:]:
+                union = union.unionByName(r.rows)
+            self._put(level + 1, merged(union, self.keep))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", digest: Callable[[Column], Column] = sha256) -> DataFrame:

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from colsieve.llm.ranks import SLICES
 
-#: log2 of the bits of a filter. 2**23 bits are 257 bitmaps of 4 KB: 1 MB to broadcast, however large the input.
-FILTER_BITS = 23
+#: log2 of the bits of a filter, at least and at most: 16 for each key in between. The largest is 128 MB to broadcast,
+#: for 67 million keys; with more, more rows pass that needn't.
+LEAST_BITS, MOST_BITS = 17, 30
+
+
+def filter_bits(n_keys: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (16 * n_keys).bit_length()))
 
 
 def attach(rows: DataFrame, table: DataFrame, key: str, n: str, spread: str) -> DataFrame:
@@ -31,26 +36,31 @@ def attach(rows: DataFrame, table: DataFrame, key: str, n: str, spread: str) ->
     return found.select(*rows.columns, *[v[c].alias(c) for c in names])
 
 
-def _slot(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+def _slot(key: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << bits))
+
+
+def bitmap(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """The filter of ``key``: ``(_bucket, _bits)``, 4 KB for each 32,768 slots that aren't all empty."""
+    slots = keys.select(_slot(key, bits).alias("_slot"))
+    return slots.groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
 
 
-def _marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """``rows`` with ``_maybe``, true where ``key`` may be one of ``keys`` and never null."""
-    slots = keys.select(_slot(key).alias("_slot"))
-    bits = slots.groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
-    marked = rows.withColumn("_slot", _slot(key)).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
+def marked(rows: DataFrame, filter_: DataFrame, key: str, bits: int) -> DataFrame:
+    """``rows`` with ``_maybe``, true where the filter has ``key``, and never null."""
+    slotted = rows.withColumn("_slot", _slot(key, bits)).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
     at = F.bitmap_bit_position("_slot")
     byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = marked.join(F.broadcast(bits), "_bucket", "left")
+    found = slotted.join(F.broadcast(filter_), "_bucket", "left")
     return found.select(*rows.columns, F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False)).alias("_maybe"))
 
 
 def split(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """``rows`` whose ``key`` may be one of ``keys`` and those whose isn't. The first has all that are, and a share of
-    the others that grows with the number of keys: they go into a bitmap of fixed size, so its broadcast is bounded."""
-    marked = _marked(rows, keys, key)
-    return marked.where("_maybe").drop("_maybe"), marked.where("NOT _maybe").drop("_maybe")
+    """``rows`` whose ``key`` may be one of ``keys`` and those whose isn't. The first has all that are, and up to a
+    sixteenth of the others: the filter between them has its size by the number of keys, up to a bound for its broadcast."""
+    bits = filter_bits(keys.count())
+    both = marked(rows, bitmap(keys, key, bits), key, bits)
+    return both.where("_maybe").drop("_maybe"), both.where("NOT _maybe").drop("_maybe")
 
 
 def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:

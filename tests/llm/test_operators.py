@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from colsieve.llm import brown, exact_dedup, lattice, lengths, mixing, near_dedup, packing, quality, sharding, shingles, tokens, warc
+from colsieve.llm import brown, exact_dedup, lattice, lengths, mixing, near_dedup, packing, quality, sharding, shingles, skew, tokens, warc
 from colsieve.llm.catalogue import ORACLES, QUERIES
 from tests.conftest import SF
 from tests.llm.conftest import make
@@ -60,6 +60,41 @@ def test_exact(spark, odd, keep, bits):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_index_grows_by_batches(spark, empty):
+    """Against a dictionary; a run that has none of a batch's digests is told by its filter and not read."""
+    index, seen = exact_dedup.DigestIndex(spark, fanout=3), {}
+    rng = np.random.default_rng(0)
+    for b in range(7):
+        rows_ = [(100 * b + i, f"t{rng.integers(60)}" if b != 4 else f"new {i}", "s") for i in range(40)] + [(None, "t0" if b == 1 else f"own {b}", "s")]
+        got = {r["_digest"]: (r["_keep"], r["_n"]) for r in index.add(make(spark, rows_)).collect()}
+        before = len(index.runs)
+        for i, t, _ in rows_:
+            d = hashlib.sha256(t.encode()).hexdigest()
+            old = seen.get(d, (None, 0))
+            seen[d] = (min((x for x in (old[0], i) if x is not None), default=None), old[1] + 1)
+        assert got == {d: seen[d] for d in got} and len(got) == len({t for _, t, _ in rows_})
+        if b == 4:
+            assert index.skipped >= 1
+    assert before < 7 and {r.level for r in index.runs} >= {0, 1}
+    assert index.add(empty).count() == 0
+    whole = {}
+    for run in index.runs:
+        digests = [r["_digest"] for r in run.rows.collect()]
+        assert run.low == min(digests) and run.high == max(digests) and len(set(digests)) == run.n
+        for r in run.rows.collect():
+            whole.setdefault(r["_digest"], []).append(r["_n"])
+    assert {d: sum(n) for d, n in whole.items()} == {d: n for d, (_, n) in seen.items()}
+
+
+def test_few_copies_move_few_texts(spark):
+    """The filter is sized by the copies: hardly any text but theirs reaches the comparison of bytes."""
+    docs = make(spark, [(i, f"text {i}", "s") for i in range(20_000)] + [(20_000 + i, f"text {i}", "s") for i in range(50)])
+    level = exact_dedup.compact(exact_dedup.flush_runs(docs, "doc_id", "text", exact_dedup.sha256), "min")
+    texts = docs.select("text", exact_dedup.sha256(F.col("text")).alias("_digest"))
+    assert 100 <= skew.maybe_in(texts, level.where("_n > 1"), "_digest").count() <= 400
+    assert [skew.filter_bits(n) for n in (0, 1, 10**6, 10**12)] == [17, 17, 24, 30]
+
+
 def test_distinct_rows(spark, odd, empty):
     got = exact_dedup.distinct_rows(odd, keep="max")
     assert got.columns == odd.columns
