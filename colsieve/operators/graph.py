@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsieve.sources.scratch import written
+from colsieve.sources.scratch import discard, written
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,11 +24,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node and its smaller neighbours hang on the smallest of those
-        large = written(large, "links")
+        before, large = rows, written(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         rows = least.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         rows = written(rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+        discard(before, large)  # the next round reads this one's table alone
     roots = rows.select(F.col("v").alias("node")).distinct()
     out = rows.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
     return out.select(F.col("node").cast(kind), F.col("component").cast(kind))

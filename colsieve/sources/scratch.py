@@ -57,7 +57,18 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`written` has returned and that no frame still to be run reads."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        for entry in [e for e in _written if path is not None and e[1].toString() == path]:
+            entry[0].delete(entry[1], True)
+            _written.remove(entry)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -72,3 +72,16 @@ def test_scratch_tables(spark):
     assert exists(spark, path)
     scratch.clear()
     assert not exists(spark, path)
+
+
+def test_discard(spark):
+    """A table that is superseded goes at once; others stay."""
+    import os
+
+    from colsieve.sources import scratch
+
+    a, b = scratch.written(spark.range(5), "a"), scratch.written(spark.range(7), "b")
+    path = a._scratch_path.removeprefix("file://")
+    assert os.path.isdir(path)
+    scratch.discard(a, a, spark.range(2))
+    assert not os.path.exists(path) and b.count() == 7
