@@ -17,12 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colsieve.llm.skew import attach
 from colsieve.operators.graph import connected_components
-from colsieve.sources.scratch import written
+from colsieve.sources.scratch import discard, written
 
 TABLES, PROBES, SCALE = 8, 4, 1.0
 #: Classes to a block of a cell, and rows to a task of small cells.
@@ -77,15 +78,23 @@ def cells(unit: np.ndarray, seed: int = 1, tables: int = TABLES, probes: int = P
     return out
 
 
-def _as_unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+def _as_unit(raw: list[bytes], wire: str) -> np.ndarray:
+    """Vectors of length one as doubles, from bytes of the type ``wire``."""
+    x = np.frombuffer(b"".join(raw), dtype=wire).reshape(len(raw), -1).astype("f8")
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """``_id, _kind, _vec, _cells, _keys``: the last four null for rows that link with nothing."""
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), F.col(label_col).cast("string").alias("_label"))
+def wire_type(df: DataFrame, vector_col: str) -> str:
+    """Floats travel as floats, anything else as doubles: both hold the column's values exactly."""
+    kind = df.schema[vector_col].dataType
+    return "<f4" if isinstance(getattr(kind, "elementType", None), T.FloatType) else "<f8"
+
+
+def _vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str, wire: str) -> DataFrame:
+    """``_id, _kind, _label, _vec, _cells``: the last four null for rows that link with nothing."""
+    kind_of = "float" if wire == "<f4" else "double"
+    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast(f"array<{kind_of}>").alias("_v"), F.col(label_col).cast("string").alias("_label"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -97,26 +106,28 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> Dat
             kind: list = [None] * n
             vec: list = [None] * n
             cell: list = [None] * n
-            keys: list = [None] * n
             by_length: dict[int, list[int]] = {}
             for i in range(n):
                 x = flat[ends[i] : ends[i + 1]]
                 # a null component is read as NaN
                 if labels[i] is None or missing[i] or not len(x) or not np.isfinite(x).all() or not x.any():
+                    labels[i] = None
                     continue
-                vec[i] = np.ascontiguousarray(x, dtype="<f8").tobytes()
+                vec[i] = np.ascontiguousarray(x, dtype=wire).tobytes()
                 kind[i] = xxhash.xxh3_128_hexdigest(labels[i].encode() + b"\0" + vec[i])
                 by_length.setdefault(len(x), []).append(i)
-            for length, at in by_length.items():
-                for k, c in zip(at, cells(_as_unit([vec[i] for i in at])), strict=True):
+            for at in by_length.values():
+                for k, c in zip(at, cells(_as_unit([vec[i] for i in at], wire)), strict=True):
                     cell[k] = c.astype("<u4").tobytes()
-                    head = xxhash.xxh3_64(labels[k].encode() + b"\0%d" % length)
-                    base = np.uint64(head.intdigest())
-                    mixed = (c.astype("u8") + (np.arange(TABLES, dtype="u8") << np.uint64(32))[:, None]) * np.uint64(0x9E3779B97F4A7C15) ^ base
-                    keys[k] = mixed.view("i8").ravel().tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kind, pa.string()), pa.array(vec, pa.binary()), pa.array(cell, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_kind", "_vec", "_cells", "_keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kind, pa.string()), pa.array(labels, pa.string()), pa.array(vec, pa.binary()), pa.array(cell, pa.binary())], names=["_id", "_kind", "_label", "_vec", "_cells"])
+
+    return rows.mapInArrow(hashed, "_id long, _kind string, _label string, _vec binary, _cells binary")
+
 
-    return rows.mapInArrow(hashed, "_id long, _kind string, _vec binary, _cells binary, _keys array<long>")
+def _keys() -> Column:
+    """The keys of a class's cells, in their order: of its label, length, the table and the cell."""
+    head = F.xxhash64("_label", F.octet_length("_vec"))
+    return F.transform(F.sequence(F.lit(0), F.lit(TABLES * PROBES - 1)), lambda i: F.xxhash64(head, F.floor(i / PROBES), F.substring(F.col("_cells"), 4 * i + 1, F.lit(4))))
 
 
 def counts_here(a: np.ndarray, b: np.ndarray, table: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -143,12 +154,11 @@ def links_of_small_cells(key: np.ndarray, ids: np.ndarray, copies: np.ndarray, u
     return out
 
 
-def links_of_cell(ids: np.ndarray, copies: np.ndarray, vecs: list[bytes], cell: np.ndarray, side: np.ndarray, table: int, value: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def links_of_cell(ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, cell: np.ndarray, side: np.ndarray, table: int, value: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Of one cell's rows: the links that count here, as copies linked to each row, and the smallest id each is connected with.
 
     ``table`` and ``value`` say which cell it is. ``side`` is 0 or 1 where two blocks of a cell meet: then only pairs across are looked at.
     """
-    unit = _as_unit(vecs)
     near = (unit @ unit.T) >= threshold
     np.fill_diagonal(near, False)
     if side.any() and not side.all():
@@ -173,26 +183,31 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Vectors of one label (not null) are linked if their cosine is ``threshold`` or more; ``n_links`` counts the
     others linked directly, ``component_id`` is the smallest id that links reach. Links are those that the hashing
-    finds: at a cosine of 0.93 all but 0.3 % or so, above 0.95 nearly all. Vectors that are null, empty or zero, or
+    finds: of 4,000 pairs at a cosine of exactly 0.93, 99.4 % with 64 dimensions, 98.9 % with 384 and 99.1 % with 768. Vectors that are null, empty or zero, or
     that hold null or non-finite components, link with nothing, and nor do vectors of different length. Null ids
     give null components and aren't kept; equal ids share a component if their vectors are equal, and otherwise
     count as vectors of their own. An empty table gives an empty table.
     """
-    rows = written(_vectors(df, id_col, vector_col, label_col), "vectors")
-    kinds = rows.where("_kind IS NOT NULL AND _id IS NOT NULL").groupBy("_kind").agg(F.min("_id").alias("_rep"), F.first("_vec").alias("_vec"), F.first("_cells").alias("_cells"), F.first("_keys").alias("_keys"))
+    wire = wire_type(df, vector_col)
+    vectors = written(_vectors(df, id_col, vector_col, label_col, wire), "vectors")
+    rows = written(vectors.select("_id", "_kind"), "vector-kinds")
+    payload = F.min(F.struct("_label", "_vec", "_cells")).alias("_p")
+    kinds = vectors.where("_kind IS NOT NULL AND _id IS NOT NULL").groupBy("_kind").agg(F.min("_id").alias("_rep"), payload)
     sizes = rows.where("_kind IS NOT NULL").groupBy("_kind").agg(F.count(F.lit(1)).alias("_copies"))
-    kinds = written(kinds.join(sizes, "_kind").withColumn("_own", F.xxhash64("_kind")), "vector-classes")
-    light = kinds.select("_own", F.posexplode("_keys").alias("_at", "_key"))
+    kinds = written(kinds.join(sizes, "_kind").select(F.xxhash64("_kind").alias("_own"), "_kind", "_rep", "_copies", "_p.*"), "vector-classes")
+    discard(vectors)
+    light = kinds.select("_own", F.posexplode(_keys()).alias("_at", "_key"))
     counts = light.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
     met = light.join(counts, "_key").withColumn("_blocks", F.ceil(F.col("_m") / BLOCK).cast("int")).withColumn("_block", F.pmod(F.col("_own"), F.col("_blocks")).cast("int"))
     met = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     met = written(met.select("_own", "_key", "_at", "_blocks", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block"), "cells")
     tasks = max(1, -(-met.count() // TASK))
     task = F.when(F.col("_blocks") == 1, F.pmod("_key", F.lit(tasks)).cast("string")).otherwise(F.concat_ws("/", F.lit("b"), F.col("_key").cast("string"), F.col("_i").cast("string"), F.col("_j").cast("string")))
-    full = met.withColumn("_task", task).join(kinds.select("_own", "_rep", "_copies", "_vec", "_cells"), "_own")
-    full = full.select("_task", "_key", "_at", F.col("_rep").alias("id"), "_copies", "_vec", "_cells", (F.col("_block") != F.col("_i")).cast("int").alias("_side"))
+    full = met.withColumn("_task", task).join(kinds.select("_own", "_rep", "_copies", "_label", "_vec", "_cells"), "_own")
+    full = full.select("_task", "_key", "_label", "_at", F.col("_rep").alias("id"), "_copies", "_vec", "_cells", (F.col("_block") != F.col("_i")).cast("int").alias("_side"))
 
     def block(part: pd.DataFrame) -> pd.DataFrame:
+        part["_key"] = pd.factorize(pd.MultiIndex.from_arrays([part["_key"], part["_label"]]))[0]  # keys are hashes, labels count
         part = part.sort_values(["_key", "id"], kind="stable")
         key, ids, copies, at, side = (part[c].to_numpy() for c in ("_key", "id", "_copies", "_at", "_side"))
         cell = np.frombuffer(b"".join(part["_cells"]), dtype="<u4").reshape(len(part), TABLES, PROBES)
@@ -204,12 +219,12 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         few = np.repeat((sizes > 1) & (sizes <= SMALL), sizes) & ~np.repeat(np.bitwise_or.reduceat(side, starts) > 0, sizes)
         for length in np.unique(lengths[few]):
             rows = np.flatnonzero(few & (lengths == length))
-            out += links_of_small_cells(key[rows], ids[rows], copies[rows], _as_unit(vecs[rows].tolist()), cell[rows], at[rows], threshold)
+            out += links_of_small_cells(key[rows], ids[rows], copies[rows], _as_unit(vecs[rows].tolist(), wire), cell[rows], at[rows], threshold)
         for start, size in zip(starts, sizes, strict=True):
             if size > 1 and not few[start]:
                 rows = slice(start, start + size)
                 table, probe = divmod(int(at[start]), PROBES)
-                sums, roots = links_of_cell(ids[rows], copies[rows], vecs[rows].tolist(), cell[rows], side[rows], table, int(cell[start, table, probe]), threshold)
+                sums, roots = links_of_cell(ids[rows], copies[rows], _as_unit(vecs[rows].tolist(), wire), cell[rows], side[rows], table, int(cell[start, table, probe]), threshold)
                 some = (sums > 0) | (roots != ids[rows])
                 out.append((ids[rows][some], sums[some], roots[some]))
         a, n, root = (np.concatenate(v) for v in zip(*out, strict=True)) if out else ([], [], [])
