@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colsieve.llm.tokens import as_bytes, small_batches
-from colsieve.sources.scratch import written
+from colsieve.sources.scratch import discard, written
 
 #: A word is frequent from this share of all tokens on, so at most as many words are.
 FREQUENT = 1 << 18
@@ -472,6 +472,7 @@ def fit(train: DataFrame, head: Head, shared) -> tuple[Model, DataFrame]:  # noq
     tails, with_tail, kinds = assign(train, classes, m, n_words, parts)
     # bigrams of frequent words and ends alone: those with a tail word are in class k here
     m = _class_bigrams(by_a, np.where(_is_tail(classes), k, classes).astype("u1"), k + 1)[:k, :k] + with_tail
+    discard(by_a, by_b)
     size = m.sum(0)  # every token is the second of one bigram
     np.add.at(kinds, classes[:n_words], 1)
     kinds[CLASSES:] += 1  # a word never seen for each ending; the end
@@ -537,6 +538,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     with small_batches(spark):
         vocab = written(vocabulary(rows.where("NOT _held")), "vocabulary")
         head = head_of(vocab)
+        discard(vocab)
         frequent = spark.sparkContext.broadcast(head.frequent)
         whole = written(coded(rows.select("_id", "_text", "_held"), frequent, head.n_ids), "coded", compression="zstd")
     model, tails = fit(whole.where("NOT _held"), head, frequent)

@@ -19,7 +19,7 @@ from colsieve.llm.tokens import as_bytes, encoder, narrow_batches
 from colsieve.sources.scratch import written
 
 #: Lengths to a block of the two-level suffix sums.
-BLOCK = 1024
+BLOCK = 64
 
 
 def length_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", special: bool = False) -> DataFrame:
@@ -42,7 +42,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text", sp
 
     ``n_tokens, docs, tokens`` (of that length), ``docs_at_least, tokens_at_least, docs_at_most`` and
     ``truncated_total``, the tokens left when every document is cut to ``n_tokens``. Sums go over blocks of
-    1024 lengths first, so that no task holds the histogram of all lengths.
+    64 lengths first, so that no task holds the histogram of all lengths.
     """
     counts = written(length_counts(docs, tokenizer, text_col, special), "lengths")
     counts = counts.withColumn("tokens", F.col("n_tokens") * F.col("docs")).withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))

@@ -12,6 +12,11 @@
    spanning forest of confirmed links, never all pairs.
 5. Components of the links give the result.
 
+Every table has a row for a class, a band of a class or a pair with a centre, and every join has one side with at most as
+many rows of a key as a bucket has centres; the other side may hold a third of all rows, and is split by Spark's adaptive
+skew joins, which are on by default and which this relies on. Sums by key are added up in each task first. Tables of a round
+are deleted when the next round has its own.
+
 At similarity s a band of r registers is shared with chance s**r. Bands are as long as they may be for at most MISSED
 of the pairs at the threshold to share none.
 """
@@ -75,9 +80,9 @@ def _neighbours(classes: DataFrame, threshold: float) -> DataFrame | None:
     while not left.isEmpty():
         tops = written(_centres(left, centres), "centres")
         pairs = left.join(tops, "_key").where("_label <> _other" if "_label" in left.columns else "_rep <> _c")
-        wanted = pairs.select(F.least("_rep", "_c").alias("a"), F.greatest("_rep", "_c").alias("b")).distinct()
+        wanted = written(pairs.select(F.least("_rep", "_c").alias("a"), F.greatest("_rep", "_c").alias("b")).distinct(), "pairs")
         near = written(_estimated(wanted, classes, threshold), "near")
-        found = written(connected_components(near) if found is None else add_links(found, near), "neighbourhoods")
+        known, found = found, written(connected_components(near) if found is None else add_links(found, near), "neighbourhoods")
         # who is this close to a centre is tied by it to whatever it is linked with (1 - similarity is a metric)
         close = near.where("close").select("a", "b")
         done = left.join(tops, "_key").select("_key", "_rep", F.least("_rep", "_c").alias("a"), F.greatest("_rep", "_c").alias("b")).join(close, ["a", "b"]).select("_key", "_rep")
@@ -87,7 +92,8 @@ def _neighbours(classes: DataFrame, threshold: float) -> DataFrame | None:
             level = F.floor(F.ln("_n") / F.lit(math.log(1 / threshold))).cast("int")
             rest = rest.withColumn("_level", F.explode(F.array(level, level + 1))).withColumn("_key", F.xxhash64("_key", "_level")).drop("_level")
         labelled = rest.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("_label", F.coalesce("component", "_rep")).drop("component")
-        left = _shared(labelled, "_label")
+        before, left = left, _shared(labelled, "_label")
+        discard(before, tops, wanted, near, *([known] if known is not None else []))  # what is left is all that the next round reads
         centres *= 2
     return found
 
@@ -109,8 +115,7 @@ def _centres(left: DataFrame, centres: int) -> DataFrame:
 def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``(a, b)`` that are similar at all, and which of them are close."""
     side = lambda x: classes.select(F.col("_rep").alias(x), F.col("_regs").alias(f"_r{x}"), F.col("_n").alias(f"_n{x}"))
-    wanted = written(pairs, "pairs")
-    both = wanted.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
