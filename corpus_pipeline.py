@@ -15,7 +15,7 @@ from colsieve.llm.near_dedup import near_duplicates
 from colsieve.llm.packing import pack
 from colsieve.llm.quality import N_GRADES, accepted, grades_of, train
 from colsieve.llm.skew import without
-from colsieve.sources.scratch import read_table, written
+from colsieve.sources.scratch import discard, read_table, written
 
 #: Stages on word shingles take five words and this similarity.
 NEAR_PERCENT = 80
@@ -71,5 +71,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)  # a stage's table, once the next one is written
     return STAGES[-1][1](spark, docs, sf_dir)
