@@ -187,12 +187,11 @@ def _flat(column: pa.Array | pa.ChunkedArray | pd.Series, kind: str) -> np.ndarr
 
 def coded(rows: DataFrame, frequent, n_ids: int) -> DataFrame:  # noqa: ANN001
     """``rows`` with, for ``_text``, the ids of its words and its end (``_ids``), the hashes of those words that aren't
-    frequent in their order (``_tail``), and ``_slice``, which some neighbouring texts share."""
+    frequent in their order (``_tail``)."""
     others = [c for c in rows.columns if c != "_text"]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes, end, n_words = Ids(frequent.value), Hashes(), n_ids - 1, len(frequent.value)
-        at, held = TaskContext.get().partitionId() << 32, 0
         for b in batches:
             for first, last, texts in _slices(b.column(b.schema.names.index("_text"))):
                 row, size = _row(texts, ids, end)
@@ -202,14 +201,11 @@ def coded(rows: DataFrame, frequent, n_ids: int) -> DataFrame:  # noqa: ANN001
                 found = np.fromiter(map(hashes.__getitem__, words), dtype="<i8", count=int(tail.sum()))
                 part = b.slice(first, last - first)
                 made = [part.column(b.schema.names.index(c)) for c in others]
-                made += [pa.array(np.full(len(texts), at)), _binary(row.astype("<i4"), ends), _binary(found, np.cumsum(tail)[ends - 1])]
-                yield pa.RecordBatch.from_arrays(made, names=[*others, "_slice", "_ids", "_tail"])
-                held += len(row)
-                if held > TOKENS:
-                    at, held = at + 1, 0
+                made += [_binary(row.astype("<i4"), ends), _binary(found, np.cumsum(tail)[ends - 1])]
+                yield pa.RecordBatch.from_arrays(made, names=[*others, "_ids", "_tail"])
 
     kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in others)
-    return rows.mapInArrow(code, f"{kinds}_slice long, _ids binary, _tail binary")
+    return rows.mapInArrow(code, f"{kinds}_ids binary, _tail binary")
 
 
 def bigrams(train: DataFrame, frequent, n_ids: int, parts: int) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
@@ -494,34 +490,86 @@ def train_model(train: DataFrame, vocab: DataFrame) -> Model:
     return fit(rows, head, shared)[0]
 
 
-def _looked_up(rows: DataFrame, tails: DataFrame, parts: int) -> DataFrame:
-    """``(_slice, w, c, n)``: the words of each slice's ``_tail`` that ``tails`` has, with classes and counts, packed."""
+#: What a token of the tail has for the class of a neighbour that is in the tail too, and for a word that isn't known.
+UNKNOWN = 255
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _parted(rows: DataFrame, shared, parts: int) -> DataFrame:  # noqa: ANN001
+    """Of :func:`coded` rows what the frequent words alone decide, and what is left to ask. Two kinds of rows:
+
+    0: ``_id, _held`` and a text's ``_tokens``; ``_log, _steps, _known`` summed over its frequent words and end; and for
+    each word of the tail its hash (``_tail``), the classes before and after it (``_before, _after``) and its ending (``_ends``).
+    1: the distinct hashes (``_tail``) that the texts of one ``_slice`` ask a ``part`` of the table for.
+    """
+    kind = rows.schema["_id"].dataType.simpleString()
+    names = ["_kind", "_slice", "part", "_id", "_held", "_tokens", "_log", "_steps", "_known", "_tail", "_before", "_after", "_ends"]
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        n_words, end = len(m.frequent), len(m.classes) - 1
+        log_of = np.r_[m.log_counts, np.zeros(ENDINGS), np.log10(m.end_count + 1)]
+        at, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def asked(id_type: pa.DataType) -> pa.RecordBatch:
+            w = np.unique(np.concatenate(held))
+            made = [(i, w[k].tobytes()) for i, k in _by_part(w, parts)]
+            n, (part, raw) = len(made), list(zip(*made, strict=True)) or ((), ())
+            none = [pa.nulls(n, t) for t in (id_type, pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, 1, "i4")), pa.array(np.full(n, at)), pa.array(part, pa.int32()), *none, pa.array(raw, pa.binary()), *[pa.nulls(n, pa.binary())] * 3], names=names)
+
+        id_type = None
         for b in batches:
-            slices = b.column(0).to_numpy()
-            cuts = np.flatnonzero(np.r_[True, slices[1:] != slices[:-1], True])
-            for first, last in itertools.pairwise(cuts.tolist()):
-                w = np.unique(_flat(b.column(1).slice(first, last - first), "<i8"))
-                asked = [(i, int(slices[first]), w[at].tobytes()) for i, at in _by_part(w, parts)]
-                columns = list(zip(*asked, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "_slice", "w"])
+            if not b.num_rows:
+                continue
+            ids, id_type = b.column("_ids").to_pylist(), b.column("_id").type
+            row, tail = np.frombuffer(b"".join(ids), "<i4"), _flat(b.column("_tail"), "<i8")
+            tokens = np.array([len(x) // 4 for x in ids], dtype="i8")
+            starts = np.cumsum(tokens) - tokens
+            rare = (row >= n_words) & (row < end)
+            c = np.where(rare, UNKNOWN, m.classes[row]).astype("u1")
+            before = np.r_[m.classes[end], c[:-1]]  # every text ends with an end
+            plain = ~rare & (before != UNKNOWN)
+            steps = np.zeros(len(row))
+            steps[plain] = m.log_step[before[plain], c[plain]]
+            known = np.where(row == end, m.end_count > 0, ~rare)
+            log, steps, known = (np.add.reduceat(x, starts) for x in (log_of[row], steps, known.astype("i8")))
+            ends = np.cumsum(np.add.reduceat(rare.astype("i8"), starts))
+            after = np.r_[c[1:], m.classes[end]]
+            made = [pa.array(np.zeros(len(tokens), "i4")), pa.array(np.full(len(tokens), at)), pa.nulls(len(tokens), pa.int32()), b.column("_id"), b.column("_held")]
+            made += [pa.array(tokens), pa.array(log), pa.array(steps), pa.array(known), _binary(tail, ends), _binary(before[rare], ends), _binary(after[rare], ends), _binary((row[rare] - n_words).astype("u1"), ends)]
+            yield pa.RecordBatch.from_arrays(made, names=names)
+            held.append(tail)
+            size += len(row)
+            if size > TOKENS:
+                yield asked(id_type)
+                at, held, size = at + 1, [], 0
+        if held:
+            yield asked(id_type)
+
+    return rows.select("_id", "_held", "_ids", "_tail").mapInArrow(divide, f"_kind int, _slice long, part int, _id {kind}, _held boolean, _tokens long, _log double, _steps double, _known long, _tail binary, _before binary, _after binary, _ends binary")
+
+
+def _looked_up(parted: DataFrame, tails: DataFrame) -> DataFrame:
+    """``(_slice, part, c, n)``: classes and counts of the words that each slice asks each part for, in their order; UNKNOWN
+    and 0 for those that ``tails`` hasn't. Counts of the tail are under 2**-18 of all tokens, so 32 bits hold them."""
 
     def find(part: pd.DataFrame) -> pd.DataFrame:
         table, asked = part[part["_slice"] < 0], part[part["_slice"] >= 0]
         words, of, n = _flat(table["w"], "<i8"), _flat(table["c"], "u1"), _flat(table["n"], "<i8")
         rows = []
-        for at, raw in zip(asked["_slice"].tolist(), asked["w"], strict=True) if len(words) else ():
+        for at, mine, raw in zip(asked["_slice"].tolist(), asked["part"].tolist(), asked["w"], strict=True):
             w = np.frombuffer(raw, "<i8")
-            place = np.minimum(np.searchsorted(words, w), len(words) - 1)
-            place = place[words[place] == w]
-            rows.append((at, words[place].tobytes(), of[place].tobytes(), n[place].tobytes()))
-        return pd.DataFrame(rows, columns=["_slice", "w", "c", "n"])
-
-    # whole batches, so that few rows ask
-    asked = rows.select("_slice", "_tail").mapInArrow(ask, "part int, _slice long, w binary").select("part", "_slice", "w", F.lit(b"").alias("c"), F.lit(b"").alias("n"))
+            c, count = np.full(len(w), UNKNOWN, "u1"), np.zeros(len(w), "<u4")
+            if len(words):
+                place = np.minimum(np.searchsorted(words, w), len(words) - 1)
+                there = words[place] == w
+                c[there], count[there] = of[place[there]], n[place[there]]
+            rows.append((at, mine, c.tobytes(), count.tobytes()))
+        return pd.DataFrame(rows, columns=["_slice", "part", "c", "n"])
+
+    asked = parted.where("_kind = 1").select("part", "_slice", F.col("_tail").alias("w"), F.lit(b"").alias("c"), F.lit(b"").alias("n"))
     both = tails.select("part", F.lit(-1).cast("long").alias("_slice"), "w", "c", "n").unionByName(asked)
-    return both.groupBy("part").applyInPandas(find, "_slice long, w binary, c binary, n binary")
+    return both.groupBy("part").applyInPandas(find, "_slice long, part int, c binary, n binary")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -542,35 +590,41 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         frequent = spark.sparkContext.broadcast(head.frequent)
         whole = written(coded(rows.select("_id", "_text", "_held"), frequent, head.n_ids), "coded", compression="zstd")
     model, tails = fit(whole.where("NOT _held"), head, frequent)
+    shared, parts = spark.sparkContext.broadcast(model), n_parts(spark)
     with small_batches(spark):
-        found = written(_looked_up(whole, tails, n_parts(spark)), "looked-up")
-    shared = spark.sparkContext.broadcast(model)
+        parted = written(_parted(whole, shared, parts), "parted", compression="zstd")
+        discard(whole)
+        found = written(_looked_up(parted, tails), "looked-up", compression="zstd")
     floor = float(np.log10(model.total + model.types + 1))
 
     def measure(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        m = shared.value
-        n_words, end = len(m.frequent), len(m.classes) - 1
-        row, tail = _flat(texts["_ids"], "<i4"), _flat(texts["_tail"], "<i8")
-        words, at = np.unique(_flat(answers["w"], "<i8"), return_index=True)
-        of, n = _flat(answers["c"], "u1")[at], _flat(answers["n"], "<i8")[at]
-        c, log = m.classes[row], np.r_[m.log_counts, np.zeros(ENDINGS), np.log10(m.end_count + 1)][row]
-        known = (row < n_words) | ((row == end) & (m.end_count > 0))
-        rare = np.flatnonzero((row >= n_words) & (row < end))
-        now = c.copy()
-        now[rare] += ENDINGS + 1  # never seen, unless the tail has them
-        if len(words):
-            place = np.minimum(np.searchsorted(words, tail), len(words) - 1)
-            seen = words[place] == tail
-            at = rare[seen]
-            c[at] = now[at] = of[place[seen]]
-            log[at], known[at] = np.log10(n[place[seen]] + 1), True
-        size = np.array([len(x) // 4 for x in texts["_ids"].to_pylist()], dtype="i8")
-        starts = np.cumsum(size) - size
-        steps = m.log_step[np.r_[m.classes[end], c[:-1]], now]
-        log, steps, known = (np.add.reduceat(x, starts) for x in (log, steps, known.astype("i8")))
-        made = [texts["_id"], texts["_held"], pa.array(size), pa.array(known), pa.array(np.full(len(size), m.total, dtype="i8")), pa.array(log - size * floor), pa.array(log + steps)]
+        m: Model = shared.value
+        tail, before, after = _flat(texts["_tail"], "<i8"), _flat(texts["_before"], "u1"), _flat(texts["_after"], "u1")
+        words, place = np.unique(tail, return_inverse=True)
+        of, n = np.full(len(words), UNKNOWN, "u1"), np.zeros(len(words), "i8")
+        at_part = {p: (c, k) for p, c, k in zip(*(answers[x].to_pylist() for x in ("part", "c", "n")), strict=True)}
+        for i, at in _by_part(words, parts):
+            of[at], n[at] = np.frombuffer(at_part[i][0], "u1"), np.frombuffer(at_part[i][1], "<u4")
+        found, n = of[place], n[place]
+        raw = texts["_tail"].to_pylist()
+        size = np.array([len(x) // 8 for x in raw], dtype="i8")
+        unseen = found == UNKNOWN
+        ends = _flat(texts["_ends"], "u1")
+        c = np.where(unseen, CLASSES + ends, found).astype("i8")  # as the word before
+        now = np.where(unseen, c + ENDINGS + 1, c)  # never seen
+        previous = np.where(before == UNKNOWN, np.r_[0, c[:-1]], before)
+        steps = m.log_step[previous, now]
+        leaves = after != UNKNOWN  # into a frequent word or the end; a step into the tail is the next word's
+        steps[leaves] += m.log_step[c[leaves], after[leaves]]
+        text = np.repeat(np.arange(len(size)), size)
+        add = lambda x: np.bincount(text, weights=x, minlength=len(size))
+        tokens = texts["_tokens"].to_numpy()
+        log = texts["_log"].to_numpy() + add(np.log10(n + 1.0))
+        made = [texts["_id"], texts["_held"], texts["_tokens"], pa.array(texts["_known"].to_numpy() + add(~unseen).astype("i8")), pa.array(np.full(len(size), m.total, dtype="i8"))]
+        made += [pa.array(log - tokens * floor), pa.array(log + texts["_steps"].to_numpy() + add(steps))]
         return pa.Table.from_arrays(made, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = rows.schema["_id"].dataType.simpleString()
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return whole.groupBy("_slice").cogroup(found.groupBy("_slice")).applyInArrow(measure, schema)
+    texts = parted.where("_kind = 0").drop("_kind", "part")
+    return texts.groupBy("_slice").cogroup(found.groupBy("_slice")).applyInArrow(measure, schema)

@@ -701,6 +701,39 @@ def test_tail_words_get_the_class_of_their_neighbours(spark, monkeypatch):
         assert c in side[w[1]] if n > 1 else c == brown.CLASSES + brown.ending(w.encode())
 
 
+def test_scores_word_by_word(spark, monkeypatch):
+    """Against a walk over each text with the fitted model, with frequent, rare, single and unknown words side by side."""
+    monkeypatch.setattr(brown, "FREQUENT", 128)
+    monkeypatch.setattr(brown, "TOKENS", 300)  # many slices
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{int(v)}" for v in rng.zipf(1.4, int(rng.integers(0, 40))) % 3000), "s") for i in range(200)]
+    table = make(spark, docs).repartition(3)
+    got = {r["doc_id"]: r["score"] for r in brown.score(table).collect()}
+    rows_ = make(spark, [r for r in docs if zlib.crc32(str(r[0]).encode()) % 7 != 2]).select(F.col("text").cast("binary").alias("_text"))
+    head = brown.head_of(brown.vocabulary(rows_).cache())
+    shared = spark.sparkContext.broadcast(head.frequent)
+    model, tails = brown.fit(brown.coded(rows_, shared, head.n_ids), head, shared)
+    rare = {w: (c, n) for r in tails.collect() for w, c, n in zip(np.frombuffer(r["w"], "<i8").tolist(), r["c"], np.frombuffer(r["n"], "<i8").tolist(), strict=True)}
+    assert head.frequent and rare
+    unknown = 0
+    for i, text, _ in docs:
+        total, last = 0.0, model.classes[-1]
+        for word in [x.encode() for x in text.split()]:
+            h = brown.identity(word)
+            if h in head.frequent:
+                at = now = model.classes[head.frequent[h]]
+                total += model.log_counts[head.frequent[h]]
+            elif h in rare:
+                at = now = rare[h][0]
+                total += math.log10(rare[h][1] + 1)
+            else:
+                at, now, unknown = brown.CLASSES + brown.ending(word), brown.CLASSES + brown.ENDINGS + 1 + brown.ending(word), unknown + 1
+            total, last = total + model.log_step[last, now], at
+        total += math.log10(model.end_count + 1) + model.log_step[last, model.classes[-1]]
+        assert got[i] == pytest.approx(total, rel=1e-9)
+    assert unknown
+
+
 # --- the pipeline ---
 
 
