@@ -144,14 +144,16 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> np.ndarray:
                 up[: m - b] = s[b:] - s[: m - b]
                 best = np.minimum(best, np.maximum(down, up))
             radius[order], kk[order] = best, near
-        s = np.sort(v)
+        s, count = np.unique(v, return_counts=True)
+        upto, last = np.r_[0, np.cumsum(count)], len(s) - 1
         low, high = np.searchsorted(s, v - radius, "left"), np.searchsorted(s, v + radius, "right")
         # the ends by differences, as sums may round across them
         for _ in range(3):
-            low = np.where((low < n) & (v - s[np.minimum(low, n - 1)] >= radius) & (s[np.minimum(low, n - 1)] < v), low + 1, low)
+            low = np.where((low <= last) & (v - s[np.minimum(low, last)] >= radius) & (s[np.minimum(low, last)] < v), low + 1, low)
             low = np.where((low > 0) & (v - s[np.maximum(low - 1, 0)] < radius), low - 1, low)
             high = np.where((high > 0) & (s[np.maximum(high - 1, 0)] - v >= radius) & (s[np.maximum(high - 1, 0)] > v), high - 1, high)
-            high = np.where((high < n) & (s[np.minimum(high, n - 1)] - v < radius), high + 1, high)
+            high = np.where((high <= last) & (s[np.minimum(high, last)] - v < radius), high + 1, high)
+        low, high = upto[low], upto[high]
         m = np.where(radius > 0, np.maximum(high - low, 1), 1)
         own = sizes[sizes > 1]
         mean_class = (h[own - 1] * own).sum() / n
@@ -178,12 +180,41 @@ def mutual_information_regression(x: np.ndarray, y: np.ndarray, k: int = 3) -> n
     return out
 
 
+def tied_pairs(*codes: np.ndarray) -> int:
+    """How many pairs of rows agree in all of ``codes``."""
+    count = np.unique(np.stack(codes), axis=1, return_counts=True)[1].astype("i8")
+    return int((count * (count - 1) // 2).sum())
+
+
+def inversions(codes: np.ndarray) -> int:
+    """How many pairs of an array of whole numbers stand with the larger one first, bit by bit from the highest:
+    a pair is out of order if, at the first bit in which both differ, the one in front has it set."""
+    total = 0
+    for bit in range(int(codes.max(initial=0)).bit_length() - 1, -1, -1):
+        prefix, is_set = codes >> (bit + 1), (codes >> bit) & 1
+        before = np.cumsum(is_set) - is_set
+        starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
+        before = before - np.repeat(before[starts], np.diff(np.r_[starts, len(codes)]))
+        total += int(before[is_set == 0].sum())
+        codes = codes[np.argsort(codes >> bit, kind="stable")]
+    return total
+
+
 def kendall(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """tau-b of each column with y, over all pairs of samples."""
-    sy = np.sign(y[:, None] - y[None, :])
-    out = np.empty(x.shape[1])
+    """tau-b of each column with y, by sorting: pairs of samples are counted and never made. A column with a NaN, or
+    without two different values, has none (NaN)."""
+    out = np.full(x.shape[1], np.nan)
+    if np.isnan(np.asarray(y, "f8")).any():
+        return out
+    b = np.unique(y, return_inverse=True)[1].astype("i8")
+    pairs = len(b) * (len(b) - 1) // 2
+    tied_b = tied_pairs(b)
     for j in range(x.shape[1]):
-        sx = np.sign(x[:, j][:, None] - x[:, j][None, :])
-        down = np.sqrt((sx * sx).sum() * (sy * sy).sum())
-        out[j] = (sx * sy).sum() / down if down else np.nan
+        if np.isnan(x[:, j]).any():
+            continue
+        a = np.unique(x[:, j], return_inverse=True)[1].astype("i8")
+        tied_a = tied_pairs(a)
+        if tied_a < pairs and tied_b < pairs:
+            apart = pairs - tied_a - tied_b + tied_pairs(a, b)
+            out[j] = (apart - 2 * inversions(b[np.lexsort((b, a))])) / (np.sqrt(float(pairs - tied_a)) * np.sqrt(float(pairs - tied_b)))
     return out

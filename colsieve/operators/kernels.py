@@ -5,12 +5,14 @@ Inputs have ``feature``, ``value`` and what each kernel names; ``keys`` go throu
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from colsieve.functions import columns
 from colsieve.functions.special import ERFCC
 
 
@@ -203,14 +205,26 @@ def close_pairs(long: DataFrame, limit: float, block: int = 1024) -> DataFrame:
     return met.groupBy("_i", "_j").applyInPandas(multiply, "a int, b int, r double")
 
 
+def _by_column(long: DataFrame, keys: list[str], other: Column, score: str, measure: Callable) -> DataFrame:
+    """``(keys, feature, score)``: ``measure(values, others)`` of each feature's rows without nulls, sorted in one task.
+    A task holds the values of a feature, and the number of tasks grows with the features."""
+    rows = long.select(*keys, "feature", F.col("value").cast("double").alias("value"), other.alias("_other")).where("value IS NOT NULL AND _other IS NOT NULL")
+    names = [*keys, "feature"]
+
+    def one(key, part):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        found = float(measure(part["value"].to_numpy()[:, None], part["_other"].to_numpy())[0])
+        return pd.DataFrame([[*key, None if found != found else found]], columns=[*names, score]).astype({score: "object"})
+
+    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
+    return rows.groupBy(*names).applyInPandas(one, f"{schema}, `{score}` double")
+
+
 def kendall(long: DataFrame, keys: list[str], target: str) -> DataFrame:
-    """``(keys, feature, tau)``, Kendall's tau-b with ``target``: pairs of samples, so for small numbers of them."""
-    left = long.select(*keys, "feature", F.col("sample_id").alias("_i"), F.col("value").alias("_x"), F.col(target).cast("double").alias("_s"))
-    right = long.select(*keys, "feature", F.col("sample_id").alias("_j"), F.col("value").alias("_y"), F.col(target).cast("double").alias("_t"))
-    pairs = left.join(right, [*keys, "feature"]).where("_i < _j")
-    dx, dy = F.signum(F.col("_x") - F.col("_y")), F.signum(F.col("_s") - F.col("_t"))
-    sums = pairs.groupBy(*keys, "feature").agg(F.sum(dx * dy).alias("_c"), F.sum(dx * dx).alias("_nx"), F.sum(dy * dy).alias("_ny"))
-    return sums.select(*keys, "feature", F.when((F.col("_nx") > 0) & (F.col("_ny") > 0), F.col("_c") / F.sqrt(F.col("_nx") * F.col("_ny"))).alias("tau"))
+    """``(keys, feature, tau)``, Kendall's tau-b with ``target``: a sort for each feature. Rows with a null are left out;
+    tau is null where value or target is constant."""
+    return _by_column(long, keys, F.col(target).cast("double"), "tau", columns.kendall)
 
 
 # --- cut-offs over a table of features ---
@@ -297,36 +311,9 @@ def uncorrelated(target_corr: DataFrame, pairs: DataFrame, keys: list[str], limi
 
 
 def mutual_information(long: DataFrame, keys: list[str], label: str = "label", k: int = 3) -> DataFrame:
-    """``(keys, feature, mi)``: Ross's nearest-neighbour estimate, by windows and a join on samples; no noise is added.
-
-    The k-th neighbour within the class is the closest split of k among the a before and k - a after; the count
-    of all values nearer than that is a join of samples by feature, whose cost grows with their square (the
-    estimator class uses a sorted search instead). Euler's constants cancel, so harmonic numbers stand for digammas.
-    """
-    by_class = W.partitionBy(*keys, "feature", label).orderBy("value", "sample_id")
-    size = F.count(F.lit(1)).over(W.partitionBy(*keys, "feature", label))
-    rows = long.withColumn("_c", size).where("_c > 1")
-    rows = rows.withColumn("_k", F.least(F.lit(k), F.col("_c") - 1)).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys, "feature")))
-    gaps = []
-    for kk in range(1, k + 1):
-        options = []
-        for a in range(kk + 1):
-            down = F.lit(0.0) if a == 0 else F.col("value") - F.lag("value", a).over(by_class)
-            up = F.lit(0.0) if kk == a else F.lead("value", kk - a).over(by_class) - F.col("value")
-            options.append(F.when(down.isNotNull() & up.isNotNull(), F.greatest(down, up)))
-        gaps.append((kk, F.least(*options)))
-    radius = reduce(lambda out, g: out.when(F.col("_k") == g[0], g[1]), gaps[1:], F.when(F.col("_k") == gaps[0][0], gaps[0][1]))
-    rows = rows.withColumn("_r", radius)
-    near = rows.select(*keys, "feature", "sample_id", "value", "_r", "_c", "_k", "_n", F.col(label).alias("_l"))
-    others = rows.select(*keys, "feature", F.col("value").alias("_v"))
-    # the value itself is nearer than its radius, so m counts it, as the digamma of m wants; at radius 0 nothing is
-    counted = near.join(others, [*keys, "feature"]).groupBy(*keys, "feature", "sample_id", "_l", "_c", "_k", "_n").agg(F.sum((F.abs(F.col("_v") - F.col("value")) < F.col("_r")).cast("long")).alias("_m"))
-    harmonic = lambda n: F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda acc, i: acc + F.lit(1.0) / i)
-    # sizes repeat, so harmonic numbers are summed once for each count that occurs
-    tally = counted.groupBy(*keys, "feature", "_c", "_k", "_n", "_m").agg(F.count(F.lit(1)).alias("_w"))
-    term = harmonic(F.col("_k") - 1) - harmonic(F.col("_c") - 1) - harmonic(F.greatest(F.col("_m"), F.lit(1)) - 1) + harmonic(F.col("_n") - 1)
-    sums = tally.groupBy(*keys, "feature").agg((F.sum(term * F.col("_w")) / F.sum("_w")).alias("mi"))
-    return sums.withColumn("mi", F.greatest(F.col("mi"), F.lit(0.0)))
+    """``(keys, feature, mi)``: Ross's nearest-neighbour estimate by a sorted search in each feature; no noise is added.
+    Rows with a null are left out, and so are classes of one sample."""
+    return _by_column(long, keys, F.col(label), "mi", lambda x, y: columns.mutual_information(x, y, k))
 
 
 def correlation_select(long: DataFrame, target: str, target_threshold: float, limit: float, n_features: int) -> DataFrame:
