@@ -2,16 +2,20 @@
 
 Equal vectors of one label are one class. In each of 8 tables a class is projected to 8 dimensions at random and
 decoded to its point of the E8 lattice; it lies in the cell of that point and of the 3 neighbouring points that
-are closest to it. Classes with a common cell meet, in blocks, and are linked by their cosine in double precision.
+are closest to it. What goes to the cells is not the vectors but the signs of 128 random projections. Classes of a
+cell meet in blocks; pairs whose signs differ in so few places that their cosine may reach the threshold become
+candidates, and only candidates are joined with their vectors and verified by their cosine in double precision.
 
-A pair may meet in many cells; it counts in the first table, and there in the lowest cell, that both have, which
-each block can tell from the cells that its rows carry. So blocks return a sum of links for each class, and a
-forest that connects what they have linked, and no pairs are listed.
+A block in which candidates outnumber its rows many times lists none: its vectors are compared there, by a matrix
+product, and it returns a sum of links for each class and a forest that connects what it has linked.
+
+A pair may meet in many cells; it counts in the lowest that both have, which the cells of both rows tell.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +25,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colsieve.llm.ranks import SLICES
 from colsieve.llm.skew import attach
 from colsieve.operators.graph import connected_components
 from colsieve.sources.scratch import discard, written
 
 TABLES, PROBES, SCALE = 8, 4, 1.0
-#: Classes to a block of a cell, and rows to a task of small cells.
-BLOCK, TASK = 1024, 4096
-#: Cells of up to so many classes are compared together, row against row at each distance, and larger ones by a matrix product.
-SMALL = 48
+#: Classes to a block of a cell, and rows to a task of cells.
+BLOCK, TASK = 1024, 65536
+#: Cells of up to so many classes are compared together, row against row at each distance, and larger ones by blocks.
+SMALL = 64
+#: Signs to a sketch, the chance that a pair at the threshold has too many different ones, and the candidates for each row
+#: from which on a block is compared by its vectors instead.
+SIGNS, MISS, DENSE = 128, 1e-6, 32
+#: A cell's number is its hash and its table; a key has 29 bits of its label's and length's hash above that.
+CELL_BITS = 35
 
 
 def minimal_vectors() -> np.ndarray:
@@ -78,6 +88,27 @@ def cells(unit: np.ndarray, seed: int = 1, tables: int = TABLES, probes: int = P
     return out
 
 
+def sketches(unit: np.ndarray, seed: int = 2) -> np.ndarray:
+    """For rows of unit vectors, the signs of random projections: ``(rows, SIGNS / 64)`` int64."""
+    planes = np.random.default_rng([seed, unit.shape[1]]).normal(size=(unit.shape[1], SIGNS))
+    return np.packbits(unit @ planes > 0, axis=1).view("<i8").astype("i8")
+
+
+def most_apart(threshold: float, signs: int = SIGNS, miss: float = MISS) -> int:
+    """The different signs that a pair may have: more of them have a chance of ``miss`` at most at the threshold."""
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    below, d = (1 - p) ** signs, 0
+    while 1 - below > miss and d < signs:
+        d += 1
+        below += math.comb(signs, d) * p**d * (1 - p) ** (signs - d)
+    return d
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many signs differ, for sketches along the last axis."""
+    return np.bitwise_count((a ^ b).view("u8")).sum(-1, dtype="i4")
+
+
 def _as_unit(raw: list[bytes], wire: str) -> np.ndarray:
     """Vectors of length one as doubles, from bytes of the type ``wire``."""
     x = np.frombuffer(b"".join(raw), dtype=wire).reshape(len(raw), -1).astype("f8")
@@ -92,7 +123,7 @@ def wire_type(df: DataFrame, vector_col: str) -> str:
 
 
 def _vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str, wire: str) -> DataFrame:
-    """``_id, _kind, _label, _vec, _cells``: the last four null for rows that link with nothing."""
+    """``_id, _kind, _label, _vec, _cells, _signs``: all but the id null for rows that link with nothing."""
     kind_of = "float" if wire == "<f4" else "double"
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast(f"array<{kind_of}>").alias("_v"), F.col(label_col).cast("string").alias("_label"))
 
@@ -106,6 +137,7 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str, wire:
             kind: list = [None] * n
             vec: list = [None] * n
             cell: list = [None] * n
+            signs: list = [None] * n
             by_length: dict[int, list[int]] = {}
             for i in range(n):
                 x = flat[ends[i] : ends[i + 1]]
@@ -117,47 +149,59 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str, wire:
                 kind[i] = xxhash.xxh3_128_hexdigest(labels[i].encode() + b"\0" + vec[i])
                 by_length.setdefault(len(x), []).append(i)
             for at in by_length.values():
-                for k, c in zip(at, cells(_as_unit([vec[i] for i in at], wire)), strict=True):
-                    cell[k] = c.astype("<u4").tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kind, pa.string()), pa.array(labels, pa.string()), pa.array(vec, pa.binary()), pa.array(cell, pa.binary())], names=["_id", "_kind", "_label", "_vec", "_cells"])
+                unit = _as_unit([vec[i] for i in at], wire)
+                for k, c, sketch in zip(at, cells(unit).reshape(len(at), -1).view("i4"), sketches(unit), strict=True):
+                    cell[k], signs[k] = c, sketch
+            texts = [pa.array(kind, pa.string()), pa.array(labels, pa.string()), pa.array(vec, pa.binary())]
+            names = ["_id", "_kind", "_label", "_vec", "_cells", "_signs"]
+            yield pa.RecordBatch.from_arrays([b.column(0), *texts, pa.array(cell, pa.list_(pa.int32())), pa.array(signs, pa.list_(pa.int64()))], names=names)
 
-    return rows.mapInArrow(hashed, "_id long, _kind string, _label string, _vec binary, _cells binary")
+    return rows.mapInArrow(hashed, "_id long, _kind string, _label string, _vec binary, _cells array<int>, _signs array<bigint>")
 
 
 def _keys() -> Column:
-    """The keys of a class's cells, in their order: of its label, length, the table and the cell."""
-    head = F.xxhash64("_label", F.octet_length("_vec"))
-    return F.transform(F.sequence(F.lit(0), F.lit(TABLES * PROBES - 1)), lambda i: F.xxhash64(head, F.floor(i / PROBES), F.substring(F.col("_cells"), 4 * i + 1, F.lit(4))))
+    """The keys of a class's cells, each once: of its label and length, the cell and the table."""
+    head = F.shiftleft(F.xxhash64("_label", F.octet_length("_vec")), CELL_BITS)
+    cell = lambda v, i: F.shiftleft(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), 3).bitwiseOR(F.floor(i / PROBES))
+    return F.array_distinct(F.transform("_cells", lambda v, i: head.bitwiseOR(cell(v, i))))
+
 
+def counts_here(a: np.ndarray, b: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """For pairs of rows of cells (tables x probes), whether ``cell`` is the lowest number of a cell that both have."""
+    none = np.int64(1) << 62
+    lowest = np.full(len(a), none)
+    for t, p, q in itertools.product(range(a.shape[1]), range(a.shape[2]), range(b.shape[2])):
+        lowest = np.minimum(lowest, np.where(a[:, t, p] == b[:, t, q], (a[:, t, p].astype("i8") << 3) | t, none))
+    return lowest == cell
 
-def counts_here(a: np.ndarray, b: np.ndarray, table: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """For pairs of rows of cells, whether (table, value) is the lowest common cell of the first table that has one."""
-    common = np.full(a.shape[:2], 1 << 32)
-    for p, q in itertools.product(range(a.shape[2]), range(b.shape[2])):
-        common = np.where(a[:, :, p] == b[:, :, q], np.minimum(common, a[:, :, p]), common)
-    earlier = (common < 1 << 32) & (np.arange(a.shape[1])[None, :] < table[:, None])
-    return ~earlier.any(1) & (common[np.arange(len(a)), table] == value)
 
+def _cell_of(key: np.ndarray) -> np.ndarray:
+    return key & ((np.int64(1) << CELL_BITS) - 1)
 
-def links_of_small_cells(key: np.ndarray, ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, cell: np.ndarray, at: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Links that count in cells whose rows lie side by side: each is given to both of its ends."""
+
+def _as_cells(flat: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(flat, dtype="i4").view("u4").reshape(-1, TABLES, PROBES)
+
+
+def side_by_side(group: np.ndarray, own: np.ndarray, signs: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs, of rows of one group that lie side by side, with at most ``far`` different signs."""
     out = []
-    table, probe = np.divmod(at, PROBES)
-    value = cell[np.arange(len(at)), table, probe].astype("i8")
-    for d in range(1, SMALL):
-        i = np.flatnonzero(key[d:] == key[:-d])
+    for d in range(1, len(group)):
+        i = np.flatnonzero(group[d:] == group[:-d])
         if not len(i):
             break
-        i = i[np.einsum("ij,ij->i", unit[i], unit[i + d]) >= threshold]
-        i = i[counts_here(cell[i], cell[i + d], table[i], value[i])]
-        out += [(ids[i], copies[i + d], ids[i]), (ids[i + d], copies[i], ids[i])]
-    return out
+        i = i[apart(signs[i], signs[i + d]) <= far]
+        out.append((i, i + d))
+    none = np.zeros(0, dtype="i8")
+    i, j = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (none, none)
+    less = own[i] < own[j]
+    return np.where(less, i, j), np.where(less, j, i)
 
 
-def links_of_cell(ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, cell: np.ndarray, side: np.ndarray, table: int, value: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def links_of_cell(ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, cell: np.ndarray, side: np.ndarray, number: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Of one cell's rows: the links that count here, as copies linked to each row, and the smallest id each is connected with.
 
-    ``table`` and ``value`` say which cell it is. ``side`` is 0 or 1 where two blocks of a cell meet: then only pairs across are looked at.
+    ``number`` says which cell it is. ``side`` is 0 or 1 where two blocks of a cell meet: then only pairs across are looked at.
     """
     near = (unit @ unit.T) >= threshold
     np.fill_diagonal(near, False)
@@ -168,9 +212,11 @@ def links_of_cell(ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, cell: n
     if not near.any():
         return sums, roots
     i, j = np.nonzero(np.triu(near))
-    first = counts_here(cell[i], cell[j], np.full(len(i), table), np.full(len(i), value))
-    i, j = i[first], j[first]
-    sums = (np.bincount(i, weights=copies[j], minlength=len(ids)) + np.bincount(j, weights=copies[i], minlength=len(ids))).astype("i8")
+    for start in range(0, len(i), 1 << 17):
+        a, b = i[start : start + (1 << 17)], j[start : start + (1 << 17)]
+        first = counts_here(cell[a], cell[b], np.int64(number))
+        np.add.at(sums, a[first], copies[b[first]])
+        np.add.at(sums, b[first], copies[a[first]])
     while True:  # the smallest id among the neighbours, until nothing changes
         least = np.minimum(roots, np.where(near, roots[None, :], np.iinfo("i8").max).min(1))
         if (least == roots).all():
@@ -178,6 +224,112 @@ def links_of_cell(ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, cell: n
         roots = least
 
 
+def _cells_of_few(light: DataFrame, counts: DataFrame, far: int) -> DataFrame:
+    """Candidates ``a, b, _key`` of cells of up to SMALL classes. Larger cells' rows leave before anything is shuffled
+    where they number more than 1/SLICES of all, so that no task receives them."""
+    total = counts.agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_total"))
+    hot = counts.where(F.col("_m") > SMALL).crossJoin(F.broadcast(total)).where(F.col("_m") * SLICES > F.col("_total")).select("_key")
+    few = light.join(F.broadcast(hot), "_key", "left_anti").join(counts.where(F.col("_m") <= SMALL).select("_key"), "_key")
+    groups = few.groupBy("_key").agg(F.collect_list(F.struct("_own", F.col("_signs")[0].alias("s0"), F.col("_signs")[1].alias("s1"))).alias("_g"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            own, s0, s1 = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+            at = np.repeat(np.arange(len(sizes)), sizes)
+            i, j = side_by_side(at, own, np.stack([s0, s1], axis=1), far)
+            yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(own[j]), pa.array(batch.column(0).to_numpy()[at[i]])], names=["a", "b", "_key"])
+
+    return groups.mapInArrow(pairs, "a long, b long, _key long")
+
+
+def _in_blocks(light: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of cells of over SMALL classes with their blocks, once for each pair of blocks that they take part in."""
+    sized = light.join(counts.where(F.col("_m") > SMALL), "_key").withColumn("_blocks", F.ceil(F.col("_m") / BLOCK).cast("int"))
+    sized = sized.withColumn("_block", F.pmod(F.xxhash64("_own"), F.col("_blocks")).cast("int"))
+    met = sized.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return met.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other"))
+
+
+def _cells_of_many(met: DataFrame, tasks: int, far: int) -> DataFrame:
+    """Candidates ``a, b, _key`` of larger cells, and for dense blocks one row ``_key, _i, _j`` without a and b."""
+    alone = F.concat_ws("/", F.lit("b"), F.col("_key").cast("string"), F.col("_i").cast("string"), F.col("_j").cast("string"))
+    task = F.when(F.col("_blocks") == 1, F.pmod("_key", F.lit(tasks)).cast("string")).otherwise(alone)
+    rows = met.select(task.alias("_task"), "_key", "_i", "_j", "_own", (F.col("_block") != F.col("_i")).alias("_side"), F.col("_signs")[0].alias("s0"), F.col("_signs")[1].alias("s1"))
+
+    def sieve(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for key, cell in part.groupby("_key", sort=False):
+            own, signs, side = cell["_own"].to_numpy(), cell[["s0", "s1"]].to_numpy(), cell["_side"].to_numpy()
+            left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() else (np.arange(len(own)),) * 2
+            found, n = [], 0
+            for start in range(0, len(left), 256):
+                i, j = np.nonzero(apart(signs[left[start : start + 256], None], signs[None, right]) <= far)
+                i, j = left[start + i], right[j]
+                if not side.any():
+                    i, j = i[i < j], j[i < j]
+                found.append((i, j))
+                n += len(i)
+                if n > DENSE * len(own):
+                    break
+            if n > DENSE * len(own):
+                out.append(pd.DataFrame({"a": [None], "b": [None], "_key": [key], "_i": [cell["_i"].iloc[0]], "_j": [cell["_j"].iloc[0]]}))
+                continue
+            i, j = (np.concatenate(v) for v in zip(*found, strict=True))
+            out.append(pd.DataFrame({"a": np.minimum(own[i], own[j]), "b": np.maximum(own[i], own[j]), "_key": key, "_i": -1, "_j": -1}))
+        whole = pd.concat(out)
+        return whole.astype({"a": "Int64", "b": "Int64", "_key": "int64", "_i": "int32", "_j": "int32"})
+
+    return rows.groupBy("_task").applyInPandas(sieve, "a long, b long, _key long, _i int, _j int")
+
+
+def _verified(pairs: DataFrame, kinds: DataFrame, threshold: float, wire: str) -> DataFrame:
+    """Links ``a, n, root`` of the candidates, from both ends, each pair in its lowest common cell."""
+    once = pairs.groupBy("a", "b").agg(F.min("_key").alias("_key"))  # keys of one pair share their upper bits
+    side = lambda x: kinds.select(F.col("_own").alias(x), F.struct("_rep", "_copies", "_label", "_vec", "_cells").alias(f"_{x}"))
+    both = once.join(side("a"), "a").join(side("b"), "b").where("_a._label = _b._label AND octet_length(_a._vec) = octet_length(_b._vec)")
+    fields = [F.col(f"_{x}")[c].alias(f"{x}{c}") for x in "ab" for c in ("_rep", "_copies", "_vec", "_cells")]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, ra, ca, va, ka, rb, cb, vb, kb = batch.columns
+            va, vb = va.to_pylist(), vb.to_pylist()
+            lengths = np.array([len(v) for v in va])
+            hit = np.zeros(len(va), dtype=bool)
+            for length in np.unique(lengths):
+                at = np.flatnonzero(lengths == length)
+                hit[at] = np.einsum("ij,ij->i", _as_unit([va[i] for i in at], wire), _as_unit([vb[i] for i in at], wire)) >= threshold
+            at = np.flatnonzero(hit)
+            cells_a, cells_b = (_as_cells(c.flatten().to_numpy()) for c in (ka, kb))
+            at = at[counts_here(cells_a[at], cells_b[at], _cell_of(key.to_numpy()[at]))]
+            ra, ca, rb, cb = (c.to_numpy()[at] for c in (ra, ca, rb, cb))
+            columns = [np.concatenate([ra, rb]), np.concatenate([cb, ca]), np.tile(np.minimum(ra, rb), 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "n", "root"])
+
+    return both.select("_key", *fields).mapInArrow(check, "a long, n long, root long")
+
+
+def _dense(met: DataFrame, marks: DataFrame, kinds: DataFrame, threshold: float, wire: str) -> DataFrame:
+    """Links ``a, n, root`` that count in dense blocks, by their vectors."""
+    rows = met.join(marks, ["_key", "_i", "_j"]).select("_key", "_i", "_j", "_own", (F.col("_block") != F.col("_i")).cast("int").alias("_side"))
+    full = rows.join(kinds.select("_own", "_rep", "_copies", "_label", "_vec", "_cells"), "_own").drop("_own")
+
+    def block(part: pd.DataFrame) -> pd.DataFrame:
+        number = int(_cell_of(part["_key"].to_numpy()[:1])[0])
+        out = []
+        # keys are hashes: labels and lengths are compared
+        for _, rows in part.groupby(["_label", part["_vec"].map(len)], sort=False):
+            ids = rows["_rep"].to_numpy()
+            unit, cell = _as_unit(rows["_vec"].tolist(), wire), _as_cells(np.concatenate(rows["_cells"].tolist()))
+            sums, roots = links_of_cell(ids, rows["_copies"].to_numpy(), unit, cell, rows["_side"].to_numpy(), number, threshold)
+            some = (sums > 0) | (roots != ids)
+            out.append(pd.DataFrame({"a": ids[some], "n": sums[some], "root": roots[some]}))
+        return pd.concat(out).astype("int64")
+
+    return full.groupBy("_key", "_i", "_j").applyInPandas(block, "a long, n long, root long")
+
+
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93) -> DataFrame:
     """One row for each row of ``df``: ``id_col, n_links, component_id, kept``.
 
@@ -191,46 +343,22 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     wire = wire_type(df, vector_col)
     vectors = written(_vectors(df, id_col, vector_col, label_col, wire), "vectors")
     rows = written(vectors.select("_id", "_kind"), "vector-kinds")
-    payload = F.min(F.struct("_label", "_vec", "_cells")).alias("_p")
+    payload = F.min(F.struct("_label", "_vec", "_cells", "_signs")).alias("_p")
     kinds = vectors.where("_kind IS NOT NULL AND _id IS NOT NULL").groupBy("_kind").agg(F.min("_id").alias("_rep"), payload)
     sizes = rows.where("_kind IS NOT NULL").groupBy("_kind").agg(F.count(F.lit(1)).alias("_copies"))
     kinds = written(kinds.join(sizes, "_kind").select(F.xxhash64("_kind").alias("_own"), "_kind", "_rep", "_copies", "_p.*"), "vector-classes")
     discard(vectors)
-    light = kinds.select("_own", F.posexplode(_keys()).alias("_at", "_key"))
-    counts = light.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    met = light.join(counts, "_key").withColumn("_blocks", F.ceil(F.col("_m") / BLOCK).cast("int")).withColumn("_block", F.pmod(F.col("_own"), F.col("_blocks")).cast("int"))
-    met = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    met = written(met.select("_own", "_key", "_at", "_blocks", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block"), "cells")
-    tasks = max(1, -(-met.count() // TASK))
-    task = F.when(F.col("_blocks") == 1, F.pmod("_key", F.lit(tasks)).cast("string")).otherwise(F.concat_ws("/", F.lit("b"), F.col("_key").cast("string"), F.col("_i").cast("string"), F.col("_j").cast("string")))
-    full = met.withColumn("_task", task).join(kinds.select("_own", "_rep", "_copies", "_label", "_vec", "_cells"), "_own")
-    full = full.select("_task", "_key", "_label", "_at", F.col("_rep").alias("id"), "_copies", "_vec", "_cells", (F.col("_block") != F.col("_i")).cast("int").alias("_side"))
-
-    def block(part: pd.DataFrame) -> pd.DataFrame:
-        part["_key"] = pd.factorize(pd.MultiIndex.from_arrays([part["_key"], part["_label"]]))[0]  # keys are hashes, labels count
-        part = part.sort_values(["_key", "id"], kind="stable")
-        key, ids, copies, at, side = (part[c].to_numpy() for c in ("_key", "id", "_copies", "_at", "_side"))
-        cell = np.frombuffer(b"".join(part["_cells"]), dtype="<u4").reshape(len(part), TABLES, PROBES)
-        vecs = part["_vec"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[starts, len(key)])
-        out = []
-        lengths = np.array([len(v) for v in vecs])
-        few = np.repeat((sizes > 1) & (sizes <= SMALL), sizes) & ~np.repeat(np.bitwise_or.reduceat(side, starts) > 0, sizes)
-        for length in np.unique(lengths[few]):
-            rows = np.flatnonzero(few & (lengths == length))
-            out += links_of_small_cells(key[rows], ids[rows], copies[rows], _as_unit(vecs[rows].tolist(), wire), cell[rows], at[rows], threshold)
-        for start, size in zip(starts, sizes, strict=True):
-            if size > 1 and not few[start]:
-                rows = slice(start, start + size)
-                table, probe = divmod(int(at[start]), PROBES)
-                sums, roots = links_of_cell(ids[rows], copies[rows], _as_unit(vecs[rows].tolist(), wire), cell[rows], side[rows], table, int(cell[start, table, probe]), threshold)
-                some = (sums > 0) | (roots != ids[rows])
-                out.append((ids[rows][some], sums[some], roots[some]))
-        a, n, root = (np.concatenate(v) for v in zip(*out, strict=True)) if out else ([], [], [])
-        return pd.DataFrame({"a": a, "n": n, "root": root}).astype("int64")
-
-    found = written(full.groupBy("_task").applyInPandas(block, "a long, n long, root long"), "vector-links")
+    far = most_apart(threshold)
+    light = kinds.select("_own", "_signs", F.explode(_keys()).alias("_key"))
+    counts = written(light.select("_key").groupBy("_key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1"), "cells")
+    met = _in_blocks(light, counts)
+    tasks = max(1, -(-(counts.where(F.col("_m") > SMALL).agg(F.sum("_m")).first()[0] or 0) // TASK))
+    many = written(_cells_of_many(met, tasks, far), "candidates")
+    few = written(_cells_of_few(light, counts, far), "candidates")
+    pairs = few.unionByName(many.where("a IS NOT NULL").select("a", "b", "_key"))
+    links = _verified(pairs, kinds, threshold, wire).unionByName(_dense(met, many.where("a IS NULL").select("_key", "_i", "_j"), kinds, threshold, wire))
+    found = written(links, "vector-links")
+    discard(counts, few, many)
     degrees = found.groupBy("a").agg(F.sum("n").alias("_degree"))
     roots = connected_components(found.select("a", F.col("root").alias("b")))
     known = kinds.select("_kind", "_rep", "_copies").join(degrees, F.col("_rep") == F.col("a"), "left").join(roots, F.col("_rep") == F.col("node"), "left")

@@ -373,8 +373,10 @@ def vectors(spark, data):
     return spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, n_links string")
 
 
-def test_near_vectors(spark, monkeypatch):
-    monkeypatch.setattr(lattice, "BLOCK", 16)
+@pytest.mark.parametrize(("small", "dense"), [(64, 32), (4, 32), (4, 2)])  # side by side, by blocks, by their vectors
+def test_near_vectors(spark, monkeypatch, small, dense):
+    for name, value in {"BLOCK": 16, "SMALL": small, "DENSE": dense}.items():
+        monkeypatch.setattr(lattice, name, value)
     rng = np.random.default_rng(0)
     data, true = [], []
     for label in range(3):
@@ -406,6 +408,19 @@ def test_near_vectors(spark, monkeypatch):
     assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() > 0.97
 
 
+def test_sketches_keep_links():
+    """Of pairs at the threshold none has more different signs than a candidate may have; of unlike pairs few have less."""
+    rng = np.random.default_rng(5)
+    e, t = rng.normal(size=(2, 20000, 64))
+    e /= np.linalg.norm(e, axis=1)[:, None]
+    t -= (t * e).sum(1)[:, None] * e
+    t /= np.linalg.norm(t, axis=1)[:, None]
+    far = lattice.most_apart(0.93)
+    near = lattice.sketches(0.93 * e + math.sqrt(1 - 0.93**2) * t)
+    assert lattice.apart(lattice.sketches(e), near).max() <= far
+    assert (lattice.apart(lattice.sketches(e), lattice.sketches(t)) <= far).mean() < 1e-3
+
+
 def test_near_vectors_odd(spark):
     nan, inf = float("nan"), float("inf")
     u = [1.0] * 8
