@@ -31,8 +31,8 @@ from colsieve.operators.graph import connected_components
 from colsieve.sources.scratch import discard, written
 
 TABLES, PROBES, SCALE = 8, 4, 1.0
-#: Classes to a block of a cell, and rows to a task of cells.
-BLOCK, TASK = 1024, 65536
+#: Classes to a block of a cell, rows to a task of cells, and candidates to a task that verifies them.
+BLOCK, TASK, PAIRS = 1024, 65536, 16384
 #: Cells of up to so many classes are compared together, row against row at each distance, and larger ones by blocks.
 SMALL = 64
 #: Signs to a sketch, the chance that a pair at the threshold has too many different ones, and the candidates for each row
@@ -73,7 +73,7 @@ def decode_e8(x: np.ndarray) -> np.ndarray:
 
 
 def cells(unit: np.ndarray, seed: int = 1, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> np.ndarray:
-    """For rows of unit vectors, ``(rows, tables, probes)`` cell hashes (uint32), the own cell first."""
+    """For rows of unit vectors, ``(rows, tables, probes)`` cell hashes (uint32), the own cell first and the others in no order; ``probes`` is 2 or more."""
     rng = np.random.default_rng([seed, unit.shape[1]])
     around = minimal_vectors()
     factors = np.random.default_rng(seed).integers(1, 1 << 62, size=8).astype("u8") | np.uint64(1)
@@ -81,7 +81,7 @@ def cells(unit: np.ndarray, seed: int = 1, tables: int = TABLES, probes: int = P
     for t in range(tables):
         x = scale * (unit @ rng.normal(size=(unit.shape[1], 8)))
         own = decode_e8(x)
-        order = np.argsort(-((x - own) @ around.T), axis=1, kind="stable")[:, : probes - 1]
+        order = np.argpartition((own - x) @ around.T, probes - 2, axis=1)[:, : probes - 1]
         points = np.concatenate([own[:, None, :], own[:, None, :] + around[order]], axis=1)
         h = ((2 * points).astype("i8").astype("u8") * factors).sum(-1)
         out[:, t] = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype("u4")
@@ -224,11 +224,11 @@ def links_of_cell(ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, cell: n
         roots = least
 
 
-def _cells_of_few(light: DataFrame, counts: DataFrame, far: int) -> DataFrame:
+def _cells_of_few(light: DataFrame, counts: DataFrame, large: DataFrame, far: int) -> DataFrame:
     """Candidates ``a, b, _key`` of cells of up to SMALL classes. Larger cells' rows leave before anything is shuffled
     where they number more than 1/SLICES of all, so that no task receives them."""
     total = counts.agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_total"))
-    hot = counts.where(F.col("_m") > SMALL).crossJoin(F.broadcast(total)).where(F.col("_m") * SLICES > F.col("_total")).select("_key")
+    hot = large.crossJoin(F.broadcast(total)).where(F.col("_m") * SLICES > F.col("_total")).select("_key")
     few = light.join(F.broadcast(hot), "_key", "left_anti").join(counts.where(F.col("_m") <= SMALL).select("_key"), "_key")
     groups = few.groupBy("_key").agg(F.collect_list(F.struct("_own", F.col("_signs")[0].alias("s0"), F.col("_signs")[1].alias("s1"))).alias("_g"))
 
@@ -244,9 +244,9 @@ def _cells_of_few(light: DataFrame, counts: DataFrame, far: int) -> DataFrame:
     return groups.mapInArrow(pairs, "a long, b long, _key long")
 
 
-def _in_blocks(light: DataFrame, counts: DataFrame) -> DataFrame:
+def _in_blocks(light: DataFrame, large: DataFrame) -> DataFrame:
     """Rows of cells of over SMALL classes with their blocks, once for each pair of blocks that they take part in."""
-    sized = light.join(counts.where(F.col("_m") > SMALL), "_key").withColumn("_blocks", F.ceil(F.col("_m") / BLOCK).cast("int"))
+    sized = light.join(large, "_key").withColumn("_blocks", F.ceil(F.col("_m") / BLOCK).cast("int"))
     sized = sized.withColumn("_block", F.pmod(F.xxhash64("_own"), F.col("_blocks")).cast("int"))
     met = sized.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return met.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other"))
@@ -286,9 +286,10 @@ def _cells_of_many(met: DataFrame, tasks: int, far: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, kinds: DataFrame, threshold: float, wire: str) -> DataFrame:
     """Links ``a, n, root`` of the candidates, from both ends, each pair in its lowest common cell."""
+    tasks = max(1, -(-pairs.count() // PAIRS))  # dealt out before vectors join: a pair is work beyond its bytes
     once = pairs.groupBy("a", "b").agg(F.min("_key").alias("_key"))  # keys of one pair share their upper bits
     side = lambda x: kinds.select(F.col("_own").alias(x), F.struct("_rep", "_copies", "_label", "_vec", "_cells").alias(f"_{x}"))
-    both = once.join(side("a"), "a").join(side("b"), "b").where("_a._label = _b._label AND octet_length(_a._vec) = octet_length(_b._vec)")
+    both = once.join(side("a"), "a").repartition(tasks, "b").join(side("b"), "b").where("_a._label = _b._label AND octet_length(_a._vec) = octet_length(_b._vec)")
     fields = [F.col(f"_{x}")[c].alias(f"{x}{c}") for x in "ab" for c in ("_rep", "_copies", "_vec", "_cells")]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,14 +352,15 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     far = most_apart(threshold)
     light = kinds.select("_own", "_signs", F.explode(_keys()).alias("_key"))
     counts = written(light.select("_key").groupBy("_key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1"), "cells")
-    met = _in_blocks(light, counts)
-    tasks = max(1, -(-(counts.where(F.col("_m") > SMALL).agg(F.sum("_m")).first()[0] or 0) // TASK))
+    large = written(counts.where(F.col("_m") > SMALL), "cells")  # a table of its own, so that its size is known to the join
+    met = _in_blocks(light, large)
+    tasks = max(1, -(-(large.agg(F.sum("_m")).first()[0] or 0) // TASK))
     many = written(_cells_of_many(met, tasks, far), "candidates")
-    few = written(_cells_of_few(light, counts, far), "candidates")
+    few = written(_cells_of_few(light, counts, large, far), "candidates")
     pairs = few.unionByName(many.where("a IS NOT NULL").select("a", "b", "_key"))
     links = _verified(pairs, kinds, threshold, wire).unionByName(_dense(met, many.where("a IS NULL").select("_key", "_i", "_j"), kinds, threshold, wire))
     found = written(links, "vector-links")
-    discard(counts, few, many)
+    discard(counts, large, few, many)
     degrees = found.groupBy("a").agg(F.sum("n").alias("_degree"))
     roots = connected_components(found.select("a", F.col("root").alias("b")))
     known = kinds.select("_kind", "_rep", "_copies").join(degrees, F.col("_rep") == F.col("a"), "left").join(roots, F.col("_rep") == F.col("node"), "left")
