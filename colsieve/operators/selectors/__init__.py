@@ -1,6 +1,6 @@
 """The selectors by name. Importing this registers them."""
 
-from colsieve.operators.selectors.base import NotFitted, Seeded, Selector
+from colsieve.operators.selectors.base import NotFitted, NothingKept, Seeded, Selector
 from colsieve.operators.selectors.filters import (
     ANOVAFSelector,
     BerkJonesSelector,
@@ -18,5 +18,5 @@ from colsieve.operators.selectors.solvers import LassoSelector, RFECVSelector, R
 
 __all__ = [
     "ANOVAFSelector", "BerkJonesSelector", "CorrelationSelector", "FDRSelector", "FWESelector", "HigherCriticismSelector", "LassoSelector", "MannWhitneySelector",
-    "MutualInfoSelector", "NotFitted", "PercentileSelector", "RFECVSelector", "RFESelector", "RandomSelector", "Seeded", "Selector", "SequentialSelector", "TreeImportanceSelector", "VarianceThreshold",
+    "MutualInfoSelector", "NotFitted", "NothingKept", "PercentileSelector", "RFECVSelector", "RFESelector", "RandomSelector", "Seeded", "Selector", "SequentialSelector", "TreeImportanceSelector", "VarianceThreshold",
 ]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from colsieve.functions import columns
 from colsieve.functions.special import log_beta_cdf, log_f_sf, log_norm_sf
 from colsieve.operators import kernels
-from colsieve.operators.selectors.base import Filter, Seeded, Selector, binary_long
+from colsieve.operators.selectors.base import Filter, NothingKept, Seeded, Selector, binary_long
 from colsieve.sources.layouts import to_long
 
 
@@ -268,7 +268,7 @@ class CorrelationSelector(Filter, aliases=["correlation"]):
 
     def _choose(self) -> None:
         if not (self.target_corr_ >= self.target_threshold).any():
-            raise ValueError(f"no feature has a correlation of {self.target_threshold} with the target")
+            raise NothingKept(f"no feature has a correlation of {self.target_threshold} with the target")
         t = self.target_corr_
         gone = {j if t[i] > t[j] else i for i, j in self._pairs}
         self._kept = np.array([i for i in np.flatnonzero(t >= self.target_threshold) if i not in gone], dtype=int)
