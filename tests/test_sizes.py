@@ -25,7 +25,7 @@ def twin(spark, name: str, sf_dir: str) -> tuple[list, list]:
     return rows(ours.columns, [tuple(r) for r in ours.collect()]), rows(theirs.columns, theirs.fetchall())
 
 
-@pytest.mark.parametrize("name", ["fit_correlation"])
+@pytest.mark.parametrize("name", ["fit_correlation", "fit_fdr"])
 def test_no_feature_passes(spark, tmp_path, name):
     """Each vector once with either label, so that no feature says anything of it."""
     x = np.random.default_rng(0).normal(size=(30, 6))
