@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal, localcontext
+
 import duckdb
 import numpy as np
 import pytest
 
+from colsieve.functions import special
 from colsieve.plans import catalogue
 from tests.test_queries import rows
 
@@ -31,3 +35,24 @@ def test_no_feature_passes(spark, tmp_path, name):
     x = np.random.default_rng(0).normal(size=(30, 6))
     ours, theirs = twin(spark, name, table(spark, tmp_path, np.r_[x, x], np.repeat([0, 1], 30)))
     assert ours == theirs and len(ours) == 6
+
+
+@pytest.mark.parametrize("f", [0.0010253, 0.5, 4.0, 35.0, 150.0])
+def test_log_p_of_f_with_many_rows(f):
+    """To what 7 digits need in hundreds of rows, by the finite series for an even number of degrees of freedom, in 60 digits."""
+    df = 102562
+    with localcontext() as digits:
+        digits.prec = 60
+        square = Decimal(df) / (Decimal(df) + Decimal(f))
+        term = total = Decimal(1)
+        for i in range(1, df // 2):
+            term *= square * (2 * i - 1) / (2 * i)
+            total += term
+        exact = float((1 - (1 - square).sqrt() * total).ln())
+    assert special.log_f_sf(f, 1, df) == pytest.approx(exact, rel=0, abs=1e-11)
+
+
+def test_log_beta_of_small_and_large():
+    for a, b in ((1, 1), (3, 7), (1, 19), (1, 20), (30, 45), (3, 4000), (500, 700)):
+        exact = math.log(math.factorial(a + b - 1) // math.factorial(a - 1) // math.factorial(b - 1))  # 1 / B(a, b), a whole number
+        assert special._log_beta(a, b) == pytest.approx(-exact, rel=1e-13, abs=1e-13)
