@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 
 from colsieve.functions import special
+from colsieve.operators import selectors as sel
 from colsieve.plans import catalogue
+from tests.fixtures import frame, planted
 from tests.test_queries import rows
 
 
@@ -56,3 +58,17 @@ def test_log_beta_of_small_and_large():
     for a, b in ((1, 1), (3, 7), (1, 19), (1, 20), (30, 45), (3, 4000), (500, 700)):
         exact = math.log(math.factorial(a + b - 1) // math.factorial(a - 1) // math.factorial(b - 1))  # 1 / B(a, b), a whole number
         assert special._log_beta(a, b) == pytest.approx(-exact, rel=1e-13, abs=1e-13)
+
+
+def test_forest_has_a_task_for_each_tree(spark):
+    x, y = planted(90, 8, informative=3, classes=3)
+    x[:, 5], x[:, 6] = 1.0, x[:, 6].round()
+    sc = spark.sparkContext
+    sc.setJobGroup("forest", "trees")
+    fitted = sel.TreeImportanceSelector(3, n_estimators=7, random_state=5).fit(frame(spark, x, y))
+    tracker = sc.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("forest") for s in tracker.getJobInfo(j).stageIds]
+    sc.setJobGroup("tests", "")
+    assert max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) == 7
+    plain = sel.TreeImportanceSelector(3, n_estimators=7, random_state=5).fit(x, y)
+    assert (fitted.feature_importances_ == plain.feature_importances_).all() and plain.feature_importances_[5] == 0
