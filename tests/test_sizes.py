@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from colsieve.functions import special
+from colsieve.operators import models
 from colsieve.operators import selectors as sel
 from colsieve.plans import catalogue
 from tests.fixtures import frame, planted
@@ -72,3 +73,15 @@ def test_forest_has_a_task_for_each_tree(spark):
     assert max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) == 7
     plain = sel.TreeImportanceSelector(3, n_estimators=7, random_state=5).fit(x, y)
     assert (fitted.feature_importances_ == plain.feature_importances_).all() and plain.feature_importances_[5] == 0
+
+
+def test_nearest_in_blocks(spark, tmp_path, monkeypatch):
+    """Several blocks a side, many copies, and no row for a pair in the plan."""
+    monkeypatch.setattr(models, "KNN_BLOCK", 20)
+    rng = np.random.default_rng(1)
+    x = np.r_[rng.normal(size=(100, 4)), np.repeat(rng.normal(size=(2, 4)), 30, axis=0), rng.integers(0, 2, size=(60, 4))]
+    sf = table(spark, tmp_path, x[rng.permutation(len(x))], rng.integers(0, 3, len(x)))
+    ours, theirs = twin(spark, "knn_predict", sf)
+    assert ours == theirs and len(ours) == 73
+    plan = catalogue.QUERIES["knn_predict"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
