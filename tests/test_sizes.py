@@ -9,8 +9,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from colsieve.functions import special
-from colsieve.operators import models
+from colsieve.functions import solvers, special
+from colsieve.operators import models, runner
 from colsieve.operators import selectors as sel
 from colsieve.plans import catalogue
 from tests.fixtures import frame, planted
@@ -85,3 +85,30 @@ def test_nearest_in_blocks(spark, tmp_path, monkeypatch):
     assert ours == theirs and len(ours) == 73
     plan = catalogue.QUERIES["knn_predict"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("n", [60, 400, 3000])
+def test_logistic_without_rows(n):
+    x, y = planted(n, 4, informative=2)
+    sign = np.where(y == 1, 1.0, -1.0)
+    without = np.stack([np.arange(12), np.arange(12) + 20], axis=1)
+    for c in (0.01, 10.0):
+        got = solvers.LogisticWithout(x, sign, c).weights(without)
+        exact = (solvers.logistic_l2(np.delete(x, rows, axis=0), np.delete(sign, rows), c) for rows in without)
+        assert np.abs(got - np.stack([np.r_[w, b] for w, b in exact])).max() < 2e-9
+
+
+def test_leave_one_out_fits_each_c_once(monkeypatch):
+    """Of many rows; 31 * 30 * 4 fits and more before."""
+    x, y = planted(3100, 4, informative=2, shift=3.0)
+    fits = []
+    plain = solvers.logistic_l2
+    monkeypatch.setattr(solvers, "logistic_l2", lambda *a: fits.append(a) or plain(*a))
+    m = runner.loo_confusion(x, y, alpha=0.01)
+    assert m.sum() == 31 and np.trace(m) >= 29 and len(fits) == 4
+
+
+def test_leave_one_out_of_wide_matrix():
+    x, y = planted(40, 12, informative=3, shift=3.0)
+    m = runner.loo_confusion(x, y, alpha=0.1)
+    assert m.sum() == 4 and np.trace(m) == 4
