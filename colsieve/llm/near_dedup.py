@@ -6,7 +6,8 @@
    the bucket's centre by the corrected estimate, never with all others. Centres that are similar at all (over
    ATTACH) tie their class into one neighbourhood. A class leaves the bucket only if the centre is so close that
    whatever is linked with the class is tied to the centre too. The others meet again by size, with more centres
-   each time, until every bucket lies in one neighbourhood or is used up: none is capped.
+   each time, until every bucket lies in one neighbourhood or is used up: none is capped. Once all pairs that are left
+   are no more than the first round's and no bucket is larger than a block, they are all compared, which ends the rounds.
 4. The classes of a neighbourhood get their full sets again, and are compared in blocks: pairs whose estimate may
    reach the threshold are confirmed on the full sets unless they are connected already. A block returns a
    spanning forest of confirmed links, never all pairs.
@@ -76,13 +77,20 @@ def _neighbours(classes: DataFrame, threshold: float) -> DataFrame | None:
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // band - 1)), lambda i: F.xxhash64(i, F.substring(F.col("_regs"), i * (2 * band) + 1, F.lit(2 * band))))
     rows = classes.select(F.explode(bands).alias("_key"), "_rep", "_n")
     left = _shared(rows, "_rep")
-    found, centres = None, 1
-    while not left.isEmpty():
-        tops = written(_centres(left, centres), "centres")
+    found, centres, first = None, 1, None
+    while (size := _size(left))[0]:
+        n, pairs, largest = size
+        first = first or n
+        few = pairs <= first and largest <= BLOCK  # no more pairs than the first round has, and no more to a bucket than to a block
+        tops = _members(left) if few else written(_centres(left, centres), "centres")
         pairs = left.join(tops, "_key").where("_label <> _other" if "_label" in left.columns else "_rep <> _c")
-        wanted = written(pairs.select(F.least("_rep", "_c").alias("a"), F.greatest("_rep", "_c").alias("b")).distinct(), "pairs")
+        pairs = pairs.where("_rep < _c") if few else pairs
+        wanted = pairs.select(F.least("_rep", "_c").alias("a"), F.greatest("_rep", "_c").alias("b")).distinct()
         near = written(_estimated(wanted, classes, threshold), "near")
         known, found = found, written(connected_components(near) if found is None else add_links(found, near), "neighbourhoods")
+        if few:
+            discard(left, near, *([known] if known is not None else []))
+            break
         # who is this close to a centre is tied by it to whatever it is linked with (1 - similarity is a metric)
         close = near.where("close").select("a", "b")
         done = left.join(tops, "_key").select("_key", "_rep", F.least("_rep", "_c").alias("a"), F.greatest("_rep", "_c").alias("b")).join(close, ["a", "b"]).select("_key", "_rep")
@@ -93,7 +101,7 @@ def _neighbours(classes: DataFrame, threshold: float) -> DataFrame | None:
             rest = rest.withColumn("_level", F.explode(F.array(level, level + 1))).withColumn("_key", F.xxhash64("_key", "_level")).drop("_level")
         labelled = rest.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("_label", F.coalesce("component", "_rep")).drop("component")
         before, left = left, _shared(labelled, "_label")
-        discard(before, tops, wanted, near, *([known] if known is not None else []))  # what is left is all that the next round reads
+        discard(before, tops, near, *([known] if known is not None else []))  # what is left is all that the next round reads
         centres *= 2
     return found
 
@@ -104,6 +112,17 @@ def _shared(rows: DataFrame, of: str) -> DataFrame:
     return written(rows.join(several, "_key"), "bands")
 
 
+def _size(left: DataFrame) -> tuple[int, float, int]:
+    """Rows of all buckets, pairs within them, and rows of the largest bucket."""
+    m = F.col("count")
+    return tuple(x or 0 for x in left.groupBy("_key").count().agg(F.sum(m), F.sum(m.cast("double") * (m - 1) / 2), F.max(m)).first())
+
+
+def _members(left: DataFrame) -> DataFrame:
+    """Like :func:`_centres`, with every class of a bucket as a centre."""
+    return left.select("_key", F.col("_rep").alias("_c"), F.col("_label" if "_label" in left.columns else "_rep").alias("_other"))
+
+
 def _centres(left: DataFrame, centres: int) -> DataFrame:
     """``(_key, _c, _other)``: one class of each of so many parts of a bucket, and its neighbourhood so far."""
     own = F.struct(F.xxhash64("_key", "_rep").alias("h"), F.col("_rep").alias("r"), (F.col("_label") if "_label" in left.columns else F.col("_rep")).alias("l"))

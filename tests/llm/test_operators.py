@@ -178,6 +178,20 @@ def test_near_duplicates(spark, percent, monkeypatch):
     assert got == brute_components(docs, percent)
 
 
+def test_few_pairs_end_the_rounds(spark, monkeypatch):
+    """Texts that share a passage and aren't alike meet in buckets of several; few pairs are all compared in one round."""
+    names = []
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: names.append(name) or corpus_pipeline.written(df, name))
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = " ".join(rng.choice(vocabulary, 45))
+    texts = [f"{passage} {' '.join(rng.choice(vocabulary, 60))}" for _ in range(70)]
+    docs = list(enumerate(texts + [t + " end" for t in texts[:30]]))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(make(spark, [(i, t, "s") for i, t in docs]), percent=80).collect()}
+    assert got == brute_components(docs, 80)
+    assert names.count("near") == 1
+
+
 def shares_a_band(small, large, band, trials, seed):
     """How many of so many pairs of a set and the same set with more shingles share a band of registers."""
     rng, found, bands = np.random.default_rng(seed), 0, shingles.REGISTERS // band

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colsieve.operators import analysis, copies, kernels
+from colsieve.operators import analysis, copies, graph, kernels
 from colsieve.operators.graph import connected_components
 from colsieve.sources.layouts import to_long
+from colsieve.sources.scratch import written
 from tests.fixtures import frame, planted
 
 
@@ -88,6 +91,22 @@ def test_components(spark):
     assert connected_components(links.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("at_once, kind", [(graph.AT_ONCE, "long"), (graph.AT_ONCE, "string"), (20, "long"), (20, "string")])
+def test_components_of_few_links_take_no_rounds(spark, monkeypatch, at_once, kind):
+    """In one task or in rounds the result is the same; a small graph costs the driver one table, and a table is its parts alone."""
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df, name: tables.append(written(df, name)) or tables[-1])
+    monkeypatch.setattr(graph, "AT_ONCE", at_once)
+    rng = np.random.default_rng(1)
+    path = [int(x) for x in rng.permutation(60) + 1000]
+    edges = [*zip(path, path[1:], strict=False), *[(3000, 2000 + i) for i in range(30)], (2005, 3000), (7, 7), (None, 1000)]
+    links = spark.createDataFrame(edges, "a long, b long").repartition(5).select(F.col("a").cast(kind), F.col("b").cast(kind))
+    got = {int(r["node"]): int(r["component"]) for r in connected_components(links).collect()}
+    assert got == {x: 1000 for x in path} | {x: 2000 for x in [3000, *range(2000, 2030)]}
+    assert len(tables) == 1 if at_once > 20 else len(tables) > 1
+    assert {p.suffix for p in Path(tables[-1]._scratch_path.removeprefix("file://")).iterdir()} == {".parquet"}
+
+
 def test_nearest_pairs_over_several_blocks(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(70, 6))
